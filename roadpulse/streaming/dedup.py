@@ -1,8 +1,10 @@
 """De-duplication with an expiry counted in processing time from the first publish."""
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -12,6 +14,10 @@ from roadpulse.session import ROCKSDB
 
 DEDUP_TTL_MS = 60 * 60 * 1000
 
+# Spark also loads the processor in a driver-side worker that does not get the shipped package, so
+# this module's classes travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class FirstWithinTtl(StatefulProcessor):
     """Emits the first record of a key in log order and stays silent until the key expires.

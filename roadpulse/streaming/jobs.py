@@ -57,17 +57,39 @@ SEEN = T.StructType(
 )
 HOUR_MS = 60 * 60 * 1000
 FLUSH = "250 milliseconds"
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def wall_clock_ms() -> int:
     return int(time.time() * 1000)
 
 
-def start(stream: DataFrame, each_batch, checkpoint: str, trigger: dict | None = None, **options) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
-    for key, value in options.items():
-        writer = getattr(writer, key)(value)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+def start(
+    stream: DataFrame,
+    each_batch: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    trigger: dict | None = None,
+    output_mode: str = "append",
+) -> StreamingQuery:
+    """Starts a query that ends when the available data is done, unless given another trigger."""
+    trigger = trigger or {"availableNow": True}
+    writer = (
+        stream.writeStream.foreachBatch(each_batch)
+        .outputMode(output_mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+    )
+    if "availableNow" not in trigger:
+        return writer.start()
+    # State that expires by the clock asks for one more empty batch for ever, so a run over the
+    # available data would not end. A query takes its settings when it starts.
+    conf = stream.sparkSession.conf
+    before = conf.get(EMPTY_BATCHES)
+    conf.set(EMPTY_BATCHES, "false")
+    try:
+        return writer.start()
+    finally:
+        conf.set(EMPTY_BATCHES, before)
 
 
 def _seen_before(spark: SparkSession, path: str, now_ms: int, ttl_ms: int, batch_id: int) -> DataFrame:
@@ -213,7 +235,7 @@ def latest_state_stream(log: DataFrame, out: str, trigger: dict | None = None) -
         each_batch,
         f"{out}/checkpoint/latest",
         trigger or {"processingTime": FLUSH},
-        outputMode="update",
+        output_mode="update",
     )
 
 
