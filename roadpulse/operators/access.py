@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadpulse.operators.lookup import lookup_join
+from roadpulse.operators.lookup import sized
 
 ALL = "*"
 FLEET = "fleet:"
@@ -28,7 +28,7 @@ def user_grants(users: DataFrame, fleet_grants: DataFrame, vehicle_grants: DataF
     listed = fleet_grants.select("user_id", topic(FLEET, "fleet_id").alias("topic")).unionByName(
         vehicle_grants.select("user_id", topic(VIN, "vin").alias("topic"))
     )
-    return admins.unionByName(lookup_join(listed, others, "user_id", "left_semi").distinct())
+    return admins.unionByName(listed.join(others, "user_id", "left_semi").distinct())
 
 
 def _lists(grants: DataFrame, key: str) -> DataFrame:
@@ -82,7 +82,7 @@ def check_access(requests: DataFrame, scopes: DataFrame) -> DataFrame:
     allowed = F.coalesce("all_fleets", F.lit(False)) | F.coalesce(
         listed("fleet_ids", "fleet_id"), F.lit(False)
     ) | F.coalesce(listed("vins", "vin"), F.lit(False))
-    joined = lookup_join(requests, scope, "user_id", "left")
+    joined = requests.join(sized(scope), "user_id", "left")
     return joined.select(*requests.columns, allowed.alias("allowed"))
 
 
@@ -90,26 +90,30 @@ def connected_users(connections: DataFrame) -> DataFrame:
     return connections.select("pod", "user_id").distinct()
 
 
+def _held_at_pod(connections: DataFrame, grants: DataFrame) -> DataFrame:
+    return connected_users(connections).join(grants, "user_id").select("pod", "topic").distinct()
+
+
 def pod_grants(connections: DataFrame, grants: DataFrame) -> DataFrame:
     """(pod, topic): the union of the grants of each pod's users; ``*`` replaces all others."""
-    held = connected_users(connections).join(grants, "user_id").select("pod", "topic").distinct()
+    held = _held_at_pod(connections, grants)
     everything = held.where(F.col("topic") == ALL)
     listed = held.where(F.col("topic") != ALL)
-    return everything.unionByName(
-        lookup_join(listed, everything.select("pod"), "pod", "left_anti")
-    )
+    return everything.unionByName(listed.join(everything, "pod", "left_anti"))
 
 
 def pod_interest(connections: DataFrame, grants: DataFrame) -> DataFrame:
-    """Interest per pod. A pod whose users see nothing has a row with empty lists."""
+    """Interest per pod; the lists are empty when it sees all, or when its users see nothing."""
     pods = connections.select("pod").distinct()
+    lists = _lists(_held_at_pod(connections, grants), "pod")
     nothing = F.array().cast("array<string>")
-    lists = _lists(pod_grants(connections, grants), "pod")
+    sees_all = F.coalesce("all_fleets", F.lit(False))
+
+    def listed(column):
+        return F.when(sees_all, nothing).otherwise(F.coalesce(column, nothing)).alias(column)
+
     return pods.join(lists, "pod", "left").select(
-        "pod",
-        F.coalesce("all_fleets", F.lit(False)).alias("all_fleets"),
-        F.coalesce("fleet_ids", nothing).alias("fleet_ids"),
-        F.coalesce("vins", nothing).alias("vins"),
+        "pod", sees_all.alias("all_fleets"), listed("fleet_ids"), listed("vins")
     )
 
 
@@ -122,38 +126,41 @@ def interest_versions(snapshots: DataFrame, bucket_ms: int = 24 * 60 * 60 * 1000
     A pod's snapshots are cut into time buckets so that no task sorts all of a busy pod: each
     bucket compares within itself, and only one row per bucket is compared across buckets.
     """
-    state = F.struct("all_fleets", "fleet_ids", "vins")
     nothing = F.array().cast("array<string>")
     no_interest = F.struct(
         F.lit(False).alias("all_fleets"), nothing.alias("fleet_ids"), nothing.alias("vins")
     )
-    cut = snapshots.select(
+    in_bucket = W.partitionBy("pod", "bucket").orderBy("as_of")
+    across = W.partitionBy("pod").orderBy("bucket")
+    earlier = across.rowsBetween(W.unboundedPreceding, -1)
+
+    previous = F.lag("state").over(in_bucket)
+    steps = snapshots.select(
         "pod",
         "as_of",
         F.floor(F.col("as_of") / F.lit(bucket_ms)).alias("bucket"),
-        state.alias("state"),
-    )
-    in_bucket = W.partitionBy("pod", "bucket").orderBy("as_of")
-    across = W.partitionBy("pod").orderBy("bucket")
-    before = W.partitionBy("pod").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+        F.struct("all_fleets", "fleet_ids", "vins").alias("state"),
+    ).select("*", previous.isNull().alias("opens"), (F.col("state") != previous).alias("changed"))
 
-    ends = cut.groupBy("pod", "bucket").agg(F.max_by("state", "as_of").alias("last"))
-    carried = ends.select(
-        "pod", "bucket", F.coalesce(F.lag("last").over(across), no_interest).alias("carried")
+    buckets = steps.groupBy("pod", "bucket").agg(
+        F.min_by("state", "as_of").alias("first"),
+        F.max_by("state", "as_of").alias("last"),
+        F.count_if("changed").alias("inner_changes"),
     )
-    steps = (
-        cut.join(carried, ["pod", "bucket"])
-        .withColumn("previous", F.coalesce(F.lag("state").over(in_bucket), "carried"))
-        .withColumn("changed", (F.col("state") != F.col("previous")).cast("long"))
-        .drop("previous", "carried")
-    )
-    totals = steps.groupBy("pod", "bucket").agg(F.sum("changed").alias("n"))
-    starts = totals.select(
-        "pod", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    opened = F.col("first") != F.coalesce(F.lag("last").over(across), no_interest)
+    chain = buckets.withColumn("opened", opened).select(
+        "pod",
+        "bucket",
+        "opened",
+        F.coalesce(
+            F.sum(F.col("inner_changes") + F.col("opened").cast("long")).over(earlier), F.lit(0)
+        ).alias("start"),
     )
+    changed = F.when(F.col("opens"), F.col("opened")).otherwise(F.col("changed"))
     return (
-        steps.join(starts, ["pod", "bucket"])
-        .withColumn("version", F.col("start") + F.sum("changed").over(in_bucket))
-        .where(F.col("changed") == 1)
+        steps.join(chain, ["pod", "bucket"])
+        .withColumn("changed", changed)
+        .withColumn("version", F.col("start") + F.count_if("changed").over(in_bucket))
+        .where("changed")
         .select("pod", "as_of", "version", "state.*")
     )

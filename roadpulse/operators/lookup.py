@@ -16,15 +16,11 @@ def fits_broadcast(lookup: DataFrame, limit_bytes: int | None = None) -> bool:
     return measured <= limit
 
 
-def lookup_join(
-    facts: DataFrame, lookup: DataFrame, on, how: str = "left", limit_bytes: int | None = None
-) -> DataFrame:
-    """Joins with a broadcast when the lookup was measured to fit, else with a shuffle.
+def sized(lookup: DataFrame, limit_bytes: int | None = None) -> DataFrame:
+    """The lookup with a broadcast hint if it was measured to fit, else as it is.
 
-    The shuffled form carries no hint. Its hot keys are split at run time by the adaptive skew join,
-    which covers the join types used here (inner, left, left_semi, left_anti) because the facts are
-    always on the left.
+    Meant for the right side of a join with a table of events on the left. Without the hint both sides
+    are shuffled, and hot keys are split at run time by the adaptive skew join: it covers inner, left,
+    left_semi and left_anti joins, the only ones used with events.
     """
-    if fits_broadcast(lookup, limit_bytes):
-        lookup = F.broadcast(lookup)
-    return facts.join(lookup, on, how)
+    return F.broadcast(lookup) if fits_broadcast(lookup, limit_bytes) else lookup

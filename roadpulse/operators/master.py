@@ -7,8 +7,6 @@ one key are first folded into one, so each job is a single pass over keys.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.operators.lookup import lookup_join
-
 VIN_LENGTH = 17
 # The roles a user can have.
 ROLES = ["admin", "fleet_manager", "viewer"]
@@ -40,7 +38,7 @@ def upsert_fleets(fleets: DataFrame, changes: DataFrame, now_ms: int) -> DataFra
 def check_vehicle_changes(changes: DataFrame, fleets: DataFrame) -> DataFrame:
     """Adds ``error``, null for a change that can be applied."""
     known = fleets.select("fleet_id").distinct().withColumn("known", F.lit(True))
-    joined = lookup_join(changes, known, "fleet_id", "left")
+    joined = changes.join(known, "fleet_id", "left")
     bad_request = (
         (F.octet_length("vin") != VIN_LENGTH)
         | F.col("vin").isNull()
@@ -100,7 +98,7 @@ def check_grants(
 
     rows = requests
     for table, column in [(users, "user_id"), (fleets, "fleet_id"), (vehicles, "vin")]:
-        rows = lookup_join(rows, known(table, column), column, "left")
+        rows = rows.join(known(table, column), column, "left")
     error = (
         F.when(
             ~given("user_id") | (given("fleet_id") == given("vin")),
@@ -155,7 +153,7 @@ def master_data_violations(
 
     def orphans(df, constraint, column, parent, *key):
         held = df.where(F.col(column).isNotNull())
-        missing = lookup_join(held, parent.select(column).distinct(), column, "left_anti")
+        missing = held.join(parent.select(column), column, "left_anti")
         return rows(missing, constraint, F.concat_ws("/", *key))
 
     found = [

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.telemetry import event_id, ingest_timestamp, status_name
-from roadpulse.operators.lookup import lookup_join
+from roadpulse.operators.lookup import sized
 from roadpulse.schemas import (
     CANONICAL,
     HEADERS,
@@ -106,13 +106,18 @@ def dedup_in_batch(reports: DataFrame) -> DataFrame:
 
 
 def drop_seen(reports: DataFrame, seen: DataFrame) -> DataFrame:
-    """Removes reports that were published before."""
-    return lookup_join(reports, seen.select(*EVENT_KEY), EVENT_KEY, "left_anti")
+    """Removes reports that were published before.
+
+    Both sides grow with the reports, so they are shuffled by the key that the reports were
+    de-duplicated by.
+    """
+    return reports.join(seen.select(*EVENT_KEY), EVENT_KEY, "left_anti")
 
 
 def enrich_fleet(events: DataFrame, vehicle_fleet: DataFrame, limit_bytes: int | None = None) -> DataFrame:
     """Adds the fleet of each vehicle, ``UNASSIGNED`` where it has none."""
-    joined = lookup_join(events, vehicle_fleet.select("vin", "fleet_id"), "vin", "left", limit_bytes)
+    fleets = sized(vehicle_fleet.select("vin", "fleet_id"), limit_bytes)
+    joined = events.join(fleets, "vin", "left")
     return joined.withColumn("fleet_id", F.coalesce("fleet_id", F.lit(UNASSIGNED)))
 
 
@@ -173,7 +178,7 @@ def processing_outcomes(
         per_report = per_report.withColumn("seen", F.lit(False))
     else:
         known = seen.select(*EVENT_KEY).distinct().withColumn("seen", F.lit(True))
-        per_report = lookup_join(per_report, known, EVENT_KEY, "left").withColumn(
+        per_report = per_report.join(known, EVENT_KEY, "left").withColumn(
             "seen", F.coalesce("seen", F.lit(False))
         )
     per_report = enrich_fleet(per_report, vehicle_fleet)

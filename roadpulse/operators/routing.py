@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.operators.access import ALL, FLEET, VIN, topic
-from roadpulse.operators.lookup import fits_broadcast, lookup_join
+from roadpulse.operators.lookup import fits_broadcast
 
 MAX_AGE_MS = 30_000
 
@@ -110,33 +110,37 @@ def two_stage_feed(
     return match(route_events(events, interest), at_pod, "user_id", within="pod")
 
 
-def unrouted_events(events: DataFrame, interest: DataFrame) -> DataFrame:
-    """Events that no subscriber wants."""
+def held_ids(grants: DataFrame, prefix: str, column: str, small: bool) -> DataFrame:
+    """Distinct fleets or VINs named in grants, with a broadcast hint if the grants are small."""
+    bare = F.substr("topic", F.lit(len(prefix) + 1)).alias(column)
+    ids = grants.where(F.startswith("topic", F.lit(prefix))).select(bare).distinct()
+    return F.broadcast(ids) if small else ids
 
-    def wanted(prefix, column):
-        held = interest.where(F.startswith("topic", F.lit(prefix)))
-        return held.select(F.substr("topic", F.lit(len(prefix) + 1)).alias(column)).distinct()
 
+def unrouted_events(events: DataFrame, interest: DataFrame, limit_bytes: int | None = None) -> DataFrame:
+    """Events that no subscriber wants."""
+    small = fits_broadcast(interest, limit_bytes)
     someone_sees_all = interest.where(F.col("topic") == ALL).exists()
-    left = events.where(~someone_sees_all)
-    left = lookup_join(left, wanted(FLEET, "fleet_id"), "fleet_id", "left_anti")
-    return lookup_join(left, wanted(VIN, "vin"), "vin", "left_anti").select(*events.columns)
+    return (
+        events.where(~someone_sees_all)
+        .join(held_ids(interest, FLEET, "fleet_id", small), "fleet_id", "left_anti")
+        .join(held_ids(interest, VIN, "vin", small), "vin", "left_anti")
+        .select(*events.columns)
+    )
 
 
-def visible_to(events: DataFrame, grants: DataFrame) -> DataFrame:
+def visible_to(events: DataFrame, grants: DataFrame, limit_bytes: int | None = None) -> DataFrame:
     """Events that one subscriber, the holder of all ``grants``, may see."""
-
-    def held(prefix, column, flag):
-        rows = grants.where(F.startswith("topic", F.lit(prefix)))
-        bare = F.substr("topic", F.lit(len(prefix) + 1)).alias(column)
-        return rows.select(bare).distinct().withColumn(flag, F.lit(True))
-
+    small = fits_broadcast(grants, limit_bytes)
+    fleets = held_ids(grants, FLEET, "fleet_id", small).withColumn("by_fleet", F.lit(True))
+    vins = held_ids(grants, VIN, "vin", small).withColumn("by_vin", F.lit(True))
     sees_all = grants.where(F.col("topic") == ALL).exists()
-    flagged = lookup_join(events, held(FLEET, "fleet_id", "by_fleet"), "fleet_id", "left")
-    flagged = lookup_join(flagged, held(VIN, "vin", "by_vin"), "vin", "left")
-    return flagged.where(
-        sees_all | F.col("by_fleet").isNotNull() | F.col("by_vin").isNotNull()
-    ).select(*events.columns)
+    return (
+        events.join(fleets, "fleet_id", "left")
+        .join(vins, "vin", "left")
+        .where(sees_all | F.col("by_fleet").isNotNull() | F.col("by_vin").isNotNull())
+        .select(*events.columns)
+    )
 
 
 def routing_outcomes(

@@ -415,9 +415,10 @@ PLAIN = {
       {POSITION} AS position_text, {DELAY} AS pipeline_delay_ms
       FROM admin_board ORDER BY {RANK}, vin""",
     "board_filter": f"""SELECT {EVENT} FROM admin_board
-      WHERE fleet_id = 'fleet-nation_7' AND contains(vin, 'RA1024')""",
+      WHERE contains(vin, 'RA1023')""",
     "board_order": f"SELECT vin, {RANK} AS status_rank FROM admin_board ORDER BY 2, 1",
-    "vehicle_detail": f"SELECT {EVENT} FROM admin_board WHERE vin = '7H4T9K2L5RA102304'",
+    "vehicle_detail": f"""SELECT {EVENT} FROM canonical WHERE vin = '7H4T9K2L5RA102304'
+      ORDER BY device_timestamp DESC LIMIT 1""",
     "status_tally": f"""SELECT status, count(*) AS n, {RANK} > 0 AS shown
       FROM admin_board GROUP BY status""",
     "visible_fleets": "SELECT DISTINCT fleet_id FROM admin_board",

@@ -275,13 +275,9 @@ def q_conflate(spark, sf):
 
 
 def q_interest_versions(spark, sf):
-    held = t.interest_snapshots(spark, sf).join(grants(spark, sf), "user_id", "left")
-    snapshot = F.concat_ws("@", "pod", "as_of")
-    keyed = held.select(snapshot.alias("snapshot"), "pod", "as_of", "user_id", "topic")
-    lists = access.pod_interest(
-        keyed.select(F.col("snapshot").alias("pod"), "user_id"), grants(spark, sf)
-    )
-    snapshots = lists.select(
+    connected = t.interest_snapshots(spark, sf)
+    per_hour = connected.select(F.concat_ws("@", "pod", "as_of").alias("pod"), "user_id")
+    snapshots = access.pod_interest(per_hour, grants(spark, sf)).select(
         F.substring_index("pod", "@", 1).alias("pod"),
         F.substring_index("pod", "@", -1).cast("long").alias("as_of"),
         "all_fleets",
@@ -371,7 +367,7 @@ def q_fleet_board(spark, sf):
 
 
 def q_board_filter(spark, sf):
-    return board.board_filter(latest(spark, sf), "fleet-nation_7", " ra1024 ").select(*EVENT_COLUMNS)
+    return board.board_filter(latest(spark, sf), "all", " ra1023 ").select(*EVENT_COLUMNS)
 
 
 def q_board_order(spark, sf):
@@ -381,7 +377,8 @@ def q_board_order(spark, sf):
 
 
 def q_vehicle_detail(spark, sf):
-    return board.vehicle_detail(latest(spark, sf), "7H4T9K2L5RA102304").select(*EVENT_COLUMNS)
+    newest = history.newest_per_vehicle(canonical(spark, sf))
+    return board.vehicle_detail(newest, "7H4T9K2L5RA102304").select(*EVENT_COLUMNS)
 
 
 def q_status_tally(spark, sf):
