@@ -3,6 +3,7 @@
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -33,6 +34,11 @@ def build_session(master=None, app_name="roadpulse", **conf):
     return spark
 
 
+@lru_cache(maxsize=1)
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="roadpulse-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``.
 
@@ -43,8 +49,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="roadpulse-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        base = _local_base()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -1,0 +1,211 @@
+import itertools
+import time
+from types import SimpleNamespace
+
+import pytest
+from pyspark.sql import functions as F
+
+from roadpulse.operators import pipeline
+from roadpulse.operators.ingest import decode_telemetry
+from roadpulse.plans.pipelines import canonical_events
+from roadpulse.session import shared_dir
+from roadpulse.sources import logs
+from roadpulse.sources.history import read_history
+from roadpulse.sources.logs import LogSource, read_batches, read_live_stream, read_raw_stream
+from roadpulse.streaming import jobs
+from roadpulse.streaming.dedup import dedup_ttl
+from tests.conftest import rows
+from tests.samples import NOW, VIN_A, VIN_B, VIN_C, event, events, raw, wire
+
+MINUTE = 60_000
+
+
+def fleets(spark):
+    return spark.createDataFrame([(VIN_A, "fleet-1")], "vin string, fleet_id string")
+
+
+def append(df, path):
+    """One file per call, so that each call is a micro-batch."""
+    df.coalesce(1).write.mode("append").parquet(path)
+
+
+def finish(query):
+    query.awaitTermination()
+
+
+def one_by_one(path):
+    return LogSource(path=path, batch_size=1)
+
+
+def test_canonical_stream_equals_the_batch_pipeline(spark, tmp_path):
+    path, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    parts = [
+        [wire(), wire(vin=VIN_B), b"broken"],
+        [wire(soc=1.0), wire(ts=NOW + 1), wire(vin="SHORT")],
+        [wire(vin=VIN_B, soc=2.0), wire(vin=VIN_C)],
+    ]
+    for i, part in enumerate(parts):
+        append(raw(spark, *part, start=10 * i), path)
+
+    def run():
+        stream = read_raw_stream(spark, one_by_one(path))
+        finish(
+            jobs.canonical_stream(
+                stream, lambda: fleets(spark), out, clock=lambda: NOW, processed_ms=NOW
+            )
+        )
+
+    run()
+    log = spark.read.parquet(path)
+    batch = canonical_events(decode_telemetry(log), fleets(spark), NOW, NOW)
+    names = [f.name for f in jobs.EVENTS_WITH_POSITION.fields]
+    assert rows(jobs.read_canonical(spark, out), *names) == rows(batch, *names)
+    assert rows(jobs.read_dead_letters(spark, out), "source_offset") == [(2,), (12,)]
+    reasons = jobs.read_dead_letters(spark, out).orderBy("source_offset").collect()
+    assert reasons[0]["reason"].startswith("decode: ") and bytes(reasons[0]["value"]) == b"broken"
+
+    append(raw(spark, wire(), wire(vin=VIN_C, ts=NOW + 2), start=40), path)
+    run()
+    assert jobs.read_canonical(spark, out).count() == batch.count() + 1
+
+
+@pytest.mark.parametrize("broken_step", ["_remember", "write_batch"])
+def test_a_failed_batch_is_repeated_without_loss_or_repeats(spark, tmp_path, monkeypatch, broken_step):
+    path, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    for i in range(3):
+        append(raw(spark, wire(ts=NOW + i), wire(ts=NOW + i + 1), b"x", start=10 * i), path)
+    real, calls = getattr(jobs, broken_step), itertools.count()
+
+    def failing(*args):
+        if next(calls) == 3:
+            raise RuntimeError("executor lost")
+        real(*args)
+
+    def run():
+        stream = read_raw_stream(spark, one_by_one(path))
+        finish(jobs.canonical_stream(stream, lambda: fleets(spark), out, clock=lambda: NOW))
+
+    calls = itertools.count(2 if broken_step == "_remember" else 0)
+    monkeypatch.setattr(jobs, broken_step, failing)
+    with pytest.raises(Exception, match="executor lost"):
+        run()
+    monkeypatch.setattr(jobs, broken_step, real)
+    run()
+    assert rows(jobs.read_canonical(spark, out), "device_timestamp") == [(NOW + i,) for i in range(4)]
+    assert rows(jobs.read_dead_letters(spark, out), "source_offset") == [(2,), (12,), (22,)]
+
+
+def test_keys_expire_an_hour_after_their_first_publish(spark, tmp_path):
+    path, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    for i, minutes in enumerate([0, 50, 70]):
+        append(raw(spark, wire(), start=i), path)
+        stream = read_raw_stream(spark, one_by_one(path))
+        now = NOW + minutes * MINUTE
+        finish(jobs.canonical_stream(stream, lambda: fleets(spark), out, clock=lambda now=now: now))
+    assert rows(jobs.read_canonical(spark, out), "offset") == [(0,), (2,)]
+
+
+def test_dedup_state_keeps_the_first_and_expires(spark, tmp_path):
+    path, out, ttl = str(tmp_path / "raw"), str(tmp_path / "out"), 25
+
+    def run(*values, start):
+        append(raw(spark, *values, start=start), path)
+        stream = read_raw_stream(spark, one_by_one(path))
+        valid = pipeline.valid_only(pipeline.checked(decode_telemetry(stream), NOW))
+        kept = dedup_ttl(pipeline.report_columns(valid), ttl * 1000)
+        finish(
+            jobs.start(kept, lambda b, i: logs.write_batch(b, f"{out}/kept", i), f"{out}/checkpoint")
+        )
+        return rows(read_batches(spark, f"{out}/kept", kept.schema), "offset")
+
+    begin = time.time()
+    assert run(wire(), wire(), wire(vin=VIN_B), start=0) == [(0,), (2,)]
+    first_done = time.time()
+    assert run(wire(soc=1.0), start=10) == [(0,), (2,)]
+    assert time.time() - begin < ttl, "too slow a machine for this time to live"
+    time.sleep(max(0.0, first_done + ttl + 1 - time.time()))
+    assert run(wire(), start=20) == [(0,), (2,), (20,)]
+
+
+def canonical_log(spark, path, *batches):
+    for batch in batches:
+        append(jobs.log_records(events(spark, *batch)), path)
+
+
+def test_history_stream_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "log")
+    canonical_log(
+        spark,
+        path,
+        [event(VIN_A, NOW, "old", 0), event(VIN_B, NOW, offset=1)],
+        [event(VIN_A, NOW, "new", 2), event(VIN_C, NOW - 86_400_000, offset=3)],
+    )
+    results = []
+    for attempt in range(2):
+        stream = read_raw_stream(spark, one_by_one(path))
+        # A fresh checkpoint with the same target: every batch is written again.
+        finish(jobs.history_stream(stream, str(tmp_path / "history"), str(tmp_path / f"c{attempt}")))
+        results.append(rows(read_history(spark, str(tmp_path / "history")), "vin", "fleet_id"))
+    assert results[0] == results[1] == [(VIN_A, "new"), (VIN_B, "fleet-1"), (VIN_C, "fleet-1")]
+
+
+def test_latest_state_ignores_late_reports(spark, tmp_path):
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    canonical_log(
+        spark,
+        path,
+        [event(VIN_A, NOW, offset=0, status="IDLE"), event(VIN_B, NOW, offset=1)],
+        [event(VIN_A, NOW - 1, offset=2, status="PARKED")],
+        [event(VIN_B, NOW, offset=3, status="FAULT")],
+    )
+    finish(jobs.latest_state_stream(read_raw_stream(spark, one_by_one(path)), out, {"availableNow": True}))
+    assert rows(jobs.read_latest_state(spark, out), "vin", "status", "offset") == [
+        (VIN_A, "IDLE", 0), (VIN_B, "FAULT", 3)
+    ]
+
+
+def test_live_feed_reads_grants_for_every_batch(spark, tmp_path):
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    granted = []
+
+    def run(*batch):
+        canonical_log(spark, path, batch)
+        table = spark.createDataFrame(granted, "user_id string, topic string")
+        finish(
+            jobs.live_feed_stream(
+                read_live_stream(spark, one_by_one(path)),
+                lambda: table,
+                out,
+                interest=lambda: table.withColumn("pod", F.lit("p")).drop("user_id").distinct(),
+                clock=lambda: NOW,
+            )
+        )
+        return rows(jobs.read_feed(spark, out), "user_id", "vin", "offset")
+
+    assert run(event(VIN_A, NOW, offset=0)) == []
+    granted.append(("ann", "fleet:fleet-1"))
+    assert run(event(VIN_A, NOW, offset=1), event(VIN_B, NOW - 60_000, offset=2)) == [("ann", VIN_A, 1)]
+    granted.append(("boss", "*"))
+    assert run(event(VIN_B, NOW, offset=3)) == [("ann", VIN_A, 1), ("ann", VIN_B, 3), ("boss", VIN_B, 3)]
+
+
+def test_reading_before_anything_was_written(spark, tmp_path):
+    assert jobs.read_canonical(spark, str(tmp_path / "none")).count() == 0
+    assert jobs.read_feed(spark, str(tmp_path / "none")).count() == 0
+
+
+def session_with(master, **conf):
+    """What ``shared_dir`` looks at; the setting itself cannot be changed in a running session."""
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: conf.get(key.replace(".", "_"), default)),
+        sparkContext=SimpleNamespace(master=master),
+    )
+
+
+def test_shared_dir_follows_the_session():
+    cluster = session_with("yarn", spark_checkpoint_dir="/shared/place/")
+    assert shared_dir(cluster, "x").startswith("/shared/place/x-")
+    assert shared_dir(cluster, "x") != shared_dir(cluster, "x")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session_with("yarn"), "x")
+    assert "roadpulse-" in shared_dir(session_with("local[2]"), "x")
