@@ -58,3 +58,12 @@ def index_name(device_timestamp: Column, prefix: str = "telemetry") -> Column:
 
 def geo_point(lat: Column, lng: Column) -> Column:
     return F.struct(lat.alias("lat"), lng.alias("lon"))
+
+
+def once(value: Column) -> Column:
+    """The same value from a generator of one row, which filters cannot be pushed through.
+
+    Without it a filter on a parsed document is moved below the projection, with a copy of the parse
+    for every mention.
+    """
+    return F.explode(F.array(value))

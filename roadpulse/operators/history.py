@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadpulse.functions.telemetry import DAY_MS, event_date, geo_point, index_name
+from roadpulse.functions.telemetry import DAY_MS, event_date, geo_point, index_name, once
 from roadpulse.operators.routing import visible_to
 from roadpulse.schemas import CANONICAL, CANONICAL_JSON, JSON_NAMES, WRITE_ORDER
 
@@ -22,7 +22,7 @@ def parse_canonical(records: DataFrame) -> DataFrame:
         T.StructType([*CANONICAL_JSON.fields, T.StructField(CORRUPT, T.StringType())]),
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
     )
-    with_event = records.withColumn("event", parsed)
+    with_event = records.withColumn("event", once(parsed))
     columns = []
     for field in CANONICAL.fields:
         value = F.col(f"event.{JSON_NAMES[field.name]}")

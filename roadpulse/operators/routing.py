@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadpulse.functions.telemetry import once
 from roadpulse.operators.access import ALL, FLEET, VIN, topic
 from roadpulse.operators.lookup import fits_broadcast
 
@@ -27,7 +28,7 @@ def routing_keys(records: DataFrame) -> DataFrame:
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"},
     )
     return (
-        records.withColumn("ids", ids)
+        records.withColumn("ids", once(ids))
         .where(F.col("ids").isNotNull() & F.col("ids.bad").isNull())
         .withColumn("vin", F.coalesce("ids.vin", F.lit("")))
         .withColumn("fleet_id", F.coalesce("ids.fleetId", F.lit("")))

@@ -629,7 +629,7 @@ def q_live_feed_stream(spark, sf):
         log,
         lambda: grants(spark, sf),
         out,
-        interest=lambda: interest(spark, sf, admins=True),
+        connections=lambda: t.connections(spark, sf),
         clock=lambda: NOW,
         max_age_ms=24 * 60 * 60 * 1000,
     )

@@ -43,7 +43,6 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Counting from the zone-less epoch keeps the result free of the session's time zone.
     ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     k = F.get_json_object("props", "$.k").cast("long")
-    copies = F.when(number % 33 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     code = (
         F.when(number % 503 == 3, 0)
         .when(number % 509 == 4, 7)
@@ -53,14 +52,12 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "signup", 4)
         .otherwise(5)
     )
+    def copy(rep):
+        return F.struct(F.lit(rep).alias("rep"), ms.alias("ms"), k.alias("k"))
+
+    copies = F.when(number % 33 == 0, F.array(copy(0), copy(1))).otherwise(F.array(copy(0)))
     sent = table(spark, sf_dir, "events").select(
-        "event_id",
-        "user_id",
-        "value",
-        ms.alias("ms"),
-        k.alias("k"),
-        code.alias("status_code"),
-        F.explode(copies).alias("rep"),
+        "event_id", "user_id", "value", code.alias("status_code"), F.inline(copies)
     )
     ingest = F.when(number % 97 == 1, F.lit("abc")).otherwise(
         (F.col("ms") + 95 + F.col("k") * 10 + F.col("rep") * 500).cast("string")

@@ -29,7 +29,7 @@ from roadpulse.operators.pipeline import (
     valid_only,
     write_canonical,
 )
-from roadpulse.operators.routing import authorize_events, fresh_only, route_events, routing_keys
+from roadpulse.operators.routing import MAX_AGE_MS, authorize_events, fresh_only, routing_keys
 from roadpulse.schemas import CANONICAL, RAW_LOG
 from roadpulse.sources.history import write_history
 from roadpulse.sources.logs import path_exists, read_batches, write_batch
@@ -185,21 +185,22 @@ def live_feed_stream(
     log: DataFrame,
     grants: Table,
     out: str,
-    interest: Table | None = None,
+    connections: Table | None = None,
     clock: Clock = wall_clock_ms,
-    max_age_ms: int = 30_000,
+    max_age_ms: int = MAX_AGE_MS,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Canonical log to one row per user and event: fresh records only, matched to grants.
 
-    ``interest`` gives pod grants; with it, events that no pod wants are dropped first.
+    With ``connections``, only users who are connected get rows. Routing to their pods first would
+    change nothing but the work done (see ``two_stage_feed``), so users are matched directly.
     """
     def each_batch(batch: DataFrame, batch_id: int) -> None:
+        held = grants()
+        if connections is not None:
+            held = held.join(connections().select("user_id").distinct(), "user_id", "left_semi")
         events = routing_keys(fresh_only(batch, clock(), max_age_ms))
-        if interest is not None:
-            wanted = route_events(events, interest()).drop("pod")
-            events = wanted.dropDuplicates(LOG_ORDER)
-        write_batch(authorize_events(events, grants()), f"{out}/feed", batch_id)
+        write_batch(authorize_events(events, held), f"{out}/feed", batch_id)
 
     return start(log, each_batch, f"{out}/checkpoint/feed", trigger)
 

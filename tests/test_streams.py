@@ -3,7 +3,6 @@ import time
 from types import SimpleNamespace
 
 import pytest
-from pyspark.sql import functions as F
 
 from roadpulse.operators import pipeline
 from roadpulse.operators.ingest import decode_telemetry
@@ -170,13 +169,18 @@ def test_live_feed_reads_grants_for_every_batch(spark, tmp_path):
 
     def run(*batch):
         canonical_log(spark, path, batch)
-        table = spark.createDataFrame(granted, "user_id string, topic string")
+        table = spark.createDataFrame(
+            [*granted, ("offline", "*")], "user_id string, topic string"
+        )
+        online = spark.createDataFrame(
+            [("p", "ann"), ("q", "ann"), ("p", "boss")], "pod string, user_id string"
+        )
         finish(
             jobs.live_feed_stream(
                 read_live_stream(spark, one_by_one(path)),
                 lambda: table,
                 out,
-                interest=lambda: table.withColumn("pod", F.lit("p")).drop("user_id").distinct(),
+                connections=lambda: online,
                 clock=lambda: NOW,
             )
         )
