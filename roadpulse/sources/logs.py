@@ -78,12 +78,29 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
+def read_partitions(
+    spark: SparkSession, path: str, schema: T.StructType, partitions: list[str]
+) -> DataFrame:
+    """Only the named partition folders, those that exist; the others are not even listed."""
+    found = [f"{path}/{p}" for p in partitions if path_exists(spark, f"{path}/{p}")]
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*found)
+
+
+def read_batch(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    return read_partitions(spark, path, with_batch(schema), [f"batch_id={batch_id}"])
+
+
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Every written micro-batch; no rows if nothing was written yet."""
-    full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
     if not path_exists(spark, path):
-        return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(path)
+        return spark.createDataFrame([], with_batch(schema))
+    return spark.read.schema(with_batch(schema)).parquet(path)
+
+
+def with_batch(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -32,11 +32,12 @@ from roadpulse.operators.pipeline import (
 from roadpulse.operators.routing import MAX_AGE_MS, authorize_events, fresh_only, routing_keys
 from roadpulse.schemas import CANONICAL, RAW_LOG
 from roadpulse.sources.history import write_history
-from roadpulse.sources.logs import path_exists, read_batches, write_batch
+from roadpulse.sources.logs import read_batch, read_batches, read_partitions, write_batch
 from roadpulse.streaming.dedup import DEDUP_TTL_MS
 
 Table = Callable[[], DataFrame]
 Clock = Callable[[], int]
+Sink = Callable[[DataFrame], None]
 
 EVENTS_WITH_POSITION = T.StructType(
     [
@@ -46,6 +47,14 @@ EVENTS_WITH_POSITION = T.StructType(
         T.StructField("timestamp", T.TimestampType()),
     ]
 )
+DEAD_LETTER = T.StructType(
+    [
+        *RAW_LOG.fields[:3],
+        T.StructField("source_partition", T.IntegerType()),
+        T.StructField("source_offset", T.LongType()),
+        T.StructField("reason", T.StringType()),
+    ]
+)
 SEEN = T.StructType(
     [
         T.StructField("vin", T.StringType()),
@@ -93,15 +102,15 @@ def start(
 
 
 def _seen_before(spark: SparkSession, path: str, now_ms: int, ttl_ms: int, batch_id: int) -> DataFrame:
-    """Keys published within the TTL by other batches; the hours prune the scan."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], SEEN)
+    """Keys published within the TTL by other batches.
+
+    Only the hours that can hold them are opened, however long the job has run. The hour after now
+    is among them in case the clock of an earlier driver was ahead.
+    """
     since = now_ms - ttl_ms
-    return (
-        spark.read.schema(SEEN)
-        .parquet(path)
-        .where((F.col("hour") >= since // HOUR_MS) & (F.col("published_ms") > since))
-        .where(F.col("batch_id") != batch_id)
+    hours = [f"hour={h}" for h in range(since // HOUR_MS, now_ms // HOUR_MS + 2)]
+    return read_partitions(spark, path, SEEN, hours).where(
+        (F.col("published_ms") > since) & (F.col("batch_id") != batch_id)
     )
 
 
@@ -127,6 +136,8 @@ def canonical_stream(
     clock: Clock = wall_clock_ms,
     processed_ms=None,
     ttl_ms: int = DEDUP_TTL_MS,
+    publish: Sink | None = None,
+    publish_rejects: Sink | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Raw log to canonical events and dead letters, at least once and without repeats.
@@ -134,7 +145,11 @@ def canonical_stream(
     Per batch: publish, then remember the keys, then let Spark commit the offsets. The keys live in a
     table partitioned by hour rather than in operator state, which keeps the whole batch inside
     the JVM: one anti join against the last hours instead of a Python call per report.
+
+    ``publish`` and ``publish_rejects`` get the written rows as log records, for example to
+    send them to a topic.
     """
+
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         spark, now = batch.sparkSession, clock()
         rows = checked(decode_telemetry(batch), now).persist(StorageLevel.MEMORY_AND_DISK)
@@ -148,8 +163,12 @@ def canonical_stream(
             write_batch(events, f"{out}/canonical", batch_id)
         finally:
             rows.unpersist()
-        written = read_batches(spark, f"{out}/canonical", EVENTS_WITH_POSITION)
-        _remember(written.where(F.col("batch_id") == batch_id), f"{out}/seen", now, batch_id)
+        written = read_batch(spark, f"{out}/canonical", EVENTS_WITH_POSITION, batch_id)
+        if publish is not None:
+            publish(log_records(written))
+        if publish_rejects is not None:
+            publish_rejects(read_batch(spark, f"{out}/dead_letters", DEAD_LETTER, batch_id))
+        _remember(written, f"{out}/seen", now, batch_id)
 
     metrics = raw.observe("raw_records", F.count(F.lit(1)).alias("received"))
     return start(metrics, each_batch, f"{out}/checkpoint/canonical", trigger)
@@ -160,15 +179,7 @@ def read_canonical(spark: SparkSession, out: str) -> DataFrame:
 
 
 def read_dead_letters(spark: SparkSession, out: str) -> DataFrame:
-    schema = T.StructType(
-        [
-            *RAW_LOG.fields[:3],
-            T.StructField("source_partition", T.IntegerType()),
-            T.StructField("source_offset", T.LongType()),
-            T.StructField("reason", T.StringType()),
-        ]
-    )
-    return read_batches(spark, f"{out}/dead_letters", schema)
+    return read_batches(spark, f"{out}/dead_letters", DEAD_LETTER)
 
 
 FEED = T.StructType(
@@ -195,6 +206,7 @@ def live_feed_stream(
     With ``connections``, only users who are connected get rows. Routing to their pods first would
     change nothing but the work done (see ``two_stage_feed``), so users are matched directly.
     """
+
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         held = grants()
         if connections is not None:

@@ -46,11 +46,19 @@ def test_canonical_stream_equals_the_batch_pipeline(spark, tmp_path):
     for i, part in enumerate(parts):
         append(raw(spark, *part, start=10 * i), path)
 
+    topic, rejects = str(tmp_path / "topic"), str(tmp_path / "rejects")
+
     def run():
         stream = read_raw_stream(spark, one_by_one(path))
         finish(
             jobs.canonical_stream(
-                stream, lambda: fleets(spark), out, clock=lambda: NOW, processed_ms=NOW
+                stream,
+                lambda: fleets(spark),
+                out,
+                clock=lambda: NOW,
+                processed_ms=NOW,
+                publish=lambda df: df.write.mode("append").parquet(topic),
+                publish_rejects=lambda df: df.write.mode("append").parquet(rejects),
             )
         )
 
@@ -61,6 +69,10 @@ def test_canonical_stream_equals_the_batch_pipeline(spark, tmp_path):
     assert rows(jobs.read_canonical(spark, out), *names) == rows(batch, *names)
     assert rows(jobs.read_dead_letters(spark, out), "source_offset") == [(2,), (12,)]
     reasons = jobs.read_dead_letters(spark, out).orderBy("source_offset").collect()
+    published = spark.read.parquet(topic)
+    assert rows(published, "offset") == rows(batch, "offset")
+    assert bytes(published.first()["headers"][0]["value"]).decode() in ("fleet-1", "UNASSIGNED")
+    assert spark.read.parquet(rejects).count() == 2
     assert reasons[0]["reason"].startswith("decode: ") and bytes(reasons[0]["value"]) == b"broken"
 
     append(raw(spark, wire(), wire(vin=VIN_C, ts=NOW + 2), start=40), path)
