@@ -520,7 +520,7 @@ def q_write_canonical(spark, sf):
 PARTS = 4
 
 
-def raw_log_files(spark, sf) -> LogSource:
+def raw_log_files(spark, sf, batches: int = PARTS) -> LogSource:
     """The raw log as files in log order, the repeats last, so that they meet across batches."""
     path = shared_dir(spark, "raw-log")
     log = t.raw_log(spark, sf)
@@ -531,11 +531,11 @@ def raw_log_files(spark, sf) -> LogSource:
         here = (F.col("offset") >= part * step) & (F.col("offset") < (part + 1) * step)
         first.where(here).write.mode("append").parquet(path)
     second.write.mode("append").parquet(path)
-    return LogSource(path=path, batch_size=files_per_batch(spark, path))
+    return LogSource(path=path, batch_size=files_per_batch(spark, path, batches))
 
 
-def files_per_batch(spark, path) -> int:
-    return max(1, -(-len(spark.read.schema(RAW_LOG).parquet(path).inputFiles()) // PARTS))
+def files_per_batch(spark, path, batches: int = PARTS) -> int:
+    return max(1, -(-len(spark.read.schema(RAW_LOG).parquet(path).inputFiles()) // batches))
 
 
 def run(query):
@@ -558,7 +558,7 @@ def q_read_raw_stream(spark, sf):
 
 def q_dedup_ttl(spark, sf):
     out = shared_dir(spark, "dedup")
-    stream = read_raw_stream(spark, raw_log_files(spark, sf))
+    stream = read_raw_stream(spark, raw_log_files(spark, sf, batches=2))
     rows = pipeline.checked(ingest.decode_telemetry(stream), NOW)
     kept = dedup_ttl(pipeline.report_columns(pipeline.valid_only(rows)))
     run(jobs.start(kept, lambda b, i: write_batch(b, f"{out}/kept", i), f"{out}/checkpoint"))
