@@ -15,6 +15,16 @@ from roadpulse.schemas import (
 )
 
 FUTURE_TOLERANCE_MS = 5 * 60 * 1000
+
+# Reasons for rejecting a report.
+INVALID_VIN = "invalid VIN "
+OUT_OF_RANGE = "coordinates out of range"
+BATTERY_OUT_OF_RANGE = "batterySOC out of range"
+MISSING_TIME = "missing deviceTimestamp"
+FUTURE_TIME = "deviceTimestamp in the future"
+# A reason of our own, see validate().
+NOT_FINITE = "not a finite number"
+
 EVENT_KEY = ["vin", "device_timestamp"]
 LOG_ORDER = ["partition", "offset"]
 
@@ -33,17 +43,14 @@ def validate(decoded: DataFrame, now_ms: int) -> DataFrame:
     the log for good. Spark orders NaN above all numbers, hence the test before the ranges.
     """
     lat, lng, soc, ts = (F.col(c) for c in ["lat", "lng", "battery_soc", "device_timestamp"])
-    not_finite = F.lit("not a finite number")
     error = (
-        F.when(
-            F.octet_length("vin") != 17, F.concat(F.lit("invalid VIN "), _quoted(F.col("vin")))
-        )
-        .when(F.isnan(lat) | F.isnan(lng), not_finite)
-        .when(~lat.between(-90, 90) | ~lng.between(-180, 180), F.lit("coordinates out of range"))
-        .when(F.isnan(soc), not_finite)
-        .when(~soc.between(0, 100), F.lit("batterySOC out of range"))
-        .when(ts <= 0, F.lit("missing deviceTimestamp"))
-        .when(ts > now_ms + FUTURE_TOLERANCE_MS, F.lit("deviceTimestamp in the future"))
+        F.when(F.octet_length("vin") != 17, F.concat(F.lit(INVALID_VIN), _quoted(F.col("vin"))))
+        .when(F.isnan(lat) | F.isnan(lng), NOT_FINITE)
+        .when(~lat.between(-90, 90) | ~lng.between(-180, 180), OUT_OF_RANGE)
+        .when(F.isnan(soc), NOT_FINITE)
+        .when(~soc.between(0, 100), BATTERY_OUT_OF_RANGE)
+        .when(ts <= 0, MISSING_TIME)
+        .when(ts > now_ms + FUTURE_TOLERANCE_MS, FUTURE_TIME)
     )
     return decoded.withColumn("validate_error", error)
 

@@ -483,6 +483,13 @@ PLAIN = {
     "canonical_stream": f"SELECT {EVENT} FROM canonical",
     "dead_letter_stream": """SELECT vin AS "key", error AS reason, "partition", "offset"
       FROM checked WHERE error IS NOT NULL""",
+    "processing_outcomes_stream": """
+      SELECT 'invalid' AS outcome, (SELECT count(*) FROM checked WHERE error IS NOT NULL) AS n
+      UNION ALL SELECT 'duplicate', (SELECT count(*) FROM checked WHERE error IS NULL)
+        - (SELECT count(*) FROM canonical)
+      UNION ALL SELECT 'unassigned_vin', (SELECT count(*) FROM canonical
+        WHERE fleet_id = 'UNASSIGNED')
+      UNION ALL SELECT 'published', (SELECT count(*) FROM canonical)""",
     "history_stream": f"SELECT {EVENT}, {DATE} AS event_date FROM canonical",
     "latest_state_stream": f"""SELECT {EVENT} FROM (
       SELECT *, row_number() OVER (PARTITION BY vin ORDER BY device_timestamp DESC) AS rn

@@ -597,6 +597,10 @@ def q_dead_letter_stream(spark, sf):
     )
 
 
+def q_processing_outcomes_stream(spark, sf):
+    return jobs.read_outcomes(spark, _canonical_job(spark, sf))
+
+
 def q_history_stream(spark, sf):
     out = shared_dir(spark, "history-job")
     log = read_raw_stream(spark, canonical_log_files(spark, sf))

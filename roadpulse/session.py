@@ -54,7 +54,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Gives the Python workers of every executor this package, once per session."""
+    """Gives the Python workers of every executor this package, once per session.
+
+    The archive is made on the driver; Spark copies it to the executors.
+    """
     if spark.conf.get(SHIPPED, None):
         return
     source = Path(__file__).resolve().parent

@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -30,7 +30,7 @@ from roadpulse.operators.pipeline import (
     write_canonical,
 )
 from roadpulse.operators.routing import MAX_AGE_MS, authorize_events, fresh_only, routing_keys
-from roadpulse.schemas import CANONICAL, RAW_LOG
+from roadpulse.schemas import CANONICAL, RAW_LOG, UNASSIGNED
 from roadpulse.sources.history import write_history
 from roadpulse.sources.logs import read_batch, read_batches, read_partitions, write_batch
 from roadpulse.streaming.dedup import DEDUP_TTL_MS
@@ -64,6 +64,12 @@ SEEN = T.StructType(
         T.StructField("batch_id", T.LongType()),
     ]
 )
+OUTCOMES = T.StructType(
+    [
+        T.StructField(name, T.LongType())
+        for name in ("received", "invalid", "unassigned_vin", "published")
+    ]
+)
 HOUR_MS = 60 * 60 * 1000
 FLUSH = "250 milliseconds"
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
@@ -154,7 +160,13 @@ def canonical_stream(
         spark, now = batch.sparkSession, clock()
         rows = checked(decode_telemetry(batch), now).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            write_batch(dead_letter(rows), f"{out}/dead_letters", batch_id)
+            counts = Observation()
+            counted = rows.observe(
+                counts,
+                F.count(F.lit(1)).alias("received"),
+                F.count_if(F.col("error").isNotNull()).alias("invalid"),
+            )
+            write_batch(dead_letter(counted), f"{out}/dead_letters", batch_id)
             firsts = dedup_in_batch(report_columns(valid_only(rows)))
             fresh = drop_seen(firsts, _seen_before(spark, f"{out}/seen", now, ttl_ms, batch_id))
             events = canonicalize(
@@ -169,15 +181,33 @@ def canonical_stream(
         if publish_rejects is not None:
             publish_rejects(read_batch(spark, f"{out}/dead_letters", DEAD_LETTER, batch_id))
         _remember(written, f"{out}/seen", now, batch_id)
+        outcomes = written.agg(
+            *[F.lit(counts.get[name]).cast("long").alias(name) for name in ("received", "invalid")],
+            F.count_if(F.col("fleet_id") == UNASSIGNED).alias("unassigned_vin"),
+            F.count(F.lit(1)).alias("published"),
+        )
+        write_batch(outcomes, f"{out}/outcomes", batch_id)
 
-    metrics = raw.observe("raw_records", F.count(F.lit(1)).alias("received"))
-    return start(metrics, each_batch, f"{out}/checkpoint/canonical", trigger)
+    return start(raw, each_batch, f"{out}/checkpoint/canonical", trigger)
 
 
 def read_canonical(spark: SparkSession, out: str) -> DataFrame:
     return read_batches(spark, f"{out}/canonical", EVENTS_WITH_POSITION)
 
 
+def read_outcomes(spark: SparkSession, out: str) -> DataFrame:
+    """Record counts by outcome over all batches, as ``processing_outcomes`` gives for a table."""
+    rows = read_batches(spark, f"{out}/outcomes", OUTCOMES)
+    duplicate = F.col("received") - F.col("invalid") - F.col("published")
+    totals = rows.withColumn("duplicate", duplicate).agg(
+        *[
+            F.coalesce(F.sum(name), F.lit(0)).alias(name)
+            for name in ("invalid", "duplicate", "unassigned_vin", "published")
+        ]
+    )
+    return totals.unpivot([], totals.columns, "outcome", "n")
+
+
 def read_dead_letters(spark: SparkSession, out: str) -> DataFrame:
     return read_batches(spark, f"{out}/dead_letters", DEAD_LETTER)
 

@@ -104,6 +104,9 @@ def test_a_failed_batch_is_repeated_without_loss_or_repeats(spark, tmp_path, mon
     run()
     assert rows(jobs.read_canonical(spark, out), "device_timestamp") == [(NOW + i,) for i in range(4)]
     assert rows(jobs.read_dead_letters(spark, out), "source_offset") == [(2,), (12,), (22,)]
+    assert dict(rows(jobs.read_outcomes(spark, out))) == {
+        "invalid": 3, "duplicate": 2, "unassigned_vin": 0, "published": 4
+    }
 
 
 def test_keys_expire_an_hour_after_their_first_publish(spark, tmp_path):
