@@ -200,11 +200,6 @@ def fleet_name(column: str) -> str:
       THEN concat(upper(substr({bare}, 1, 1)), substr({bare}, 2)) ELSE {bare} END"""
 
 
-def text_list(column: str, source: str, key: str) -> str:
-    return f"""coalesce((SELECT string_agg(DISTINCT {column}, ',' ORDER BY {column})
-      FROM {source}), '')"""
-
-
 def scope_of(outer: str) -> str:
     return f"""SELECT user_id, role = 'admin' AS all_fleets,
       coalesce((SELECT string_agg(fleet_id, ',' ORDER BY fleet_id) FROM wants_fleet w
