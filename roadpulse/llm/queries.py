@@ -1,20 +1,20 @@
 """The operators applied to their whole tables, with production parameters and plain result columns."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import quality, sharding, urls
+from roadpulse.llm import decontaminate, pieces, quality, sharding, urls, warc
 from roadpulse.llm.shared import table, text_or_empty
-from roadpulse.session import ship_package
+from roadpulse.session import shared_dir, ship_package
 
 
 def op1_histogram_shards(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    placed = sharding.histogram_shards(docs)
-    return placed.select(
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.crc32(text_or_empty()).alias("text_crc32"))
+    return sharding.histogram_shards(docs).select(
         "doc_id",
         "size",
-        F.crc32(text_or_empty()).alias("text_crc32"),
+        "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
         "slot",
@@ -22,6 +22,19 @@ def op1_histogram_shards(spark, sf):
     )
 
 
+def op2_winnowing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = decontaminate.benchmark_hits(docs, table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("hit_words").cast("long").alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("hit_items"), ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
 def op3_quality_ledger(spark, sf):
     rows = quality.ledger(table(spark, sf, "documents").select("doc_id", "text"))
     judged = quality.apply_policy(rows, "v2")
@@ -34,6 +47,31 @@ def op3_quality_ledger(spark, sf):
     )
 
 
+def op5_splittable_warc(spark, sf):
+    folder = shared_dir(spark, "warc")
+    written = warc.write_archives(warc.plan_records(table(spark, sf, "pages")), folder)
+    written.agg(F.sum("n_records")).collect()
+    return warc.read_archives(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def piece_model() -> str:
+    """The place of the public vocabulary file on the machine that asks."""
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_sentencepiece_backtracking(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = pieces.decode(pieces.encode(docs, piece_model()).drop("text"), piece_model())
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        pieces.ids_digest().alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_url_vocabulary(spark, sf):
     judged = urls.url_filter(table(spark, sf, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "n_strict", "n_soft", "verdict")
