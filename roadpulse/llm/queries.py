@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import decontaminate, pieces, quality, sharding, urls, warc
+from roadpulse.llm import decontaminate, pieces, quality, sharding, simhash, urls, warc
 from roadpulse.llm.shared import table, text_or_empty
 from roadpulse.session import shared_dir, ship_package
 
@@ -47,6 +47,11 @@ def op3_quality_ledger(spark, sf):
     )
 
 
+def op4_simhash_pigeonring(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
+
+
 def op5_splittable_warc(spark, sf):
     folder = shared_dir(spark, "warc")
     written = warc.write_archives(warc.plan_records(table(spark, sf, "pages")), folder)
