@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import decontaminate, pieces, quality, sharding, simhash, urls, warc
+from roadpulse.llm import decontaminate, pieces, quality, sharding, simhash, suffixes, urls, warc
 from roadpulse.llm.shared import table, text_or_empty
 from roadpulse.session import shared_dir, ship_package
 
@@ -77,6 +77,18 @@ def op8_sentencepiece_backtracking(spark, sf):
     )
 
 
+def op9_bucket_pointer_refinement(spark, sf):
+    cut = suffixes.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        gone.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_url_vocabulary(spark, sf):
     judged = urls.url_filter(table(spark, sf, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "n_strict", "n_soft", "verdict")
