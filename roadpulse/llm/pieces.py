@@ -30,7 +30,7 @@ from roadpulse.llm.shared import with_columns_of
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_REMEMBERED, _REMEMBERED_LENGTH, _PAIRS = 200_000, 64, 500_000
+_REMEMBERED, _REMEMBERED_LENGTH, _PAIRS = 200_000, 64, 200_000
 
 codecs.register_error("each", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -212,11 +212,11 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         own, column = model(path), batch.column(ids)
-        flat, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), [0]
-        texts = []
-        for n in column.value_lengths():
-            ends.append(ends[-1] + (n.as_py() or 0))
-            texts.append(own.decode(flat[ends[-2] : ends[-1]]))
+        flat, at, texts = column.flatten().to_numpy(zero_copy_only=False), 0, []
+        for length in column.value_lengths():
+            n = length.as_py() or 0
+            texts.append(own.decode(flat[at : at + n].tolist()))
+            at += n
         return {"decoded": pa.array(texts, pa.string())}
 
     return with_columns_of(rows, make, [("decoded", T.StringType())])

@@ -10,6 +10,10 @@ from pyspark.sql import types as T
 from roadpulse.session import shared_dir
 
 
+#: Rows of an Arrow batch that a task works on together; what it holds beside the batch is in proportion.
+ROWS_AT_ONCE = 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,8 +45,9 @@ def with_columns_of(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(k, ROWS_AT_ONCE)
                 new = make(batch)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in kept] + [new[n] for n, _ in added], kept + [n for n, _ in added]
