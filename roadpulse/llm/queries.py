@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import decontaminate, pieces, quality, sharding, simhash, suffixes, urls, warc
+from roadpulse.llm import decontaminate, pieces, quality, sharding, simhash, suffixes, toxicity, urls, warc
 from roadpulse.llm.shared import table, text_or_empty
 from roadpulse.session import shared_dir, ship_package
 
@@ -61,6 +61,14 @@ def op5_splittable_warc(spark, sf):
     )
 
 
+def op7_kneser_ney_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (toxicity.fold() == toxicity.HELD_OUT).alias("held_out"), "score", "predicted"
+    )
+
+
 def piece_model() -> str:
     """The place of the public vocabulary file on the machine that asks."""
     return public_tokenizers.path("piece_bpe_32k.model")
