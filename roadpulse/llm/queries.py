@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import decontaminate, pieces, quality, sharding, simhash, suffixes, toxicity, urls, warc
+from roadpulse.llm import decontaminate, html, pieces, quality, sharding, simhash, suffixes, toxicity, urls, warc
 from roadpulse.llm.shared import table, text_or_empty
 from roadpulse.session import shared_dir, ship_package
 
@@ -61,6 +61,11 @@ def op5_splittable_warc(spark, sf):
     )
 
 
+def op6_nearest_url_differencing(spark, sf):
+    found = html.main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_kneser_ney_toxicity(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf, "labels"))
