@@ -24,7 +24,7 @@ lines AS (
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 measured AS (
   SELECT doc_id, len(w)::BIGINT AS n_words,
-    coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+    length(array_to_string(w, ''))::BIGINT AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
     coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
     coalesce(n_lines, 0)::BIGINT AS n_lines
