@@ -6,7 +6,7 @@ topic is ``*``, ``fleet:<id>`` or ``vin:<vin>``. Grants are derived from the tab
 join has to gather a user's or a pod's lists first.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,8 +17,8 @@ FLEET = "fleet:"
 VIN = "vin:"
 
 
-def topic(prefix: str, column: str):
-    return F.concat(F.lit(prefix), F.col(column))
+def topic(prefix: str, column: str | Column):
+    return F.concat(F.lit(prefix), F.col(column) if isinstance(column, str) else column)
 
 
 def user_grants(users: DataFrame, fleet_grants: DataFrame, vehicle_grants: DataFrame) -> DataFrame:
@@ -31,6 +31,14 @@ def user_grants(users: DataFrame, fleet_grants: DataFrame, vehicle_grants: DataF
     return admins.unionByName(listed.join(others, "user_id", "left_semi").distinct())
 
 
+def without_covered(grants: DataFrame, *subscriber: str) -> DataFrame:
+    """Distinct grants; of a subscriber that holds ``*`` only that one."""
+    rows = grants.select(*subscriber, "topic").distinct()
+    everything = rows.where(F.col("topic") == ALL)
+    listed = rows.where(F.col("topic") != ALL)
+    return everything.unionByName(listed.join(everything.select(*subscriber), list(subscriber), "left_anti"))
+
+
 def _lists(grants: DataFrame, key: str) -> DataFrame:
     """One row per key with sorted lists. The rows are distinct, so the lists are the result."""
 
@@ -72,18 +80,34 @@ def scope_grants(scopes: DataFrame, key: str) -> DataFrame:
     return scopes.select(key, F.explode(topics).alias("topic")).distinct()
 
 
-def check_access(requests: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Adds ``allowed``. An empty fleet or VIN never matches, and no VIN's fleet is looked up."""
-    scope = scopes.select("user_id", "all_fleets", "fleet_ids", "vins")
+USER_REQUIRED = "user_required"
+
 
-    def listed(column, value):
-        return (F.col(value) != "") & F.array_contains(column, F.col(value))
+def check_access(requests: DataFrame, grants: DataFrame, limit_bytes: int | None = None) -> DataFrame:
+    """Adds ``allowed`` and ``error``; a question without a user is an error and has no answer.
 
-    allowed = F.coalesce("all_fleets", F.lit(False)) | F.coalesce(
-        listed("fleet_ids", "fleet_id"), F.lit(False)
-    ) | F.coalesce(listed("vins", "vin"), F.lit(False))
-    joined = requests.join(sized(scope), "user_id", "left")
-    return joined.select(*requests.columns, allowed.alias("allowed"))
+    A request is joined to the grants that exist on user and topic, for ``*``, its fleet and its VIN, so no list is
+    searched and a busy user is as many keys as there are topics asked for. An empty fleet or VIN is no key
+    and never matches, and no VIN's fleet is looked up.
+    """
+    held = sized(grants.select("user_id", "topic").distinct(), limit_bytes)
+    rows = requests
+    asked = {"all": F.lit(ALL)} | {
+        c: topic(prefix, F.nullif(F.col(c), F.lit(""))) for prefix, c in ((FLEET, "fleet_id"), (VIN, "vin"))
+    }
+    for name, wanted in asked.items():
+        own = held.select(
+            F.col("user_id").alias("holder"), F.col("topic").alias("held"), F.lit(True).alias(f"by_{name}")
+        )
+        meets = (F.col("user_id") == F.col("holder")) & (wanted == F.col("held"))
+        rows = rows.join(own, meets, "left").drop("holder", "held")
+    named = F.coalesce(F.col("user_id"), F.lit("")) != ""
+    allowed = F.coalesce(*(f"by_{name}" for name in asked), F.lit(False))
+    return rows.select(
+        *requests.columns,
+        F.when(named, allowed).alias("allowed"),
+        F.when(~named, USER_REQUIRED).alias("error"),
+    )
 
 
 def connected_users(connections: DataFrame) -> DataFrame:
@@ -96,24 +120,19 @@ def _held_at_pod(connections: DataFrame, grants: DataFrame) -> DataFrame:
 
 def pod_grants(connections: DataFrame, grants: DataFrame) -> DataFrame:
     """(pod, topic): the union of the grants of each pod's users; ``*`` replaces all others."""
-    held = _held_at_pod(connections, grants)
-    everything = held.where(F.col("topic") == ALL)
-    listed = held.where(F.col("topic") != ALL)
-    return everything.unionByName(listed.join(everything, "pod", "left_anti"))
+    return without_covered(_held_at_pod(connections, grants), "pod")
 
 
 def pod_interest(connections: DataFrame, grants: DataFrame) -> DataFrame:
     """Interest per pod; the lists are empty when it sees all, or when its users see nothing."""
     pods = connections.select("pod").distinct()
-    lists = _lists(_held_at_pod(connections, grants), "pod")
+    lists = _lists(pod_grants(connections, grants), "pod")
     nothing = F.array().cast("array<string>")
-    sees_all = F.coalesce("all_fleets", F.lit(False))
-
-    def listed(column):
-        return F.when(sees_all, nothing).otherwise(F.coalesce(column, nothing)).alias(column)
-
     return pods.join(lists, "pod", "left").select(
-        "pod", sees_all.alias("all_fleets"), listed("fleet_ids"), listed("vins")
+        "pod",
+        F.coalesce("all_fleets", F.lit(False)).alias("all_fleets"),
+        F.coalesce("fleet_ids", nothing).alias("fleet_ids"),
+        F.coalesce("vins", nothing).alias("vins"),
     )
 
 

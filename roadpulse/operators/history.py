@@ -8,7 +8,6 @@ from roadpulse.functions.telemetry import DAY_MS, event_date, geo_point, index_n
 from roadpulse.operators.routing import visible_to
 from roadpulse.schemas import CANONICAL, CANONICAL_JSON, JSON_NAMES, WRITE_ORDER
 
-SNAPSHOT_LIMIT = 5000
 CORRUPT = "corrupt"
 
 
@@ -87,16 +86,17 @@ def newest_per_vehicle(events: DataFrame, *tie_breakers: str) -> DataFrame:
 
 
 def latest_positions(
-    history: DataFrame, grants: DataFrame, now_ms: int, limit: int = SNAPSHOT_LIMIT
+    history: DataFrame, grants: DataFrame, now_ms: int, limit: int | None = None
 ) -> DataFrame:
     """Newest report of every vehicle that the holder of ``grants`` may see, newest first.
 
     The scope is applied to each report before the newest is picked: it goes by the fleet that the
-    report was made in, not by today's.
+    report was made in, not by today's. All such vehicles are returned unless the caller sets a ``limit``.
     """
     seen = visible_to(last_24h(history, now_ms), grants)
     newest = newest_per_vehicle(seen, "ingest_timestamp")
-    return newest.orderBy(F.desc("device_timestamp"), "vin").limit(limit)
+    newest = newest.orderBy(F.desc("device_timestamp"), "vin")
+    return newest if limit is None else newest.limit(limit)
 
 
 def merge_newest(snapshot: DataFrame, events: DataFrame) -> DataFrame:

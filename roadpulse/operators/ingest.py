@@ -14,9 +14,10 @@ from roadpulse.schemas import REPORT
 
 
 def normalize_ingest(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Splits payloads into log records and refused payloads with a reason.
+    """Splits payloads into log records and refused payloads with a reason code and the full reason.
 
-    Takes ``payload`` and ``received_ms``; other columns stay on both outputs.
+    Takes ``payload`` and ``received_ms``; other columns stay on both outputs. A code is the step that
+    failed and stays the same whatever the detail.
     """
     rest = [c for c in payloads.columns if c not in ("payload", "received_ms")]
     done = payloads.withColumn("made", normalize_payload("payload"))
@@ -31,7 +32,10 @@ def normalize_ingest(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
         *rest,
     )
     refused = done.where(F.col("made.reason").isNotNull()).select(
-        "payload", F.col("made.reason").alias("reason"), *rest
+        "payload",
+        F.substring_index("made.reason", ":", 1).alias("reason_code"),
+        F.col("made.reason").alias("reason"),
+        *rest,
     )
     return records, refused
 

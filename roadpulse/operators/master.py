@@ -4,7 +4,7 @@ Change sets carry a ``seq`` column, the order in which the changes were asked fo
 one key are first folded into one, so each job is a single pass over keys.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VIN_LENGTH = 17
@@ -98,7 +98,10 @@ def check_grants(
 
     rows = requests
     for table, column in [(users, "user_id"), (fleets, "fleet_id"), (vehicles, "vin")]:
-        rows = rows.join(known(table, column), column, "left")
+        # Text that is not given is no join key: as one it would hold most of the rows.
+        asked = F.nullif(F.col(column), F.lit(""))
+        wanted = known(table, column).withColumnRenamed(column, "known_id")
+        rows = rows.join(wanted, asked == F.col("known_id"), "left").drop("known_id")
     error = (
         F.when(
             ~given("user_id") | (given("fleet_id") == given("vin")),
@@ -145,10 +148,12 @@ def master_data_violations(
     """(constraint, row_key) for every row that breaks a constraint of the data model."""
 
     def rows(df, constraint, key):
-        return df.select(F.lit(constraint).alias("constraint"), key.alias("row_key"))
+        name = constraint if isinstance(constraint, Column) else F.lit(constraint)
+        return df.select(name.alias("constraint"), key.alias("row_key"))
 
     def repeated(df, constraint, *columns):
-        counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        given = df.dropna(subset=list(columns))  # rows without a key break another rule
+        counted = given.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
         return rows(counted, constraint, F.concat_ws("/", *columns))
 
     def orphans(df, constraint, column, parent, *key):
@@ -156,7 +161,18 @@ def master_data_violations(
         missing = held.join(parent.select(column), column, "left_anti")
         return rows(missing, constraint, F.concat_ws("/", *key))
 
+    def absent(df, table, columns, *key):
+        """One pass per table: a row for each column without a value."""
+        rules = [F.when(F.col(c).isNull(), F.lit(f"{table}_{c}_not_null")) for c in columns]
+        broken = df.select(F.explode(F.array_compact(F.array(*rules))).alias("constraint"), *key)
+        return rows(broken, F.col("constraint"), F.concat_ws("/", *(F.coalesce(F.col(k), F.lit("")) for k in key)))
+
     found = [
+        absent(fleets, "fleets", ["fleet_id", "name"], "fleet_id"),
+        absent(vehicles, "vehicles", ["vin"], "vin"),
+        absent(users, "users", ["user_id", "username", "display_name", "role"], "user_id"),
+        absent(fleet_grants, "user_fleet_grants", ["user_id", "fleet_id"], "user_id", "fleet_id"),
+        absent(vehicle_grants, "user_vehicle_grants", ["user_id", "vin"], "user_id", "vin"),
         repeated(fleets, "fleets_pkey", "fleet_id"),
         repeated(vehicles, "vehicles_pkey", "vin"),
         repeated(users, "users_pkey", "user_id"),
@@ -185,3 +201,41 @@ def master_data_violations(
     for more in found[1:]:
         out = out.unionByName(more)
     return out
+
+
+def apply_fleet_map_changes(published: DataFrame, changes: DataFrame) -> DataFrame:
+    """The published map after the changes of :func:`fleet_map_changes`: set and deleted VINs replaced."""
+    kept = published.select("vin", "fleet_id").join(changes.select("vin"), "vin", "left_anti")
+    return kept.unionByName(changes.where(F.col("op") == "set").select("vin", "fleet_id"))
+
+
+def delete_master_data(
+    fleets: DataFrame,
+    vehicles: DataFrame,
+    users: DataFrame,
+    fleet_grants: DataFrame,
+    vehicle_grants: DataFrame,
+    gone: DataFrame,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The five tables after deleting the rows named by ``gone`` (kind, id): fleet, vehicle or user.
+
+    Vehicles of a deleted fleet stay without one; the grants of what is deleted go with it. Ids that do not
+    exist delete nothing.
+    """
+
+    def ids(kind, column):
+        return gone.where(F.col("kind") == kind).select(F.col("id").alias(column)).distinct()
+
+    def without(table, kind, column):
+        return table.join(ids(kind, column), column, "left_anti").select(*table.columns)
+
+    lost = ids("fleet", "fleet_id").withColumn("lost", F.lit(True))
+    moved = without(vehicles, "vehicle", "vin").join(lost, "fleet_id", "left")
+    moved = moved.withColumn("fleet_id", F.when(F.col("lost").isNull(), F.col("fleet_id"))).select(*vehicles.columns)
+    return (
+        without(fleets, "fleet", "fleet_id"),
+        moved,
+        without(users, "user", "user_id"),
+        without(without(fleet_grants, "user", "user_id"), "fleet", "fleet_id"),
+        without(without(vehicle_grants, "user", "user_id"), "vehicle", "vin"),
+    )

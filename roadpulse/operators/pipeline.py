@@ -122,8 +122,11 @@ def drop_seen(reports: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def enrich_fleet(events: DataFrame, vehicle_fleet: DataFrame, limit_bytes: int | None = None) -> DataFrame:
-    """Adds the fleet of each vehicle, ``UNASSIGNED`` where it has none."""
-    fleets = sized(vehicle_fleet.select("vin", "fleet_id"), limit_bytes)
+    """Adds the fleet of each vehicle, ``UNASSIGNED`` where it has none.
+
+    A map that repeats a VIN gives its first fleet by name, never a second event.
+    """
+    fleets = sized(vehicle_fleet.groupBy("vin").agg(F.min("fleet_id").alias("fleet_id")), limit_bytes)
     joined = events.join(fleets, "vin", "left")
     return joined.withColumn("fleet_id", F.coalesce("fleet_id", F.lit(UNASSIGNED)))
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.telemetry import once
-from roadpulse.operators.access import ALL, FLEET, VIN, topic
+from roadpulse.operators.access import ALL, FLEET, VIN, topic, without_covered
 from roadpulse.operators.lookup import fits_broadcast
 
 MAX_AGE_MS = 30_000
@@ -58,7 +58,8 @@ def match(
     are left to the adaptive skew join.
     """
     shared = [within] if within else []
-    grants = grants.select(*shared, subscriber, "topic").distinct()
+    # Who holds * needs no other topic, and would get an event once for each.
+    grants = without_covered(grants, *shared, subscriber)
     small = fits_broadcast(grants, limit_bytes)
     own_fleets = grants.where(F.startswith("topic", F.lit(FLEET))).withColumnRenamed(
         "topic", "own_fleet"

@@ -5,7 +5,15 @@ DAY = 86_400_000
 
 
 def vin(number: str) -> str:
-    return f"concat('7H4T9K2L5RA', lpad(cast(102301 + {number} as varchar), 6, '0'))"
+    serial = f"cast(102301 + {number} as varchar)"
+    return (
+        f"concat(left('7H4T9K2L5RA', least(11, 17 - length({serial}))), "
+        f"lpad({serial}, greatest(6, length({serial})::int)::int, '0'))"
+    )
+
+
+def lost_vin(number: str) -> str:
+    return f"concat('0L0ST', lpad(cast({number} as varchar), 12, '0'))"
 
 
 COMMON = f"""
@@ -112,7 +120,7 @@ WITH ev AS (
       PARTITION BY user_id, vin ORDER BY device_timestamp DESC, ingest_timestamp DESC) AS rn
     FROM pairs WHERE device_timestamp >= {NOW - DAY}) WHERE rn = 1
 ), admin_board AS (
-  SELECT * FROM latest WHERE user_id = 'u-0' ORDER BY device_timestamp DESC, vin LIMIT 5000
+  SELECT * FROM latest WHERE user_id = 'u-0'
 ), log AS (
   SELECT CASE WHEN raw.vin = 'BADVIN' THEN '' ELSE concat(raw.vin, '-', device_timestamp) END
       AS event_id, raw.vin, coalesce(v.fleet_id, 'UNASSIGNED') AS fleet_id, lng, lat,
@@ -125,10 +133,10 @@ WITH ev AS (
 ), published AS (
   SELECT vin, coalesce(fleet_id, 'fleet-old') AS fleet_id FROM cust WHERE c_custkey % 7 <> 0
   UNION ALL
-  SELECT {vin('i')}, 'fleet-old' FROM range(800000, 800005) r(i)
+  SELECT {lost_vin('i')}, 'fleet-old' FROM range(5) r(i)
 ), vehicle_changes AS (
   SELECT CASE WHEN o_orderkey % 100 = 4 THEN 'BADVIN'
-      WHEN o_orderkey % 10 = 3 THEN {vin('o_custkey + 500000')} ELSE {vin('o_custkey')} END AS vin,
+      WHEN o_orderkey % 10 = 3 THEN {lost_vin('o_custkey')} ELSE {vin('o_custkey')} END AS vin,
     CASE WHEN o_orderkey % 100 = 8 THEN '' WHEN o_orderkey % 100 = 12 THEN 'fleet-unknown'
       ELSE fleet_id END AS fleet_id,
     CASE WHEN o_orderkey % 4 <> 0 THEN '' ELSE o_orderpriority END AS model, o_orderkey AS seq
@@ -145,8 +153,8 @@ WITH ev AS (
     CASE WHEN o_orderkey % 5 < 2 THEN fleet_id WHEN o_orderkey % 50 = 7 THEN 'fleet-unknown'
       ELSE '' END AS fleet_id,
     CASE WHEN o_orderkey % 5 > 2 THEN {vin('o_custkey')}
-      WHEN o_orderkey % 50 = 1 THEN {vin('o_orderkey + 600000')}
-      WHEN o_orderkey % 50 = 12 THEN {vin('700000')} ELSE '' END AS vin
+      WHEN o_orderkey % 50 = 1 THEN {lost_vin('o_orderkey')}
+      WHEN o_orderkey % 50 = 12 THEN {lost_vin('7')} ELSE '' END AS vin
   FROM orders JOIN nation_fleet ON o_orderkey % 25 = n_nationkey
 ), checked_grants AS (
   SELECT *, CASE WHEN user_id = '' OR (fleet_id = '') = (vin = '')
@@ -260,9 +268,12 @@ def violations() -> str:
 
     parts = [
         q("fleets_pkey", "SELECT fleet_id AS row_key FROM bf GROUP BY 1 HAVING count(*) > 1"),
-        q("vehicles_pkey", "SELECT vin AS row_key FROM bv GROUP BY 1 HAVING count(*) > 1"),
+        q("vehicles_pkey", "SELECT vin AS row_key FROM bv WHERE vin IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
         q("users_pkey", "SELECT user_id AS row_key FROM bu GROUP BY 1 HAVING count(*) > 1"),
-        q("users_username_key", "SELECT username AS row_key FROM bu GROUP BY 1 HAVING count(*) > 1"),
+        q("users_username_key", "SELECT username AS row_key FROM bu WHERE username IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
+        q("vehicles_vin_not_null", "SELECT '' AS row_key FROM bv WHERE vin IS NULL"),
+        q("users_username_not_null", "SELECT user_id AS row_key FROM bu WHERE username IS NULL"),
+        q("users_display_name_not_null", "SELECT user_id AS row_key FROM bu WHERE display_name IS NULL"),
         q(
             "user_fleet_grants_pkey",
             "SELECT concat(user_id, '/', fleet_id) AS row_key FROM bfg GROUP BY 1 HAVING count(*) > 1",
@@ -294,16 +305,18 @@ def violations() -> str:
         ),
         q(
             "user_vehicle_grants_vin_fkey",
-            "SELECT concat(user_id, '/', vin) AS row_key FROM bvg WHERE vin NOT IN (SELECT vin FROM bv)",
+            "SELECT concat(user_id, '/', vin) AS row_key FROM bvg WHERE vin NOT IN (SELECT vin FROM bv WHERE vin IS NOT NULL)",
         ),
     ]
     tables = f"""
     , bf AS (SELECT * FROM fleets UNION ALL SELECT * FROM fleets WHERE name = 'NATION_3'),
     bv AS (SELECT vin, fleet_id FROM vehicles UNION ALL
-      SELECT CASE WHEN c_custkey % 100 = 1 THEN 'SHORT' ELSE {vin('c_custkey + 400000')} END,
-        'fleet-unknown' FROM customer WHERE c_custkey % 50 = 1),
-    bu AS (SELECT user_id, username, role FROM users UNION ALL
-      SELECT concat('x-', s_suppkey), concat('u-', s_suppkey),
+      SELECT CASE WHEN c_custkey % 100 = 1 THEN 'SHORT' ELSE {lost_vin('c_custkey')} END,
+        'fleet-unknown' FROM customer WHERE c_custkey % 50 = 1 UNION ALL
+      SELECT NULL, fleet_id FROM vehicles WHERE model = 'BUILDING'),
+    bu AS (SELECT user_id, username, display_name, role FROM users UNION ALL
+      SELECT concat('n-', user_id), NULL, NULL, role FROM users WHERE role = 'admin' UNION ALL
+      SELECT concat('x-', s_suppkey), concat('u-', s_suppkey), s_name,
         CASE WHEN s_suppkey % 10 = 1 THEN 'owner' ELSE 'viewer' END
       FROM supplier WHERE s_suppkey % 5 = 1),
     bfg AS (SELECT user_id, fleet_id FROM fleet_grants UNION ALL
@@ -314,7 +327,7 @@ def violations() -> str:
     bvg AS (SELECT user_id, vin FROM vehicle_grants UNION ALL
       SELECT concat('u-', s_suppkey), {vin('s_suppkey')} FROM supplier WHERE s_suppkey % 10 = 6
       UNION ALL
-      SELECT concat('z-', s_suppkey), {vin('s_suppkey + 300000')}
+      SELECT concat('z-', s_suppkey), {lost_vin('s_suppkey')}
       FROM supplier WHERE s_suppkey % 10 = 7)
     """
     return tables + " UNION ALL ".join(parts)
@@ -371,6 +384,9 @@ PLAIN = {
     "connected_users": "SELECT DISTINCT pod, user_id FROM connections",
     "route_events": "SELECT pod, event_id FROM pod_pairs",
     "unrouted_events": f"SELECT {EVENT} FROM unrouted",
+    "route_events_all": """SELECT DISTINCT pod, event_id FROM pairs JOIN connections USING (user_id)""",
+    "unrouted_events_all": f"""SELECT {EVENT} FROM canonical WHERE event_id NOT IN (
+      SELECT event_id FROM pairs JOIN connections USING (user_id))""",
     "authorize_events": "SELECT user_id, event_id FROM pairs",
     "two_stage_feed": "SELECT pod, user_id, event_id FROM pairs JOIN connections USING (user_id)",
     "routing_outcomes": f"""
@@ -384,8 +400,7 @@ PLAIN = {
     "read_history": f"SELECT {EVENT}, {DATE} AS event_date FROM canonical",
     "upsert_history": f"""SELECT {EVENT.replace('fleet_id', "CASE WHEN \"offset\" % 4 = 0 THEN 'fleet-moved' ELSE fleet_id END AS fleet_id")}
       FROM canonical""",
-    "latest_positions": f"""SELECT {EVENT} FROM latest WHERE user_id = 'u-5'
-      ORDER BY device_timestamp DESC, vin LIMIT 5000""",
+    "latest_positions": f"""SELECT {EVENT} FROM latest WHERE user_id = 'u-5'""",
     "latest_positions_all": f"SELECT {EVENT} FROM admin_board",
     "merge_newest": f"""SELECT {EVENT}, "offset" + 1 AS arrival_seq FROM (
       SELECT *, row_number() OVER (PARTITION BY vin ORDER BY device_timestamp DESC) AS rn
@@ -411,6 +426,7 @@ PLAIN = {
       FROM admin_board ORDER BY {RANK}, vin""",
     "board_filter": f"""SELECT {EVENT} FROM admin_board
       WHERE contains(vin, 'RA1023')""",
+    "board_filter_fleet": f"SELECT {EVENT} FROM admin_board WHERE fleet_id = 'fleet-nation_3'",
     "board_order": f"SELECT vin, {RANK} AS status_rank FROM admin_board ORDER BY 2, 1",
     "vehicle_detail": f"""SELECT {EVENT} FROM canonical WHERE vin = '7H4T9K2L5RA102304'
       ORDER BY device_timestamp DESC LIMIT 1""",
@@ -432,6 +448,20 @@ PLAIN = {
     "vehicle_fleet_map": "SELECT vin, fleet_id FROM vehicle_fleet",
     "fleet_map_changes": """SELECT vin, fleet_id, 'set' AS op FROM vehicle_fleet UNION ALL
       SELECT vin, NULL, 'delete' FROM published WHERE vin NOT IN (SELECT vin FROM vehicle_fleet)""",
+    "apply_fleet_map_changes": "SELECT vin, fleet_id FROM vehicle_fleet",
+    "delete_master_data": f"""
+      , gf AS (SELECT fleet_id FROM nation_fleet WHERE n_nationkey % 4 = 1),
+      gv AS (SELECT {vin('c_custkey')} AS vin FROM customer WHERE c_custkey % 12 = 6),
+      gu AS (SELECT concat('u-', s_suppkey) AS user_id FROM supplier WHERE s_suppkey % 9 = 7)
+      SELECT 'fleets' AS table_name, fleet_id AS "key", NULL::varchar AS other FROM fleets
+        WHERE fleet_id NOT IN (FROM gf)
+      UNION ALL SELECT 'vehicles', vin, CASE WHEN fleet_id NOT IN (FROM gf) THEN fleet_id END FROM vehicles
+        WHERE vin NOT IN (FROM gv)
+      UNION ALL SELECT 'users', user_id, NULL FROM users WHERE user_id NOT IN (FROM gu)
+      UNION ALL SELECT 'user_fleet_grants', user_id, fleet_id FROM fleet_grants
+        WHERE user_id NOT IN (FROM gu) AND fleet_id NOT IN (FROM gf)
+      UNION ALL SELECT 'user_vehicle_grants', user_id, vin FROM vehicle_grants
+        WHERE user_id NOT IN (FROM gu) AND vin NOT IN (FROM gv)""",
     "upsert_fleets": f"""SELECT fleet_id, CASE WHEN n_nationkey % 3 = 0 THEN concat(n_name, ' depot')
         ELSE n_name END AS name, cast(0 as bigint) AS created_at FROM nation_fleet
       UNION ALL SELECT concat('fleet-', lower(r_name)), r_name, {NOW} FROM region""",
@@ -466,7 +496,7 @@ PLAIN = {
       FROM sent WHERE NOT {DAMAGED}""",
     "normalize_ingest_errors": f"""
       , sent AS (SELECT *, "offset" // 2 AS e FROM raw)
-      SELECT "partition", "offset", 'decode base64 payload' AS reason FROM sent WHERE {DAMAGED}""",
+      SELECT "partition", "offset", 'decode base64 payload' AS reason_code FROM sent WHERE {DAMAGED}""",
     "write_canonical": """SELECT vin AS "key", concat('{"eventId":"', event_id,
         '","schemaVersion":1,"vin":"', vin, '","fleetId":"', fleet_id, '","status":"', status,
         '","deviceTimestamp":', device_timestamp, ',"ingestTimestamp":', ingest_timestamp,

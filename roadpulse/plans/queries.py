@@ -222,7 +222,7 @@ def q_user_scopes(spark, sf):
 
 
 def q_check_access(spark, sf):
-    return access.check_access(t.access_requests(spark, sf), scopes(spark, sf))
+    return access.check_access(t.access_requests(spark, sf), grants(spark, sf)).drop("error")
 
 
 def q_pod_interest(spark, sf):
@@ -241,6 +241,18 @@ def q_route_events(spark, sf):
     return routing.route_events(canonical(spark, sf), interest(spark, sf)).select("pod", "event_id")
 
 
+def q_route_events_all(spark, sf):
+    return routing.route_events(canonical(spark, sf), interest(spark, sf, admins=True)).select("pod", "event_id")
+
+
+def q_unrouted_events_all(spark, sf):
+    return routing.unrouted_events(canonical(spark, sf), interest(spark, sf, admins=True)).select(*EVENT_COLUMNS)
+
+
+def q_board_filter_fleet(spark, sf):
+    return board.board_filter(latest(spark, sf), "fleet-nation_3", "").select(*EVENT_COLUMNS)
+
+
 def q_unrouted_events(spark, sf):
     return routing.unrouted_events(canonical(spark, sf), interest(spark, sf)).select(*EVENT_COLUMNS)
 
@@ -408,6 +420,28 @@ def q_vehicle_fleet_map(spark, sf):
     return vehicle_fleet(spark, sf)
 
 
+def q_apply_fleet_map_changes(spark, sf):
+    published = t.published_map(spark, sf)
+    changes = master.fleet_map_changes(vehicle_fleet(spark, sf), published)
+    return master.apply_fleet_map_changes(published, changes)
+
+
+def q_delete_master_data(spark, sf):
+    tables = [
+        make(spark, sf)
+        for make in (t.fleets, t.vehicles, t.users, t.user_fleet_grants, t.user_vehicle_grants)
+    ]
+    left = master.delete_master_data(*tables, t.deletions(spark, sf))
+    keys = [("fleet_id", None), ("vin", "fleet_id"), ("user_id", None), ("user_id", "fleet_id"), ("user_id", "vin")]
+    names = ["fleets", "vehicles", "users", "user_fleet_grants", "user_vehicle_grants"]
+    rows = None
+    for name, table, (key, other) in zip(names, left, keys, strict=True):
+        second = F.col(other) if other else F.lit(None).cast("string")
+        part = table.select(F.lit(name).alias("table_name"), F.col(key).alias("key"), second.alias("other"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 def q_fleet_map_changes(spark, sf):
     return master.fleet_map_changes(vehicle_fleet(spark, sf), t.published_map(spark, sf))
 
@@ -495,9 +529,7 @@ def q_normalize_ingest(spark, sf):
 
 def q_normalize_ingest_errors(spark, sf):
     _, refused = ingest.normalize_ingest(t.payloads(spark, sf))
-    return refused.select(
-        "partition", "offset", F.substring_index("reason", ":", 1).alias("reason")
-    )
+    return refused.select("partition", "offset", "reason_code")
 
 
 def q_write_canonical(spark, sf):

@@ -33,8 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vin_of(number: Column) -> Column:
-    serial = F.lpad((number + F.lit(FIRST_SERIAL)).cast("string"), 6, "0")
-    return F.concat(F.lit(VIN_PREFIX), serial)
+    """17 characters for any number: a longer serial takes the place of the prefix's last letters."""
+    serial = (number + F.lit(FIRST_SERIAL)).cast("string")
+    prefix = F.left(F.lit(VIN_PREFIX), F.least(F.lit(len(VIN_PREFIX)), 17 - F.length(serial)))
+    return F.concat(prefix, F.lpad(serial, F.greatest(F.lit(6), F.length(serial)), "0"))
+
+
+def lost_vin(number: Column) -> Column:
+    """A well-formed VIN that no vehicle has, at any scale."""
+    return F.concat(F.lit("0L0ST"), F.lpad(number.cast("string"), 12, "0"))
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,8 +222,8 @@ def published_map(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.col("c_custkey") % 7 != 0)
         .select("vin", F.coalesce("fleet_id", F.lit("fleet-old")).alias("fleet_id"))
     )
-    gone = spark.range(800_000, 800_005).select(
-        vin_of(F.col("id")).alias("vin"), F.lit("fleet-old").alias("fleet_id")
+    gone = spark.range(5).select(
+        lost_vin(F.col("id")).alias("vin"), F.lit("fleet-old").alias("fleet_id")
     )
     return old.unionByName(gone)
 
@@ -272,7 +279,7 @@ def vehicle_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").join(nation, n % 25 == F.col("n_nationkey"))
     return orders.select(
         F.when(n % 100 == 4, "BADVIN")
-        .when(n % 10 == 3, vin_of(owner + 500_000))
+        .when(n % 10 == 3, lost_vin(owner))
         .otherwise(vin_of(owner))
         .alias("vin"),
         F.when(n % 100 == 8, "").when(n % 100 == 12, "fleet-unknown")
@@ -303,11 +310,25 @@ def grant_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         _user_of(F.col("o_custkey") % 120).alias("user_id"),
         F.when(n % 5 < 2, F.col("fleet_id")).when(n % 50 == 7, "fleet-unknown").otherwise("")
         .alias("fleet_id"),
-        F.when(n % 5 > 2, vin_of(F.col("o_custkey"))).when(n % 50 == 1, vin_of(n + 600_000))
-        .when(n % 50 == 12, vin_of(F.lit(700_000))).otherwise("").alias("vin"),
+        F.when(n % 5 > 2, vin_of(F.col("o_custkey"))).when(n % 50 == 1, lost_vin(n))
+        .when(n % 50 == 12, lost_vin(F.lit(7))).otherwise("").alias("vin"),
     )
 
 
+def deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, id) of fleets, vehicles and users to delete; some do not exist."""
+    key, owner = F.col("s_suppkey"), F.col("c_custkey")
+    nation = _fleet_of_nation(spark, sf_dir).where("n_nationkey % 4 = 1")
+    customer = table(spark, sf_dir, "customer").where(owner % 6 == 0)
+    supplier = table(spark, sf_dir, "supplier").where(key % 9 == 7)
+    parts = [
+        nation.select(F.lit("fleet").alias("kind"), F.col("fleet_id").alias("id")),
+        customer.select(F.lit("vehicle").alias("kind"), F.when(owner % 12 == 0, lost_vin(owner)).otherwise(vin_of(owner)).alias("id")),
+        supplier.select(F.lit("user").alias("kind"), _user_of(key).alias("id")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def broken_master_data(spark: SparkSession, sf_dir: str):
     """The five master tables with every constraint broken somewhere."""
     f, v, u = (make(spark, sf_dir) for make in (fleets, vehicles, users))
@@ -317,7 +338,7 @@ def broken_master_data(spark: SparkSession, sf_dir: str):
     customer = table(spark, sf_dir, "customer")
     none = F.timestamp_millis(F.lit(0))
     more_vehicles = customer.where(owner % 50 == 1).select(
-        F.when(owner % 100 == 1, F.lit("SHORT")).otherwise(vin_of(owner + 400_000)).alias("vin"),
+        F.when(owner % 100 == 1, F.lit("SHORT")).otherwise(lost_vin(owner)).alias("vin"),
         F.lit("fleet-unknown").alias("fleet_id"),
         F.col("c_mktsegment").alias("model"),
         none.alias("updated_at"),
@@ -338,14 +359,17 @@ def broken_master_data(spark: SparkSession, sf_dir: str):
     ).unionByName(
         supplier.where(key % 10 == 7).select(
             F.concat(F.lit("z-"), key.cast("string")).alias("user_id"),
-            vin_of(key + 300_000).alias("vin"),
+            lost_vin(key).alias("vin"),
         )
     )
     more_fleets = f.where(F.col("name") == "NATION_3")
+    nothing = F.lit(None).cast("string")
+    nameless = u.where(F.col("role") == "admin").withColumns({"user_id": F.concat(F.lit("n-"), "user_id"), "username": nothing, "display_name": nothing})
+    without_vin = v.where(F.col("model") == "BUILDING").withColumn("vin", nothing)
     return (
         f.unionByName(more_fleets),
-        v.unionByName(more_vehicles),
-        u.unionByName(more_users),
+        v.unionByName(more_vehicles).unionByName(without_vin),
+        u.unionByName(more_users).unionByName(nameless),
         fg.unionByName(more_fg),
         vg.unionByName(more_vg),
     )

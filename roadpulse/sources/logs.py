@@ -12,14 +12,13 @@ from pyspark.sql import types as T
 
 from roadpulse.schemas import HEADERS, RAW_LOG
 
-MAX_RECORDS_PER_BATCH = 1000
-
 
 @dataclass
 class LogSource:
     """Where a log lives: ``path`` for files, or Kafka ``options`` (servers, topic, security).
 
-    ``batch_size`` bounds a micro-batch: in records for Kafka, in files for a folder.
+    ``batch_size`` bounds a micro-batch: in records for Kafka, in files for a folder. Without it a batch takes
+    all that has arrived, so that a reader never falls behind a log that grows faster than a fixed size.
     """
 
     path: str | None = None
@@ -51,8 +50,6 @@ def read_raw_stream(spark: SparkSession, source: LogSource) -> DataFrame:
     """The raw log from its beginning; progress is kept by the query's checkpoint."""
     if source.path:
         return _from_files(spark, source, newest_first=False)
-    if source.batch_size is None:
-        source = LogSource(options=source.options, batch_size=MAX_RECORDS_PER_BATCH)
     return _from_kafka(spark, source, "earliest")
 
 

@@ -38,9 +38,9 @@ def test_scopes(spark):
 
 
 def test_check_access(spark):
-    scopes = spark.createDataFrame(
-        [("boss", True, [], []), ("ann", False, ["f1", ""], [VIN_A]), ("bob", False, [], [])],
-        "user_id string, all_fleets boolean, fleet_ids array<string>, vins array<string>",
+    held = spark.createDataFrame(
+        [("boss", "*"), ("ann", "fleet:f1"), ("ann", "fleet:"), ("ann", f"vin:{VIN_A}"), ("ann", f"vin:{VIN_A}")],
+        "user_id string, topic string",
     )
     asked = [
         ("boss", "", ""),
@@ -51,12 +51,16 @@ def test_check_access(spark):
         ("ann", None, None),
         ("bob", "f1", VIN_A),
         ("ghost", "f1", VIN_A),
+        ("", "f1", ""),
+        (None, "f1", ""),
     ]
     requests = spark.createDataFrame(
         [(i, *a) for i, a in enumerate(asked)], "i int, user_id string, fleet_id string, vin string"
     )
-    got = access.check_access(requests, scopes).orderBy("i").collect()
-    assert [r["allowed"] for r in got] == [True, True, True, False, False, False, False, False]
+    for limit in (None, 0):
+        got = access.check_access(requests, held, limit).orderBy("i").collect()
+        assert [r["allowed"] for r in got] == [True] * 3 + [False] * 5 + [None] * 2
+        assert [r["error"] for r in got] == [None] * 8 + [access.USER_REQUIRED] * 2
 
 
 def test_pod_interest_is_the_union(spark):
@@ -212,3 +216,13 @@ def test_fresh_only_and_routing_keys(spark):
     got = routing.routing_keys(fresh)
     assert rows(got, "vin", "fleet_id") == [("only", ""), ("v", "f")]
     assert {bytes(r["value"]).decode() for r in got.collect()} == {made[0][1], made[3][1]}
+
+
+def test_everything_and_a_fleet_deliver_once(spark):
+    held = spark.createDataFrame(
+        [("boss", "*"), ("boss", "fleet:f1"), ("boss", f"vin:{VIN_A}")], "user_id string, topic string"
+    )
+    made = events(spark, event(VIN_A, fleet="f1"), event(VIN_B, fleet="f2"))
+    for limit in (None, 0):
+        got = routing.authorize_events(made, held, limit_bytes=limit)
+        assert rows(got, "user_id", "vin") == [("boss", VIN_A), ("boss", VIN_B)]

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from roadpulse.operators import history
+from roadpulse.operators import board, history
 from roadpulse.operators.pipeline import write_canonical
 from roadpulse.sources.history import compact_history, read_history, read_writes, write_history
 from tests.conftest import rows
@@ -128,3 +128,10 @@ def test_upsert_of_tables(spark, tmp_path):
             (VIN_A, "new"), (VIN_B, "fleet-1")
         ]
     assert "location" not in history.without_location(old).columns
+
+
+def test_no_vehicle_is_left_out_of_a_large_board(spark):
+    made = events(spark, *[event(f"{i:017d}", NOW) for i in range(6001)])
+    latest = history.latest_positions(made, held(spark, "*"), NOW)
+    assert latest.count() == 6001
+    assert board.status_tally(latest).agg(F.sum("n")).first()[0] == 6001

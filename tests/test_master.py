@@ -145,3 +145,35 @@ def test_violations(spark):
         ("vehicles_fleet_id_fkey", "X"),
         ("vehicles_vin_check", "X"),
     ]
+
+
+def test_missing_values_are_violations_and_deletes_cascade(spark):
+    def frame(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    fleets = frame([("f1", "One"), ("f2", None)], "fleet_id string, name string")
+    vehicles = frame([("V" * 17, "f1"), (None, "f2"), (None, None)], "vin string, fleet_id string")
+    users = frame([("u1", "a", None, None), ("u2", "b", "B", "viewer")], "user_id string, username string, display_name string, role string")
+    fg = frame([("u1", "f1"), (None, "f2")], "user_id string, fleet_id string")
+    vg = frame([("u1", "V" * 17), ("u2", None)], "user_id string, vin string")
+    found = rows(master.master_data_violations(fleets, vehicles, users, fg, vg), "constraint", "row_key")
+    assert found == [
+        ("fleets_name_not_null", "f2"),
+        ("user_fleet_grants_user_id_not_null", "/f2"),
+        ("user_vehicle_grants_vin_not_null", "u2/"),
+        ("users_display_name_not_null", "u1"),
+        ("users_role_not_null", "u1"),
+        ("vehicles_vin_not_null", ""),
+        ("vehicles_vin_not_null", ""),
+    ]
+    gone = frame([("fleet", "f1"), ("user", "u2"), ("user", "nobody"), ("vehicle", "W" * 17)], "kind string, id string")
+    left = master.delete_master_data(fleets, vehicles, users, fg, vg, gone)
+    assert [t.count() for t in left] == [1, 3, 1, 1, 1]
+    assert left[1].where("vin IS NOT NULL").first().fleet_id is None
+
+
+def test_map_changes_lead_to_the_current_map(spark):
+    now = spark.createDataFrame([("a", "f1"), ("b", "f2")], "vin string, fleet_id string")
+    old = spark.createDataFrame([("a", "f0"), ("c", "f1")], "vin string, fleet_id string")
+    done = master.apply_fleet_map_changes(old, master.fleet_map_changes(now, old))
+    assert rows(done, "vin", "fleet_id") == rows(now, "vin", "fleet_id")

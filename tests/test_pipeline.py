@@ -224,3 +224,9 @@ def test_copies_are_combined_before_the_shuffle(spark):
 def test_raw_log_schema_is_that_of_the_topic_reader():
     assert RAW_LOG.fieldNames() == ["key", "value", "headers", "partition", "offset", "timestamp"]
     assert RAW_LOG["headers"].dataType == HEADERS
+
+
+def test_a_map_that_repeats_a_vin_repeats_no_event(spark):
+    reports = spark.createDataFrame([("v", 1)], "vin string, n int")
+    fleets = spark.createDataFrame([("v", "f2"), ("v", "f1")], "vin string, fleet_id string")
+    assert [r.fleet_id for r in pipeline.enrich_fleet(reports, fleets).collect()] == ["f1"]

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from roadpulse.operators import access, history
-from roadpulse.plans.tables import vin_of
+from roadpulse.plans.oracle import all_sql
+from roadpulse.plans.queries import all_queries
+from roadpulse.plans.tables import lost_vin, vin_of
 from tests.samples import NOW, event, events
 
-QUERIES = registered.queries()
-SQL = registered.oracle_sql()
+QUERIES = all_queries()
+SQL = all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +31,15 @@ def tables(sf):
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(registered.queries()) and set(SQL) <= set(registered.oracle_sql())
+
+
+def test_vins_of_large_numbers_are_distinct_and_well_formed(spark):
+    ids = spark.range(0, 100_000_000, 9_973).union(spark.range(890_000, 930_000))
+    made = ids.select(vin_of(F.col("id")).alias("vin"), "id").distinct()
+    assert made.where("length(vin) <> 17").count() == 0
+    assert made.select("vin").distinct().count() == made.count()
+    assert made.join(made.select(lost_vin(F.col("id")).alias("vin")), "vin").count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
