@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from roadpulse.functions.telemetry import event_date
 from roadpulse.operators.history import newest_writes, with_location
 from roadpulse.schemas import HISTORY
-from roadpulse.sources.logs import path_exists
+from roadpulse.sources.files import delete_matching, path_exists
 
 LAYOUT = ["event_date", "write_batch"]
 
@@ -21,8 +21,7 @@ def _write(rows: DataFrame, path: str) -> None:
     (
         rows.select(*HISTORY.fieldNames())
         .hint("rebalance", "event_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("append")
         .partitionBy(*LAYOUT)
         .parquet(path)
     )
@@ -31,8 +30,10 @@ def _write(rows: DataFrame, path: str) -> None:
 def write_history(canonical: DataFrame, path: str, batch_id: int) -> None:
     """Stores canonical events under the UTC day of their device time.
 
-    Writers must not share a batch id; a single streaming query gives each batch its own.
+    Writers must not share a batch id; ``streaming.jobs.start`` gives every batch of every run its own. What an
+    earlier attempt of the batch stored goes first, on whatever day.
     """
+    delete_matching(canonical.sparkSession, f"{path}/event_date=*/write_batch={batch_id}")
     rows = canonical
     if "location" not in rows.columns:
         rows = with_location(rows)
@@ -64,5 +65,6 @@ def compact_history(spark: SparkSession, path: str, target: str, up_to_batch: in
     is left to the caller, so a failure half-way loses nothing.
     """
     rows = read_writes(spark, path).where(F.col("write_batch") <= up_to_batch)
+    delete_matching(spark, f"{target}/event_date=*/write_batch={up_to_batch}")
     newest = newest_writes(rows).withColumn("write_batch", F.lit(up_to_batch).cast("long"))
     _write(newest, target)

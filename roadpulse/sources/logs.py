@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadpulse.schemas import HEADERS, RAW_LOG
+from roadpulse.sources.files import path_exists
 
 
 @dataclass
@@ -65,14 +66,12 @@ def read_live_stream(spark: SparkSession, source: LogSource) -> DataFrame:
 
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Writes one micro-batch to its own partition, so that a repeated batch replaces itself."""
-    (
-        rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
-    )
+    """Writes one micro-batch to a folder of its own.
+
+    The whole folder is replaced, so a repeated batch leaves nothing of its first attempt, also when it now has
+    no rows.
+    """
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_partitions(
@@ -100,13 +99,6 @@ def with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return hadoop_path.getFileSystem(conf).exists(hadoop_path)
-
-
 def send_to_topic(records: DataFrame, options: dict) -> None:
     """Appends a batch of log records to a Kafka topic."""
     records.select("key", "value", F.col("headers").cast(HEADERS)).write.format("kafka").options(

@@ -1,8 +1,9 @@
 """The four streaming jobs. Each is one query with its own checkpoint.
 
-A micro-batch is written to partitions named after its batch id before Spark commits its offsets, so a
-failure at any point repeats the batch and replaces what it wrote. Tables that may change while a
-query runs are passed as functions and read again for every batch.
+A micro-batch is written to folders named after its batch number before Spark commits its offsets, so a
+failure at any point repeats the batch and replaces what it wrote. Batch numbers lead with the run, which
+lives in the checkpoint: a new checkpoint on an old target adds to it and never replaces what an earlier
+run stored. Tables that may change while a query runs are passed as functions and read again for every batch.
 """
 
 import time
@@ -32,6 +33,7 @@ from roadpulse.operators.pipeline import (
 from roadpulse.operators.routing import MAX_AGE_MS, authorize_events, fresh_only, routing_keys
 from roadpulse.schemas import CANONICAL, RAW_LOG, UNASSIGNED
 from roadpulse.sources.history import write_history
+from roadpulse.sources.files import delete_matching, kept_number
 from roadpulse.sources.logs import read_batch, read_batches, read_partitions, write_batch
 from roadpulse.streaming.dedup import DEDUP_TTL_MS
 
@@ -71,6 +73,7 @@ OUTCOMES = T.StructType(
     ]
 )
 HOUR_MS = 60 * 60 * 1000
+BATCHES_PER_RUN = 1_000_000_000
 FLUSH = "250 milliseconds"
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
@@ -86,10 +89,18 @@ def start(
     trigger: dict | None = None,
     output_mode: str = "append",
 ) -> StreamingQuery:
-    """Starts a query that ends when the available data is done, unless given another trigger."""
+    """Starts a query that ends when the available data is done, unless given another trigger.
+
+    ``each_batch`` gets numbers that grow over all runs, later runs after earlier ones.
+    """
     trigger = trigger or {"availableNow": True}
+    run = kept_number(stream.sparkSession, f"{checkpoint}/run", time.time)
+
+    def numbered(batch: DataFrame, batch_id: int) -> None:
+        each_batch(batch, run * BATCHES_PER_RUN + batch_id)
+
     writer = (
-        stream.writeStream.foreachBatch(each_batch)
+        stream.writeStream.foreachBatch(numbered)
         .outputMode(output_mode)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
@@ -157,7 +168,10 @@ def canonical_stream(
     """
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        spark, now = batch.sparkSession, clock()
+        spark = batch.sparkSession
+        # A repeated batch judges its reports by the time of its first attempt.
+        now = kept_number(spark, f"{out}/clock/{batch_id}", clock)
+        delete_matching(spark, f"{out}/clock/{batch_id - 2}")
         rows = checked(decode_telemetry(batch), now).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             counts = Observation()

@@ -9,7 +9,9 @@ from roadpulse.operators.ingest import decode_telemetry
 from roadpulse.plans.pipelines import canonical_events
 from roadpulse.session import shared_dir
 from roadpulse.sources import logs
-from roadpulse.sources.history import read_history
+from roadpulse.operators.pipeline import write_canonical
+from roadpulse.sources.files import kept_number
+from roadpulse.sources.history import read_history, write_history
 from roadpulse.sources.logs import LogSource, read_batches, read_live_stream, read_raw_stream
 from roadpulse.streaming import jobs
 from roadpulse.streaming.dedup import dedup_ttl
@@ -228,3 +230,35 @@ def test_shared_dir_follows_the_session():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(session_with("yarn"), "x")
     assert "roadpulse-" in shared_dir(session_with("local[2]"), "x")
+
+
+def test_a_new_checkpoint_adds_to_an_old_target(spark, tmp_path):
+    """Batches of the second run have numbers of their own, and its writes are the newer ones."""
+    target, log = str(tmp_path / "history"), str(tmp_path / "log")
+    first = events(spark, event(VIN_A, NOW, "old", 0), event(VIN_B, NOW, "f", 1))
+    second = events(spark, event(VIN_A, NOW, "new", 0), event(VIN_C, NOW, "f", 1))
+    for run, made in enumerate((first, second)):
+        write_canonical(made).write.parquet(f"{log}{run}")
+        source = logs.LogSource(path=f"{log}{run}")
+        jobs.history_stream(logs.read_raw_stream(spark, source), target, str(tmp_path / f"c{run}")).awaitTermination()
+    assert rows(read_history(spark, target), "vin", "fleet_id") == [(VIN_A, "new"), (VIN_B, "f"), (VIN_C, "f")]
+
+
+def test_a_repeated_batch_leaves_nothing_of_its_first_attempt(spark, tmp_path):
+    path = str(tmp_path / "out")
+    some = spark.createDataFrame([(1,), (2,)], "n long")
+    schema = some.schema
+    logs.write_batch(some, path, 7)
+    logs.write_batch(some.where("n > 5"), path, 7)
+    logs.write_batch(some, path, 8)
+    assert rows(logs.read_batches(spark, path, schema), "n", "batch_id") == [(1, 8), (2, 8)]
+    assert logs.read_batch(spark, path, schema, 7).count() == 0
+    history = str(tmp_path / "history")
+    write_history(events(spark, event(VIN_A, NOW), event(VIN_B, NOW - 86_400_000)), history, 3)
+    write_history(events(spark, event(VIN_A, NOW)), history, 3)
+    assert rows(read_history(spark, history), "vin") == [(VIN_A,)]
+
+
+def test_a_kept_number_does_not_change(spark, tmp_path):
+    path = f"{tmp_path}/clock/1"
+    assert [kept_number(spark, path, lambda n=n: n) for n in (5, 9)] == [5, 5]
