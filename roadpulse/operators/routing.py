@@ -80,8 +80,12 @@ def match(
             F.explode(F.when(F.col("topic") == ALL, places).otherwise(F.array("topic"))),
         )
 
-    topics = F.array(topic(FLEET, "fleet_id"), topic(VIN, "vin"), everything)
-    pairs = events.withColumn("topic", F.explode(topics)).join(grants, [*shared, "topic"]).alias("p")
+    def reached(*topics):
+        return events.withColumn("topic", F.explode(F.array(*topics))).join(grants, [*shared, "topic"])
+
+    by_fleet, by_vin = (topic(FLEET, "fleet_id"), everything), topic(VIN, "vin")
+    # Small own fleets are probed in passing; else only pairs reached by VIN are worth a shuffle.
+    pairs = (reached(*by_fleet, by_vin) if small else reached(by_vin)).alias("p")
     own_fleets = own_fleets.alias("own")
     reached_twice = (
         F.startswith("p.topic", F.lit(VIN))
@@ -91,6 +95,8 @@ def match(
     for column in shared:
         reached_twice &= F.col(f"p.{column}") == F.col(f"own.{column}")
     once = pairs.join(own_fleets, reached_twice, "left_anti")
+    if not small:
+        once = once.unionByName(reached(*by_fleet))
     return once.select(*shared, subscriber, *[c for c in events.columns if c not in shared])
 
 
@@ -151,7 +157,8 @@ def routing_outcomes(
     """Counts of delivered, dropped and unrouted events.
 
     Whether an event is wanted depends on its fleet and VIN alone, so these are counted first and
-    only the distinct pairs are routed. ``dropped`` is the result of :func:`conflate`.
+    only the distinct pairs are routed. ``dropped`` is the result of :func:`conflate` or
+    :func:`conflated_feed`.
     """
     kinds = events.groupBy("fleet_id", "vin").agg(F.count(F.lit(1)).alias("n"))
 
@@ -172,6 +179,28 @@ def routing_outcomes(
     return delivered.unionByName(lost).unionByName(unrouted)
 
 
+def conflated_feed(events: DataFrame, interest: DataFrame, subscriber: str, trigger_ms: int) -> DataFrame:
+    """What :func:`conflate` makes of the routed events, without routing events that it would drop.
+
+    Events of one vehicle, fleet and trigger interval reach the same subscribers, so only the newest of them is
+    routed, with the number it stands for.
+    """
+    keys = ["vin", "fleet_id", "trigger_ms"]
+    rest = [c for c in events.columns if c not in keys]
+    trigger = F.floor(F.unix_millis("timestamp") / F.lit(trigger_ms)) * F.lit(trigger_ms)
+    order = F.struct("device_timestamp", "event_id")
+    first = events.withColumn("trigger_ms", trigger).groupBy(*keys).agg(
+        F.max_by(F.struct(*rest), order).alias("newest"), F.count(F.lit(1)).alias("n")
+    )
+    routed = match(first.select(*keys, "newest.*", "n"), interest, subscriber)
+    kept = [c for c in routed.columns if c not in (subscriber, "vin", "trigger_ms", "n")]
+    return (
+        routed.groupBy(subscriber, "vin", "trigger_ms")
+        .agg(F.max_by(F.struct(*kept), order).alias("newest"), (F.sum("n") - F.lit(1)).alias("dropped"))
+        .select(subscriber, "vin", "trigger_ms", "newest.*", "dropped")
+    )
+
+
 def conflate(deliveries: DataFrame, subscriber: str, trigger_ms: int) -> DataFrame:
     """Per subscriber, vehicle and trigger interval keeps the newest event and counts the others.
 

@@ -395,6 +395,9 @@ PLAIN = {
       UNION ALL SELECT 'dropped', (SELECT n FROM d)
       UNION ALL SELECT 'unrouted', (SELECT count(*) FROM unrouted)""",
     "conflate": CONFLATED,
+    "conflate_all": CONFLATED.replace(
+        "pod_pairs", "(SELECT DISTINCT pod, p.* EXCLUDE (user_id) FROM pairs p JOIN connections USING (user_id))"
+    ),
     "interest_versions": INTEREST_VERSIONS,
     "write_history": f"SELECT {DATE} AS event_date, count(*) AS n FROM canonical GROUP BY 1",
     "read_history": f"SELECT {EVENT}, {DATE} AS event_date FROM canonical",

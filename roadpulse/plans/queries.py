@@ -237,26 +237,44 @@ def q_connected_users(spark, sf):
     return access.connected_users(t.connections(spark, sf))
 
 
+def settled(df, name):
+    """What several steps of one query read, worked out once and written to the shared folder."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def routing_inputs(spark, sf, admins=False):
+    """Canonical events, grants and pod interest, each settled."""
+    held = settled(grants(spark, sf), "grants")
+    wanted = settled(access.pod_grants(t.connections(spark, sf, admins), held), "interest")
+    return settled(canonical(spark, sf), "events"), held, wanted
+
+
 def q_route_events(spark, sf):
-    return routing.route_events(canonical(spark, sf), interest(spark, sf)).select("pod", "event_id")
+    events, _, wanted = routing_inputs(spark, sf)
+    return routing.route_events(events, wanted).select("pod", "event_id")
 
 
 def q_route_events_all(spark, sf):
-    return routing.route_events(canonical(spark, sf), interest(spark, sf, admins=True)).select("pod", "event_id")
+    events, _, wanted = routing_inputs(spark, sf, admins=True)
+    return routing.route_events(events, wanted).select("pod", "event_id")
+
+
+def q_unrouted_events(spark, sf):
+    events, _, wanted = routing_inputs(spark, sf)
+    return routing.unrouted_events(events, wanted).select(*EVENT_COLUMNS)
 
 
 def q_unrouted_events_all(spark, sf):
-    return routing.unrouted_events(canonical(spark, sf), interest(spark, sf, admins=True)).select(*EVENT_COLUMNS)
+    events, _, wanted = routing_inputs(spark, sf, admins=True)
+    return routing.unrouted_events(events, wanted).select(*EVENT_COLUMNS)
 
 
 def q_board_filter_fleet(spark, sf):
     return board.board_filter(latest(spark, sf), "fleet-nation_3", "").select(*EVENT_COLUMNS)
 
 
-def q_unrouted_events(spark, sf):
-    return routing.unrouted_events(canonical(spark, sf), interest(spark, sf)).select(*EVENT_COLUMNS)
-
-
 def q_authorize_events(spark, sf):
     return routing.authorize_events(canonical(spark, sf), grants(spark, sf)).select(
         "user_id", "event_id"
@@ -264,26 +282,30 @@ def q_authorize_events(spark, sf):
 
 
 def q_two_stage_feed(spark, sf):
-    return routing.two_stage_feed(
-        canonical(spark, sf),
-        grants(spark, sf),
-        t.connections(spark, sf),
-        interest(spark, sf, admins=True),
-    ).select("pod", "user_id", "event_id")
+    events, held, wanted = routing_inputs(spark, sf, admins=True)
+    fed = routing.two_stage_feed(events, held, t.connections(spark, sf), wanted)
+    return fed.select("pod", "user_id", "event_id")
 
 
-def q_routing_outcomes(spark, sf):
-    events, wanted = canonical(spark, sf), interest(spark, sf)
-    return routing.routing_outcomes(events, wanted, conflated(spark, sf))
+TRIGGER_MS = 6 * 60 * 60 * 1000
 
 
-def conflated(spark, sf):
-    deliveries = routing.route_events(canonical(spark, sf), interest(spark, sf))
-    return routing.conflate(deliveries, "pod", 6 * 60 * 60 * 1000)
+def q_routing_outcomes(spark, sf):
+    events, _, wanted = routing_inputs(spark, sf)
+    dropped = routing.conflated_feed(events, wanted, "pod", TRIGGER_MS)
+    return routing.routing_outcomes(events, wanted, dropped)
 
 
 def q_conflate(spark, sf):
-    return conflated(spark, sf).select("pod", "vin", "trigger_ms", "event_id", "dropped")
+    events, _, wanted = routing_inputs(spark, sf)
+    made = routing.conflated_feed(events, wanted, "pod", TRIGGER_MS)
+    return made.select("pod", "vin", "trigger_ms", "event_id", "dropped")
+
+
+def q_conflate_all(spark, sf):
+    events, _, wanted = routing_inputs(spark, sf, admins=True)
+    made = routing.conflated_feed(events, wanted, "pod", TRIGGER_MS)
+    return made.select("pod", "vin", "trigger_ms", "event_id", "dropped")
 
 
 def q_interest_versions(spark, sf):

@@ -36,3 +36,15 @@ def kept_number(spark: SparkSession, path: str, make) -> int:
         return int(bytes(into.readAllBytes()))
     finally:
         into.close()
+
+
+def numbered_folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers of the folders named ``prefix`` and a number."""
+    store, place = _at(spark, f"{path}/{prefix}*")
+    return sorted(int(f.getPath().getName()[len(prefix) :]) for f in store.globStatus(place) or [])
+
+
+def replace_folder(spark: SparkSession, source: str, target: str) -> None:
+    store, place = _at(spark, target)
+    store.delete(place, True)
+    store.rename(_at(spark, source)[1], place)

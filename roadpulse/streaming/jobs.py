@@ -33,7 +33,7 @@ from roadpulse.operators.pipeline import (
 from roadpulse.operators.routing import MAX_AGE_MS, authorize_events, fresh_only, routing_keys
 from roadpulse.schemas import CANONICAL, RAW_LOG, UNASSIGNED
 from roadpulse.sources.history import write_history
-from roadpulse.sources.files import delete_matching, kept_number
+from roadpulse.sources.files import delete_matching, kept_number, numbered_folders, replace_folder
 from roadpulse.sources.logs import read_batch, read_batches, read_partitions, write_batch
 from roadpulse.streaming.dedup import DEDUP_TTL_MS
 
@@ -296,14 +296,32 @@ def latest_state_stream(log: DataFrame, out: str, trigger: dict | None = None) -
     )
 
 
-def read_latest_state(spark: SparkSession, out: str) -> DataFrame:
-    """The newest flush of every vehicle."""
-    rows = read_batches(spark, f"{out}/latest", EVENTS_WITH_POSITION)
-    rest = [c for c in rows.columns if c not in ("vin", "batch_id")]
+def _newest_flushes(rows: DataFrame) -> DataFrame:
+    rest = [c for c in rows.columns if c != "vin"]
     newest = F.max_by(F.struct(*rest), "batch_id").alias("newest")
     return rows.groupBy("vin").agg(newest).select("vin", "newest.*")
 
 
+def read_latest_state(spark: SparkSession, out: str) -> DataFrame:
+    """The newest flush of every vehicle; after a compaction one folder and the flushes since."""
+    return _newest_flushes(read_batches(spark, f"{out}/latest", EVENTS_WITH_POSITION)).drop("batch_id")
+
+
+def compact_latest_state(spark: SparkSession, out: str, up_to_batch: int) -> None:
+    """Folds all flushes up to a finished batch into the folder of that batch.
+
+    The folded rows are written beside it and moved into place before the older flushes go, so a reader or a
+    failure in between sees some rows twice and none missing. Run it when no later flush is being folded.
+    """
+    path = f"{out}/latest"
+    rows = read_batches(spark, path, EVENTS_WITH_POSITION).where(F.col("batch_id") <= up_to_batch)
+    write_batch(_newest_flushes(rows).drop("batch_id"), f"{out}/latest-folded", up_to_batch)
+    replace_folder(spark, f"{out}/latest-folded/batch_id={up_to_batch}", f"{path}/batch_id={up_to_batch}")
+    for older in numbered_folders(spark, path, "batch_id="):
+        if older < up_to_batch:
+            delete_matching(spark, f"{path}/batch_id={older}")
+
+
 def log_records(canonical: DataFrame) -> DataFrame:
     """Canonical events as the records of a file log, ready for the jobs that read it."""
     return write_canonical(canonical).select(*RAW_LOG.fieldNames())

@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -226,3 +228,19 @@ def test_everything_and_a_fleet_deliver_once(spark):
     for limit in (None, 0):
         got = routing.authorize_events(made, held, limit_bytes=limit)
         assert rows(got, "user_id", "vin") == [("boss", VIN_A), ("boss", VIN_B)]
+
+
+def test_conflating_before_routing_gives_the_same_feed(spark):
+    rng = random.Random(1)
+    made = events(
+        spark,
+        *[event(rng.choice([VIN_A, VIN_B, VIN_C]), NOW + i * 90, f"f{rng.randrange(2)}", i) for i in range(60)],
+    )
+    held = spark.createDataFrame(
+        [("p1", "*"), ("p1", "fleet:f1"), ("p2", "fleet:f0"), ("p2", f"vin:{VIN_A}"), ("p3", f"vin:{VIN_B}")],
+        "pod string, topic string",
+    )
+    after = routing.conflate(routing.route_events(made, held), "pod", 1000)
+    before = routing.conflated_feed(made, held, "pod", 1000)
+    columns = ["pod", "vin", "trigger_ms", "event_id", "fleet_id", "dropped"]
+    assert rows(before, *columns) == rows(after, *columns)

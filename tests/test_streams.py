@@ -10,7 +10,7 @@ from roadpulse.plans.pipelines import canonical_events
 from roadpulse.session import shared_dir
 from roadpulse.sources import logs
 from roadpulse.operators.pipeline import write_canonical
-from roadpulse.sources.files import kept_number
+from roadpulse.sources.files import kept_number, numbered_folders
 from roadpulse.sources.history import read_history, write_history
 from roadpulse.sources.logs import LogSource, read_batches, read_live_stream, read_raw_stream
 from roadpulse.streaming import jobs
@@ -262,3 +262,18 @@ def test_a_repeated_batch_leaves_nothing_of_its_first_attempt(spark, tmp_path):
 def test_a_kept_number_does_not_change(spark, tmp_path):
     path = f"{tmp_path}/clock/1"
     assert [kept_number(spark, path, lambda n=n: n) for n in (5, 9)] == [5, 5]
+
+
+def test_compaction_bounds_the_folders_of_the_latest_state(spark, tmp_path):
+    out = str(tmp_path)
+    schema = jobs.EVENTS_WITH_POSITION
+    flushes = [[event(VIN_A, NOW, "f0")], [event(VIN_A, NOW + 1, "f1"), event(VIN_B, NOW)], [event(VIN_B, NOW + 2, "f2")]]
+    for i, made in enumerate(flushes):
+        logs.write_batch(events(spark, *made).select(*schema.fieldNames()), f"{out}/latest", i)
+    want = rows(jobs.read_latest_state(spark, out), "vin", "fleet_id")
+    jobs.compact_latest_state(spark, out, 1)
+    assert numbered_folders(spark, f"{out}/latest", "batch_id=") == [1, 2]
+    assert rows(jobs.read_latest_state(spark, out), "vin", "fleet_id") == want
+    jobs.compact_latest_state(spark, out, 2)
+    assert numbered_folders(spark, f"{out}/latest", "batch_id=") == [2]
+    assert rows(jobs.read_latest_state(spark, out), "vin", "fleet_id") == want
