@@ -7,6 +7,7 @@ and then twice; the better time counts. Results go to a sink that reads every ro
 import json
 import os
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -63,6 +64,7 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.ui.enabled": "false",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
+            "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='roadpulse-bench-')}",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
