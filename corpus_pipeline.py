@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from roadpulse.llm import decontaminate, pieces, quality, simhash, suffixes
 from roadpulse.llm.queries import piece_model
-from roadpulse.llm.shared import stored, table
+from roadpulse.llm.shared import brought_back, set_aside, stored, table
 from roadpulse.session import ship_package
 
 
@@ -31,10 +31,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their token ids and a digest of the decoded text."""
-    own = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    coded = pieces.decode(pieces.encode(own, piece_model()).drop("text"), piece_model())
+    coded = pieces.decode(pieces.encode(set_aside(docs), piece_model()), piece_model())
     return coded.select(
-        "_row.*",
+        *brought_back(coded, docs),
         F.size("ids").cast("long").alias("n_tokens"),
         F.col("ids").alias("token_ids"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

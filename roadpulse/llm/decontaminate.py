@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadpulse.llm import text as tx
-from roadpulse.llm.shared import free_name, with_columns_of
+from roadpulse.llm.shared import brought_back, free_name, set_aside, with_columns_of
 
 MIN_WORDS = 13
 GRAM = 7
@@ -196,5 +196,5 @@ def contaminated() -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns only."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    return benchmark_hits(rows, benchmark, text="_text").where(~contaminated()).select("_row.*")
+    clean = benchmark_hits(set_aside(docs), benchmark).where(~contaminated())
+    return clean.select(*brought_back(clean, docs))

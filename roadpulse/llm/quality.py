@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadpulse.llm import text as tx
-from roadpulse.llm.shared import with_columns_of
+from roadpulse.llm.shared import brought_back, set_aside, with_columns_of
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 WINDOW = 5
@@ -160,6 +160,5 @@ def ablations(rows: DataFrame, policies: Mapping[str, list[str]] = POLICIES) ->
 
 def quality_filter(docs: DataFrame, version: str = "v2") -> DataFrame:
     """The documents that a policy keeps, with their own columns only."""
-    own = docs.columns
-    kept = ledger(docs.select(F.struct(*own).alias("_row"), F.col("text").alias("_text")), "_text")
-    return kept.where(passes(version)).select("_row.*")
+    kept = ledger(set_aside(docs)).where(passes(version))
+    return kept.select(*brought_back(kept, docs))

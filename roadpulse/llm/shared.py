@@ -3,7 +3,7 @@
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def set_aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with doc_id and text, and all other columns under names that no operator uses."""
+    return docs.toDF(*(c if c in ("doc_id", "text") else f"_aside_{i}" for i, c in enumerate(docs.columns)))
+
+
+def brought_back(rows: DataFrame, docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of ``docs`` out of rows that come from ``set_aside``, some with a ``new`` value."""
+    names = set_aside(docs).columns
+    return [new.get(c, rows[n]).alias(c) for c, n in zip(docs.columns, names, strict=True)]
+
+
 def with_columns_of(
     df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], added: list[tuple[str, T.DataType]]
 ) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from roadpulse.llm import text as tx
 from roadpulse.llm.components import components
-from roadpulse.llm.shared import stored, with_columns_of
+from roadpulse.llm.shared import brought_back, set_aside, stored, with_columns_of
 
 SHINGLE = 4
 DISTANCE = 4
@@ -158,7 +158,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     doc_id stay, since no component is named after them.
     """
     named = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(named, "doc_id", "left_semi")
+    kept = set_aside(docs.where("doc_id IS NOT NULL")).join(named, "doc_id", "left_semi")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rows = kept.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text").withColumn("_place", place)
-    return rows.where("_place = 1").select("_row.*").unionByName(docs.where("doc_id IS NULL"))
+    rows = kept.withColumn("place", place).where("place = 1")
+    return rows.select(*brought_back(rows, docs)).union(docs.where("doc_id IS NULL"))

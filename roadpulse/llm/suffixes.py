@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadpulse.llm import text as tx
-from roadpulse.llm.shared import free_name, stored
+from roadpulse.llm.shared import brought_back, free_name, set_aside, stored
 
 LENGTH = 100
 GRAM = 20
@@ -360,15 +360,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeats cut from ``text``; n_chars follows. Characters cut in two are left out."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    cut = remove_repeats(rows)
+    cut = remove_repeats(set_aside(docs))
+    aside = [f for f in cut.schema.fields if f.name not in ("text", "n_bytes", "kept", "removed")]
+    names = [f.name for f in aside]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.array([b.as_py().decode("utf-8", "ignore") for b in batch.column("kept")], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), texts], ["_row", "_text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), texts], [*names, "text"])
 
-    schema = T.StructType([rows.schema["_row"], T.StructField("_text", T.StringType())])
-    done = cut.select("_row", "kept").mapInArrow(run, schema)
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return done.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
+    done = cut.select(*names, "kept").mapInArrow(run, T.StructType([*aside, T.StructField("text", T.StringType())]))
+    return done.select(*brought_back(done, docs, n_chars=F.length("text").cast("long")))
