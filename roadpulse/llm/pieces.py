@@ -6,8 +6,8 @@ before it, else a shorter one, else step back; positions from which no piece led
 bitfield and never entered again. Two adjacent pieces are compatible if merging their joined characters anew
 gives the same two pieces.
 
-No piece goes on after a white-space mark inside it, so a text is cut in front of each run of marks, and the
-encodings of frequent units are remembered. Marks in a row have equal scores, so a unit that starts with
+A text is cut where no piece can lie across: in front of each run of white-space marks, and between letters and
+other characters as far as the vocabulary keeps them apart. The encodings of frequent units are remembered. Marks in a row have equal scores, so a unit that starts with
 several is merged directly. A character outside the vocabulary becomes its UTF-8 bytes.
 """
 
@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from roadpulse.llm.shared import with_columns_of
 
 MARK = "▁"
-_UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_REMEMBERED, _REMEMBERED_LENGTH, _PAIRS = 200_000, 64, 200_000
+#: Units remembered in each of two generations, so that frequent ones outlive the rare.
+_REMEMBERED, _REMEMBERED_LENGTH, _PAIRS = 120_000, 64, 200_000
 
 codecs.register_error("each", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -52,6 +52,8 @@ class Model:
         self.scores = {self.pieces[i]: sp.get_score(i) for i in plain}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece goes on after a white-space mark; units cannot be cut there")
+        letters = self._letters()
+        self.units = re.compile(f"{MARK}*[{letters}]+|{MARK}*[^{MARK}{letters}]+|{MARK}+")
         self.found = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             # Only pieces that merging can build are ever part of an encoding.
@@ -60,6 +62,7 @@ class Model:
         self.found.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
         self.remembered: dict[str, array] = {}
+        self.older: dict[str, array] = {}
         self.control = {i for i in range(size) if sp.is_control(i)}
         shown = [p.replace(MARK, " ") for p in self.pieces]
         for i in range(size):
@@ -71,6 +74,18 @@ class Model:
             shown[i] = chr(b) if b < 0x80 else chr(0xDC00 + b)
         self.shown = shown
 
+    def _letters(self) -> str:
+        """The Latin letters that no piece joins to any other character but a mark."""
+        found = {c for p in self.ids for c in p if c.isalpha() and ord(c) < 0x250}
+        while True:
+            mixed = {
+                c for p in self.ids for x, y in zip(p, p[1:]) if MARK not in (x, y) and (x in found) != (y in found)
+                for c in (x, y)
+            }
+            if not mixed & found:
+                return "".join(sorted(found)) or "\uffff"
+            found -= mixed
+
     def merged(self, text: str) -> list[str]:
         """The pieces after merging by score, the leftmost first among equals."""
         parts: list[str | None] = list(text)
@@ -142,8 +157,17 @@ class Model:
 
     def unit(self, unit: str) -> array:
         known = self.remembered.get(unit)
-        if known is not None:
-            return known
+        if known is None:
+            known = self.older.get(unit)
+            if known is None:
+                known = self._fresh(unit)
+            if len(unit) <= _REMEMBERED_LENGTH:
+                if len(self.remembered) >= _REMEMBERED:
+                    self.older, self.remembered = self.remembered, {}
+                self.remembered[unit] = known
+        return known
+
+    def _fresh(self, unit: str) -> array:
         if unit.startswith(MARK * 2):
             found = [self.ids.get(p, -1 - ord(p[0])) for p in self.merged(unit)]
         else:
@@ -154,17 +178,13 @@ class Model:
                 out.append(i)
             else:
                 out.extend(self.bytes[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass"))
-        if len(unit) <= _REMEMBERED_LENGTH:
-            if len(self.remembered) >= _REMEMBERED:
-                self.remembered.clear()
-            self.remembered[unit] = out
         return out
 
     def encode(self, text: str, out: array) -> None:
         """Appends the ids of a whole text."""
         if text:
             unit, known = self.unit, self.remembered.get
-            for u in _UNIT.findall(MARK + text.replace(" ", MARK)):
+            for u in self.units.findall(MARK + text.replace(" ", MARK)):
                 out.extend(known(u) or unit(u))
 
     def _shown(self, ids) -> str:
