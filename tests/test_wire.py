@@ -1,9 +1,11 @@
 import base64
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from roadpulse.functions.wire import decode_batch, report_class
 from roadpulse.operators.ingest import decode_telemetry, normalize_ingest
 from tests.samples import NOW, VIN_A, raw, wire
 
@@ -82,3 +84,27 @@ def test_decode_keeps_one_python_step(spark):
     plan = decode_telemetry(raw(spark, wire())).select("vin", "lat", F.col("lng") + 1)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("ArrowEvalPython") == 1 and text.count("decode_report(") <= 2
+
+
+def test_batches_decode_as_single_messages(spark):
+    """Against the message library, on whole, cut, mixed and random bytes."""
+    rng = random.Random(9)
+    whole = [wire(vin=v, lng=x, status=s, ts=t) for v in ("", VIN_A, "é" * 9) for x in (0.0, -1.5) for s in (0, 7, -3) for t in (0, -5, NOW)]
+    more = [b"\x9a\x06\x03abc", b"\x0a\x02\xff\xfe", b"\x0b\x08\x01\x0c", b"\x0c", b"\x00\x01", b"\x20" + b"\xff" * 10, b"\x15abcd", b"\x07"]
+    made = list(whole)
+    for _ in range(3000):
+        parts = b"".join(rng.choice(whole + more) for _ in range(rng.randrange(1, 4)))
+        cut = parts[: rng.randrange(len(parts) + 1)] if rng.random() < 0.5 else parts
+        made.append(bytes(b if rng.random() > 0.02 else rng.randrange(256) for b in cut))
+    found = decode_batch(made)
+    for value, r in zip(made, found.itertuples(index=False), strict=True):
+        try:
+            m = report_class().FromString(value)
+        except Exception:
+            assert r.decode_error and r.vin is None, value
+        else:
+            want = (m.vin, m.lng, m.lat, m.status, m.battery_soc, m.device_timestamp)
+            got = (r.vin, r.lng, r.lat, r.status_code, r.battery_soc, r.device_timestamp)
+            assert r.decode_error is None and [repr(float(x)) if isinstance(x, float) else x for x in want] == [
+                repr(float(x)) if isinstance(x, float) else x for x in got
+            ], value
