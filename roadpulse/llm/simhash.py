@@ -16,7 +16,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,8 +157,13 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     A doc_id stands for one document: of rows that repeat one, the first by text stays. Rows without a
     doc_id stay, since no component is named after them.
     """
-    named = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = set_aside(docs.where("doc_id IS NOT NULL")).join(named, "doc_id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rows = kept.withColumn("place", place).where("place = 1")
+    named = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").count()
+    named = stored(named.select("doc_id", (F.col("count") > 1).alias("again")), "kept-documents")
+    own = set_aside(docs.where("doc_id IS NOT NULL"))
+    # Ids alone are hashed and texts stream past them: nothing sorts a text.
+    once = own.join(named.where("NOT again").hint("shuffle_hash"), "doc_id", "left_semi")
+    again = own.join(named.where("again").hint("shuffle_hash"), "doc_id", "left_semi")
+    rest = [c for c in own.columns if c != "doc_id"]
+    first = again.groupBy("doc_id").agg(F.min_by(F.struct(*rest), "text").alias("r")).select("doc_id", "r.*")
+    rows = once.unionByName(first)
     return rows.select(*brought_back(rows, docs)).union(docs.where("doc_id IS NULL"))
