@@ -31,7 +31,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their token ids and a digest of the decoded text."""
-    coded = pieces.decode(pieces.encode(set_aside(docs), piece_model()), piece_model())
+    coded = pieces.encode_and_decode(set_aside(docs), piece_model())
     return coded.select(
         *brought_back(coded, docs),
         F.size("ids").cast("long").alias("n_tokens"),

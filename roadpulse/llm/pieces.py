@@ -30,7 +30,7 @@ from roadpulse.llm.shared import with_columns_of
 
 MARK = "▁"
 #: Units remembered in each of two generations, so that frequent ones outlive the rare.
-_REMEMBERED, _REMEMBERED_LENGTH, _PAIRS = 120_000, 64, 200_000
+_REMEMBERED, _REMEMBERED_LENGTH, _PAIRS = 80_000, 64, 150_000
 
 codecs.register_error("each", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -60,7 +60,7 @@ class Model:
             if len(piece) == 1 or self.merged(piece) == [piece]:
                 self.found.add_word(piece, (len(piece), i))
         self.found.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.remembered: dict[str, array] = {}
         self.older: dict[str, array] = {}
         self.control = {i for i in range(size) if sp.is_control(i)}
@@ -118,13 +118,14 @@ class Model:
     def compatible(self, left: int, right: int) -> bool:
         if left < 0 or right < 0:
             return True
-        known = self.fits.get((left, right))
+        pair = left << 24 | right
+        known = self.fits.get(pair)
         if known is None:
             a, b = self.pieces[left], self.pieces[right]
             known = a + b not in self.ids and self.merged(a + b) == [a, b]
             if len(self.fits) >= _PAIRS:
                 self.fits.clear()
-            self.fits[left, right] = known
+            self.fits[pair] = known
         return known
 
     def backtracked(self, unit: str) -> list[int]:
@@ -242,6 +243,21 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return with_columns_of(rows, make, [("decoded", T.StringType())])
 
 
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """What ``decode`` makes of ``encode``, in one step and with one model per task."""
+
+    def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        own, flat, ends, texts = model(path), array("i"), [0], []
+        for value in batch.column(text):
+            own.encode(value.as_py() or "", flat)
+            texts.append(own.decode(flat[ends[-1] :]))
+            ends.append(len(flat))
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+        return {"ids": ids, "decoded": pa.array(texts, pa.string())}
+
+    return with_columns_of(docs, make, [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())])
+
+
 def ids_digest(ids: str = "ids"):
     """SHA-256 of the decimal ids joined by commas."""
     return F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256)

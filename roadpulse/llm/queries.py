@@ -81,7 +81,7 @@ def piece_model() -> str:
 
 def op8_sentencepiece_backtracking(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    rows = pieces.decode(pieces.encode(docs, piece_model()).drop("text"), piece_model())
+    rows = pieces.encode_and_decode(docs, piece_model())
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

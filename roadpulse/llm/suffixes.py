@@ -33,7 +33,7 @@ GRAM = 20
 PART = 4096
 LOWEST = -(1 << 63)
 _AT = np.uint64((1 << 28) - 1)
-_CHUNK_BYTES = 4 << 20
+_CHUNK_BYTES = 1 << 20
 _SEGMENT = "doc long, start int, n int, g long, c long, dup boolean"
 _SLICE = "g long, part int, hot boolean, doc long, start int, n int, bytes binary"
 _FOUND = "doc long, start int, n int, g long, h long"
@@ -89,7 +89,7 @@ def segments(block: tx.Block, length: int = LENGTH, gram: int = GRAM) -> dict[st
 def _tile(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [segments(b, length, gram) for b in tx.blocks(batch.column("text"), 2 << 20)]
+            parts = [segments(b, length, gram) for b in tx.blocks(batch.column("text"))]
             if not parts:
                 continue
             s = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
@@ -314,13 +314,16 @@ def _without(data: bytes, starts: np.ndarray, n: np.ndarray, length: int) -> tup
     return b"".join([*kept, data[at:]]), [(s, e) for s, e in spans]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int = PART) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int = PART, as_text: bool = False
+) -> DataFrame:
     """``docs`` with ``n_bytes``, ``kept`` (bytes) and ``removed``, the removed spans as (start, end) in bytes.
 
     A byte goes if some ``length`` bytes around it also start earlier: in a smaller doc_id, or earlier in the same
     document. Null texts are empty; texts shorter than ``length`` stay whole. A null doc_id is the smallest.
     Rows that repeat a doc_id are one document: they do not remove each other, and what is marked in one is
-    cut from all, within their length. Columns named n_bytes, kept or removed are replaced.
+    cut from all, within their length. Columns named n_bytes, kept or removed are replaced. With ``as_text`` kept is
+    text, without the characters that are cut in two.
     """
     key, marks_name = free_name(docs, "_doc"), free_name(docs, "_marks")
     plain = docs.select(document_key().alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
@@ -329,7 +332,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
     rows = docs.withColumn(key, document_key()).join(marks, key, "left").drop(key)
     added = [
         T.StructField("n_bytes", T.LongType()),
-        T.StructField("kept", T.BinaryType()),
+        T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
         T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
     ]
     names = {f.name for f in added}
@@ -346,10 +349,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
                     starts = np.array([m["start"] for m in marked], np.int64)
                     left, gone = _without(data, starts, np.array([m["n"] for m in marked], np.int64), length)
                     n_bytes.append(len(data))
-                    kept.append(left)
+                    kept.append(left.decode("utf-8", "ignore") if as_text else left)
                     removed.append([{"start": s, "end": e} for s, e in gone])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in own), pa.array(n_bytes, pa.int64()), pa.array(kept, pa.binary()),
+                    [*(batch.column(c) for c in own), pa.array(n_bytes, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()),
                      pa.array(removed, spans)],
                     [*own, "n_bytes", "kept", "removed"],
                 )
@@ -360,14 +363,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeats cut from ``text``; n_chars follows. Characters cut in two are left out."""
-    cut = remove_repeats(set_aside(docs))
-    aside = [f for f in cut.schema.fields if f.name not in ("text", "n_bytes", "kept", "removed")]
-    names = [f.name for f in aside]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([b.as_py().decode("utf-8", "ignore") for b in batch.column("kept")], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), texts], [*names, "text"])
-
-    done = cut.select(*names, "kept").mapInArrow(run, T.StructType([*aside, T.StructField("text", T.StringType())]))
+    cut = remove_repeats(set_aside(docs), as_text=True)
+    done = cut.select(*(F.col("kept").alias(c) if c == "text" else F.col(c) for c in set_aside(docs).columns))
     return done.select(*brought_back(done, docs, n_chars=F.length("text").cast("long")))

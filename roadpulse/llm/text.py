@@ -69,7 +69,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
             steps = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
             steps[0] = 1
             have = np.multiply.accumulate(steps)
-        if n <= 4 * BLOCK_BYTES:
+        if n <= 2 * BLOCK_BYTES:
             _powers[name] = have
     return have[:n]
 
