@@ -364,6 +364,8 @@ def test_encoding_and_decoding_equal_the_library(spark, docs, given, library):
         for doc, text in rows:
             ids = library.encode(text or "")
             assert found[doc] == (ids, library.decode(ids))
+        both = pieces.encode_and_decode(df, piece_model()).select("doc_id", "ids", "decoded").collect()
+        assert {r.doc_id: (list(r.ids), r.decoded) for r in both} == found
 
 
 def test_random_texts_and_ids_equal_the_library(library):
