@@ -164,8 +164,9 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     once = own.join(named.where("NOT again").hint("shuffle_hash"), "doc_id", "left_semi")
     again = own.join(named.where("again").hint("shuffle_hash"), "doc_id", "left_semi")
     rest = [c for c in own.columns if c != "doc_id"]
-    # Where docs is a union, the join is planned per part; without an exchange of its own the grouping then trusts
-    # parts whose partitions were merged differently at run time.
-    first = again.repartition("doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*rest), "text").alias("r")).select("doc_id", "r.*")
+    # Where docs is a union, the join is planned per part, and a grouping by doc_id itself would trust parts whose
+    # partitions are merged differently at run time. Another key gives it an exchange of its own.
+    row = F.struct("doc_id", *rest)
+    first = again.groupBy(F.bitwise_not("doc_id")).agg(F.min_by(row, "text").alias("r")).select("r.*")
     rows = once.unionByName(first)
     return rows.select(*brought_back(rows, docs)).union(docs.where("doc_id IS NULL"))
