@@ -45,9 +45,9 @@ def check_vehicle_changes(changes: DataFrame, fleets: DataFrame) -> DataFrame:
         | (F.coalesce("fleet_id", F.lit("")) == "")
     )
     error = (
-        F.when(bad_request, "provide a 17-character vin and a fleetId")
-        .when(F.char_length("vin") != VIN_LENGTH, "vin does not have 17 characters")
-        .when(F.col("known").isNull(), "unknown fleet")
+        F.when(bad_request, "bad_request")
+        .when(F.char_length("vin") != VIN_LENGTH, "bad_vin")
+        .when(F.col("known").isNull(), "unknown_fleet")
     )
     return joined.select(*changes.columns, error.alias("error"))
 
@@ -105,11 +105,11 @@ def check_grants(
     error = (
         F.when(
             ~given("user_id") | (given("fleet_id") == given("vin")),
-            "provide userId and exactly one of fleetId or vin",
+            "bad_request",
         )
-        .when(F.col("known_user_id").isNull(), "unknown user")
-        .when(given("fleet_id") & F.col("known_fleet_id").isNull(), "unknown fleet")
-        .when(given("vin") & F.col("known_vin").isNull(), "unknown vehicle")
+        .when(F.col("known_user_id").isNull(), "unknown_user")
+        .when(given("fleet_id") & F.col("known_fleet_id").isNull(), "unknown_fleet")
+        .when(given("vin") & F.col("known_vin").isNull(), "unknown_vehicle")
     )
     return rows.select(*requests.columns, error.alias("error"))
 

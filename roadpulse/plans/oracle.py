@@ -143,9 +143,9 @@ WITH ev AS (
   FROM orders JOIN nation_fleet ON o_orderkey % 25 = n_nationkey
 ), checked_changes AS (
   SELECT *, CASE WHEN octet_length(encode(vin)) <> 17 OR fleet_id = ''
-      THEN 'provide a 17-character vin and a fleetId'
-    WHEN length(vin) <> 17 THEN 'vin does not have 17 characters'
-    WHEN fleet_id NOT IN (SELECT fleet_id FROM fleets) THEN 'unknown fleet'
+      THEN 'bad_request'
+    WHEN length(vin) <> 17 THEN 'bad_vin'
+    WHEN fleet_id NOT IN (SELECT fleet_id FROM fleets) THEN 'unknown_fleet'
     ELSE 'ok' END AS result
   FROM vehicle_changes
 ), grant_requests AS (
@@ -158,10 +158,10 @@ WITH ev AS (
   FROM orders JOIN nation_fleet ON o_orderkey % 25 = n_nationkey
 ), checked_grants AS (
   SELECT *, CASE WHEN user_id = '' OR (fleet_id = '') = (vin = '')
-      THEN 'provide userId and exactly one of fleetId or vin'
-    WHEN user_id NOT IN (SELECT user_id FROM users) THEN 'unknown user'
-    WHEN fleet_id <> '' AND fleet_id NOT IN (SELECT fleet_id FROM fleets) THEN 'unknown fleet'
-    WHEN vin <> '' AND vin NOT IN (SELECT vin FROM vehicles) THEN 'unknown vehicle'
+      THEN 'bad_request'
+    WHEN user_id NOT IN (SELECT user_id FROM users) THEN 'unknown_user'
+    WHEN fleet_id <> '' AND fleet_id NOT IN (SELECT fleet_id FROM fleets) THEN 'unknown_fleet'
+    WHEN vin <> '' AND vin NOT IN (SELECT vin FROM vehicles) THEN 'unknown_vehicle'
     ELSE 'ok' END AS result
   FROM grant_requests
 )
