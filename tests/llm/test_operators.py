@@ -342,6 +342,29 @@ def test_toxic_documents_are_told_apart_on_held_out_rows(spark, sf):
     assert sum(r.predicted == int(r.doc_id % 7 == 0) for r in held) >= 0.97 * len(held)
 
 
+def test_no_expression_shares_the_evidence_of_another(spark):
+    rows = [(i, f"plain{i} text " + ("vile" if i % 3 == 0 else "mild")) for i in range(600)]
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int")
+    asked = frame(spark, [(None, "vile"), (7, "vile"), (7, "mild"), (8, "vile"), *((1000 + i, f"unseen{i:04}") for i in range(3000))])
+    scores = []
+    for size in (64, 1 << 20):  # a table or filter that is far too small must not change a score
+        model = toxicity.train(frame(spark, rows), known, size)
+        scores.append(collected(toxicity.score(asked, model).select("doc_id", "text", "score")))
+    assert scores[0] == scores[1] and len(scores[0]) == 3004
+    by_text = {t: {s for _, u, s in scores[0] if (u if u in ("vile", "mild") else "unseen") == t} for t in ("vile", "mild", "unseen")}
+    assert all(len(s) == 1 for s in by_text.values())
+    assert min(by_text["vile"]) > max(by_text["unseen"]) > max(by_text["mild"])
+
+
+def test_no_label_is_lost_on_the_way_to_its_text(spark):
+    ids = [random.Random(i).getrandbits(62) - (1 << 61) for i in range(4000)]
+    known = spark.createDataFrame([(i, 1) for i in ids[::2]], "doc_id long, toxic int")
+    for bits, most in ((1 << 26, 2100), (1 << 12, 4000)):
+        found = toxicity._perhaps_labelled(frame(spark, [(i, "t") for i in ids]), known, bits)
+        assert found.columns == ["doc_id", "text"]
+        assert set(ids[::2]) <= {r.doc_id for r in found.collect()} and found.count() <= most
+
+
 def test_toxicity_without_labels_or_rows(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, none, 1 << 10)
