@@ -160,22 +160,28 @@ def _head(data: bytes) -> dict[str, str] | None:
 
 def _is_member(window: _Window) -> bool:
     """Whether a member with a WARC header starts at the window's first byte."""
-    size = 4096
+    size, most = 4096, 1 << 16
     while True:
         while len(window.held) < size and window.more():
             pass
         probe = zlib.decompressobj(31)
         try:
-            start = probe.decompress(window.held[:size], 1 << 16)
+            start = probe.decompress(window.held[:size], most)
         except zlib.error:
             return False
         if start[:5] != b"WARC/"[: len(start[:5])]:
             return False
         if _head(start) is not None:
             return True
-        if len(window.held) < size or probe.eof or len(start) >= 1 << 16:
+        # A header may be of any length: go on to its end, or to the end of the member or file.
+        if probe.eof:
             return False
-        size *= 4
+        if len(start) >= most:
+            most *= 4
+        elif len(window.held) < size:
+            return False
+        else:
+            size *= 4
 
 
 def _member_at(window: _Window) -> bytes | None:

@@ -265,6 +265,22 @@ def test_archives_of_an_empty_table_and_damaged_files(spark, tmp_path):
     assert list(warc.read_range(io.BytesIO(inner), 0, len(inner))) == []
 
 
+def test_a_page_with_a_very_long_url_is_read_back(spark, tmp_path):
+    rng = random.Random(9)
+    urls_ = ["http://a.example.com/" + "x" * 900_000, "http://a.example.com/" + "".join(rng.choices("abcdefgh0123", k=700_000)), "http://a.example.com/"]
+    rows = [(i, u, f"<p>{i}") for i, u in enumerate(urls_)]
+    folder = f"file://{tmp_path}/long"
+    written = warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sum(r.n_records for r in warc.write_archives(written, folder).collect()) == 3
+    for range_bytes in (10_000, 1 << 20):
+        found = warc.read_archives(spark, folder, range_bytes).collect()
+        assert sorted((r.page_id, r.url, r.payload.decode()) for r in found) == rows
+    member = warc._member(written.first().asDict())
+    cut, endless = member[: len(member) // 2], zlib.compress(b"WARC/1.1" + b"y" * 300_000, wbits=31)
+    data = endless + cut + member
+    assert len(list(warc.read_range(io.BytesIO(data), 0, len(data)))) == 1
+
+
 def test_warc_query(spark, sf):
     found = all_queries()["op5_splittable_warc"](spark, sf).collect()
     texts = {r.page_id: (r.html or "").encode() for r in table(spark, sf, "pages").collect()}
