@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from roadpulse.llm import text as tx
 from roadpulse.llm.components import components
-from roadpulse.llm.shared import brought_back, set_aside, stored, with_columns_of
+from roadpulse.llm.shared import brought_back, free_name, set_aside, stored, with_columns_of
 
 SHINGLE = 4
 DISTANCE = 4
@@ -128,6 +128,20 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     return pairs if found is None else pairs.unionByName(found)
 
 
+def _named(rows: DataFrame, dense: int) -> DataFrame:
+    """(fp, root, component_id) of each fingerprint in the stored ``rows``; root stands for the component."""
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    linked = components(links(fps.select("fp"), dense)).withColumnRenamed("node", "fp")
+    inner = linked.unionByName(linked.select(F.col("root").alias("fp"), "root").distinct())
+    reached = inner.join(fps, "fp").groupBy("root").agg(F.min("least").alias("reached"))
+    named = stored(inner.join(reached, "root").select("fp", "root", "reached"), "component-names")
+    names = fps.join(named, "fp", "left")
+    return stored(
+        names.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("reached", "least").alias("component_id")),
+        "fingerprint-names",
+    )
+
+
 def near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id that links reach.
 
@@ -135,38 +149,42 @@ def near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     where a component has no other, component_id is null. Repeated rows stay.
     """
     rows = stored(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"), "fingerprints")
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    linked = components(links(fps.select("fp"), dense)).withColumnRenamed("node", "fp")
-    inner = linked.unionByName(linked.select(F.col("root").alias("fp"), "root").distinct())
-    reached = inner.join(fps, "fp").groupBy("root").agg(F.min("least").alias("reached"))
-    named = stored(inner.join(reached, "root").select("fp", "reached"), "component-names")
-    names = stored(
-        fps.join(named, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id")),
-        "fingerprint-names",
-    )
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(_named(rows, dense), "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_text() -> Column:
     return F.lower(F.lpad(F.hex("fp"), 16, "0"))
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The document of each component that names it, with the columns of ``docs``.
+def _text_key(a: str, b: str) -> dict[str, Column]:
+    text = F.coalesce("text", F.lit(""))
+    return {a: F.xxhash64(text), b: F.xxhash64(F.lit(1), text)}
+
+
+def one_of_each_group(docs: DataFrame, dense: int = DENSE) -> DataFrame:
+    """One document of each component, with the columns of ``docs``: of its smallest doc_id, the first by hash of text.
 
-    A doc_id stands for one document: of rows that repeat one, the first by text stays. Rows without a
-    doc_id stay, since no component is named after them.
+    Rows that share a doc_id are told apart by 128 bits of hash of their texts, so unrelated texts stay. No component is
+    named after rows without a doc_id: of these one of each component stays too.
     """
-    named = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").count()
-    named = stored(named.select("doc_id", (F.col("count") > 1).alias("again")), "kept-documents")
-    own = set_aside(docs.where("doc_id IS NOT NULL"))
-    # Ids alone are hashed and texts stream past them: nothing sorts a text.
-    once = own.join(named.where("NOT again").hint("shuffle_hash"), "doc_id", "left_semi")
-    again = own.join(named.where("again").hint("shuffle_hash"), "doc_id", "left_semi")
-    rest = [c for c in own.columns if c != "doc_id"]
-    # Where docs is a union, the join is planned per part, and a grouping by doc_id itself would trust parts whose
+    own, (x, y) = set_aside(docs), (free_name(set_aside(docs), n) for n in ("_x", "_y"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(_text_key("x", "y"))
+    rows = stored(with_fingerprint(keyed).drop("text"), "fingerprints")
+    each = rows.join(_named(rows, dense), "fp").groupBy("root", F.col("doc_id").isNull().alias("no_id"))
+    first = each.agg(F.min(F.struct("doc_id", "x", "y")).alias("k")).select("k.*")
+    again = rows.groupBy("doc_id", "x", "y").count()
+    # Without an id, rows are hashed by their texts alone.
+    same = F.col("f.x").eqNullSafe(F.col("r.x")) & (F.col("f.y") == F.col("r.y")) & F.col("f.doc_id").eqNullSafe(F.col("r.doc_id"))
+    kept = first.alias("f").join(again.alias("r"), same).select("f.*", (F.col("count") > 1).alias("again"))
+    kept = stored(kept.select(F.col("doc_id").alias("_id"), F.col("x").alias(x), F.col("y").alias(y), "again"), "kept-documents")
+    # Keys alone are hashed and texts stream past them: nothing sorts a text.
+    own = own.withColumns(_text_key(x, y))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    found = own.join(kept.hint("shuffle_hash"), [own[x] == kept[x], own[y] == kept[y], here]).drop(kept[x], kept[y], kept["_id"])
+    # Where docs is a union, the join is planned per part, and a grouping by its keys would trust parts whose
     # partitions are merged differently at run time. Another key gives it an exchange of its own.
-    row = F.struct("doc_id", *rest)
-    first = again.groupBy(F.bitwise_not("doc_id")).agg(F.min_by(row, "text").alias("r")).select("r.*")
-    rows = once.unionByName(first)
-    return rows.select(*brought_back(rows, docs)).union(docs.where("doc_id IS NULL"))
+    names = set_aside(docs).columns
+    copies = found.where("again").groupBy(F.bitwise_not(x), F.bitwise_not(y), F.bitwise_not(F.col("doc_id").cast("long")))
+    first = copies.agg(F.first(F.struct(*names)).alias("r")).select("r.*")
+    rows = found.where("NOT again").select(*names).unionByName(first)
+    return rows.select(*brought_back(rows, docs))

@@ -34,15 +34,20 @@ PART = 4096
 LOWEST = -(1 << 63)
 _AT = np.uint64((1 << 28) - 1)
 _CHUNK_BYTES = 1 << 20
-_SEGMENT = "doc long, start int, n int, g long, c long, dup boolean"
-_SLICE = "g long, part int, hot boolean, doc long, start int, n int, bytes binary"
-_FOUND = "doc long, start int, n int, g long, h long"
+_SEGMENT = "doc long, row long, start int, n int, g long, c long, dup boolean"
+_SLICE = "g long, part int, hot boolean, doc long, row long, start int, n int, bytes binary"
+_FOUND = "doc long, row long, start int, n int, g long, h long"
 
 
 def document_key(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST))
 
 
+def row_key(text: str = "text") -> Column:
+    """Tells rows that share a doc_id, or have none, apart by their text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 # --- segments --------------------------------------------------------------------------------
 
 
@@ -93,26 +98,27 @@ def _tile(length: int, gram: int):
             if not parts:
                 continue
             s = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-            doc = batch.column("doc").to_numpy()[s["text"]] if len(s["text"]) else s["text"]
-            order = np.lexsort((s["start"], doc, s["c"], s["g"]))
-            doc, start, n, g, c = doc[order], s["start"][order], s["n"][order], s["g"][order], s["c"][order]
+            doc, row = (batch.column(k).to_numpy()[s["text"]] if len(s["text"]) else s["text"] for k in ("doc", "row"))
+            order = np.lexsort((s["start"], row, doc, s["c"], s["g"]))
+            doc, row, start, n, g, c = doc[order], row[order], s["start"][order], s["n"][order], s["g"][order], s["c"][order]
             new = np.ones(len(g), bool)
             new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            dup = (doc != doc[head]) | (start != start[head])
+            dup = (doc != doc[head]) | (row != row[head]) | (start != start[head])
             keep = new | dup  # rows that repeat a document say nothing new
             # Marked segments need no bucket; a bucket of their own spreads them.
-            alone = tx.mix(doc.view(np.uint64) ^ tx.mix(start.astype(np.uint64))).view(np.int64)
+            alone = tx.mix(doc.view(np.uint64) ^ tx.mix(row.view(np.uint64) ^ tx.mix(start.astype(np.uint64)))).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(doc[keep], pa.int64()),
+                    pa.array(row[keep], pa.int64()),
                     pa.array(start[keep], pa.int32()),
                     pa.array(n[keep], pa.int32()),
                     pa.array(np.where(dup, alone, g)[keep], pa.int64()),
                     pa.array(c[keep], pa.int64()),
                     pa.array(dup[keep]),
                 ],
-                ["doc", "start", "n", "g", "c", "dup"],
+                ["doc", "row", "start", "n", "g", "c", "dup"],
             )
 
     return run
@@ -122,16 +128,19 @@ def _bucketed(docs: DataFrame, length: int, gram: int, part: int) -> DataFrame:
     """Segments that are marked, and with ``open`` the first ones of buckets that hold different ones."""
     rows = docs.mapInArrow(_tile(length, gram), _SEGMENT)
     bucket = Window.partitionBy("g")
-    equal = Window.partitionBy("g", "c").orderBy("doc", "start")
-    here = F.struct("doc", "start")
+    equal = Window.partitionBy("g", "c").orderBy("doc", "row", "start")
+    here = F.struct("doc", "row", "start")
     rows = (
         rows.withColumn("first", F.first(here).over(equal) == here)
+        # Copies of a row in other tasks say nothing new: its segment stays once.
+        .withColumn("once", F.row_number().over(equal) == 1)
         .withColumn("rank", F.dense_rank().over(bucket.orderBy("c")))
         .withColumn("ranks", F.max("rank").over(bucket))
     )
     marked = F.col("dup") | ~F.col("first")
-    return rows.where(marked | (F.col("ranks") > 1)).select(
+    return rows.where(marked | (F.col("once") & (F.col("ranks") > 1))).select(
         "doc",
+        "row",
         "start",
         "n",
         "g",
@@ -187,42 +196,43 @@ def _refine_chunk(rows: dict[str, np.ndarray], slices: list[bytes], length: int)
     owner = np.repeat(np.arange(len(slices)), rows["n"])
     within = np.arange(len(owner)) - np.repeat(np.cumsum(rows["n"]) - rows["n"], rows["n"])
     at = base[owner] + within
-    doc, start, kind = rows["doc"][owner], rows["start"][owner] + within, number[at]
-    order = np.lexsort((start, doc, kind))
-    kind, doc, start, owner, at = kind[order], doc[order], start[order], owner[order], at[order]
+    doc, row, start, kind = rows["doc"][owner], rows["row"][owner], rows["start"][owner] + within, number[at]
+    order = np.lexsort((start, row, doc, kind))
+    kind, doc, row, start, owner, at = (x[order] for x in (kind, doc, row, start, owner, at))
     new = np.ones(len(kind), bool)
     new[1:] = kind[1:] != kind[:-1]
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    again = (doc != doc[head]) | (start != start[head])
+    again = (doc != doc[head]) | (row != row[head]) | (start != start[head])
     # Marks in a row become one span.
-    d, s = doc[again], start[again]
-    order = np.lexsort((s, d))
-    d, s = d[order], s[order]
+    d, r, s = doc[again], row[again], start[again]
+    order = np.lexsort((s, r, d))
+    d, r, s = d[order], r[order], s[order]
     cut = np.ones(len(d), bool)
-    cut[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)
+    cut[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (s[1:] > s[:-1] + 1)
     begin = np.flatnonzero(cut)
     last = np.append(begin[1:], len(d)) - 1
     out = []
     if len(begin):
-        out.append(_found(d[begin], s[begin], s[last] - s[begin] + 1, None, None))
+        out.append(_found(d[begin], r[begin], s[begin], s[last] - s[begin] + 1, None, None))
     meet = new & rows["hot"][owner]
     if meet.any():
         h = tx.SpanHash(data)(at[meet], at[meet] + length).view(np.int64)
-        out.append(_found(doc[meet], start[meet], np.ones(int(meet.sum())), rows["g"][owner[meet]], h))
+        out.append(_found(doc[meet], row[meet], start[meet], np.ones(int(meet.sum())), rows["g"][owner[meet]], h))
     return out
 
 
-def _found(doc, start, n, g, h) -> pa.RecordBatch:
+def _found(doc, row, start, n, g, h) -> pa.RecordBatch:
     none = pa.nulls(len(doc), pa.int64())
     return pa.RecordBatch.from_arrays(
         [
             pa.array(doc, pa.int64()),
+            pa.array(row, pa.int64()),
             pa.array(start.astype(np.int32)),
             pa.array(n.astype(np.int32)),
             none if g is None else pa.array(g, pa.int64()),
             none if h is None else pa.array(h, pa.int64()),
         ],
-        ["doc", "start", "n", "g", "h"],
+        ["doc", "row", "start", "n", "g", "h"],
     )
 
 
@@ -237,7 +247,7 @@ def _refine(length: int):
             now, rest = (table, None) if upto is None else (table.slice(0, upto), table.slice(upto))
             held, size = ([], 0) if rest is None else (rest.to_batches(), rest.nbytes)
             if now.num_rows:
-                rows = {k: now[k].to_numpy() for k in ("g", "doc", "start", "n", "hot")}
+                rows = {k: now[k].to_numpy() for k in ("g", "doc", "row", "start", "n", "hot")}
                 yield from _refine_chunk(rows, now["bytes"].to_pylist(), length)
 
         for batch in batches:
@@ -260,37 +270,40 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                out = []
+                out, seen = [], set()
                 piece = batch.slice(k, 256)
-                for doc, text, found in zip(*(piece.column(c) for c in ("doc", "text", "found")), strict=True):
+                for doc, row, text, found in zip(*(piece.column(c) for c in ("doc", "row", "text", "found")), strict=True):
+                    if (key := (doc.as_py(), row.as_py())) in seen:
+                        continue
+                    seen.add(key)
                     data = text.as_py().encode()
                     for s in found.as_py():
                         own = data[s["start"] : s["start"] + s["n"] - 1 + length]
                         if len(own) == s["n"] - 1 + length:
-                            out.append((s["g"], s["part"], s["hot"], doc.as_py(), s["start"], s["n"], own))
+                            out.append((s["g"], s["part"], s["hot"], *key, s["start"], s["n"], own))
                 if out:
-                    g, part, hot, docs, start, n, own = zip(*out, strict=True)
+                    g, part, hot, docs, rows, start, n, own = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(g, pa.int64()), pa.array(part, pa.int32()), pa.array(hot), pa.array(docs, pa.int64()),
+                        [pa.array(g, pa.int64()), pa.array(part, pa.int32()), pa.array(hot), pa.array(docs, pa.int64()), pa.array(rows, pa.int64()),
                          pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(own, pa.binary())],
-                        ["g", "part", "hot", "doc", "start", "n", "bytes"],
+                        ["g", "part", "hot", "doc", "row", "start", "n", "bytes"],
                     )
 
     return run
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int = PART) -> DataFrame:
-    """(doc, start, n): runs of starts whose ``length`` bytes also start earlier. ``docs`` has doc and text."""
+    """(doc, row, start, n): runs of starts whose ``length`` bytes also start earlier. ``docs`` has doc, row and text."""
     bucketed = stored(_bucketed(docs, length, gram, part), "segments")
     own = F.struct("start", "n", "g", "part", "hot")
-    wanted = bucketed.where("open").groupBy("doc").agg(F.collect_list(own).alias("found"))
-    slices = docs.join(wanted, "doc").mapInArrow(_cut(length), _SLICE)
+    wanted = bucketed.where("open").groupBy("doc", "row").agg(F.collect_list(own).alias("found"))
+    slices = docs.join(wanted, ["doc", "row"]).mapInArrow(_cut(length), _SLICE)
     placed = slices.repartition("g", "part").sortWithinPartitions("g", "part")
     found = stored(placed.mapInArrow(_refine(length), _FOUND), "refined")
-    meeting, here = found.where("h IS NOT NULL"), F.struct("doc", "start")
+    meeting, here = found.where("h IS NOT NULL"), F.struct("doc", "row", "start")
     first = meeting.groupBy("g", "h").agg(F.min(here).alias("first"))
     late = meeting.join(first, ["g", "h"]).where(here != F.col("first"))
-    marks = [x.select("doc", "start", "n") for x in (bucketed.where("NOT open"), found.where("h IS NULL"), late)]
+    marks = [x.select("doc", "row", "start", "n") for x in (bucketed.where("NOT open"), found.where("h IS NULL"), late)]
     return marks[0].unionByName(marks[1]).unionByName(marks[2])
 
 
@@ -321,15 +334,15 @@ def remove_repeats(
 
     A byte goes if some ``length`` bytes around it also start earlier: in a smaller doc_id, or earlier in the same
     document. Null texts are empty; texts shorter than ``length`` stay whole. A null doc_id is the smallest.
-    Rows that repeat a doc_id are one document: they do not remove each other, and what is marked in one is
-    cut from all, within their length. Columns named n_bytes, kept or removed are replaced. With ``as_text`` kept is
+    Rows that share a doc_id, or have none, are documents of their own if their texts differ, in the order of 64 bits of
+    hash; rows equal in both are one document and do not remove each other. Columns named n_bytes, kept or removed are replaced. With ``as_text`` kept is
     text, without the characters that are cut in two.
     """
-    key, marks_name = free_name(docs, "_doc"), free_name(docs, "_marks")
-    plain = docs.select(document_key().alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    key, row, marks_name = free_name(docs, "_doc"), free_name(docs, "_row"), free_name(docs, "_marks")
+    plain = docs.select(document_key().alias("doc"), row_key().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     marks = repeated_windows(plain, length, gram, part)
-    marks = marks.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("start", "n")).alias(marks_name))
-    rows = docs.withColumn(key, document_key()).join(marks, key, "left").drop(key)
+    marks = marks.groupBy(F.col("doc").alias(key), F.col("row").alias(row)).agg(F.collect_list(F.struct("start", "n")).alias(marks_name))
+    rows = docs.withColumns({key: document_key(), row: row_key()}).join(marks, [key, row], "left").drop(key, row)
     added = [
         T.StructField("n_bytes", T.LongType()),
         T.StructField("kept", T.StringType() if as_text else T.BinaryType()),

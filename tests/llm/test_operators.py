@@ -472,6 +472,27 @@ def test_repeated_rows_null_ids_and_empty_tables(spark, docs):
     assert cut.count() == len(EDGE) and suffixes.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_are_cut_each_by_itself(spark):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choices("abcdefghij klm", k=n))
+    passage, a, b, c = text(300), text(500), text(500), text(500)
+    rows = [(5, passage + a), (None, passage + b), (None, c + text(400)), (7, passage + text(300)), (7, text(600)), (None, passage + text(200))]
+    found = suffixes.remove_repeats(frame(spark, rows).repartition(3), as_text=True).select("text", "kept").collect()
+    kept = {r.text: r.kept for r in found}
+    assert len(found) == len(kept) == len(rows)
+    assert kept[rows[2][1]] == rows[2][1] and kept[rows[4][1]] == rows[4][1]
+    assert sum(passage in k for k in kept.values()) == 1 and kept[rows[0][1]] == a
+    assert passage in kept[rows[1][1]] + kept[rows[5][1]]
+
+
+def test_near_dedup_keeps_unrelated_texts_of_one_id_and_one_copy_without_id(spark):
+    rng = random.Random(13)
+    one, two, three = (" ".join(f"{c}{rng.randrange(999)}" for _ in range(60)) for c in "xyz")
+    rows = [(5, one), (5, two), (5, two), (6, one), *((None, three) for _ in range(4))]
+    found = simhash.one_of_each_group(frame(spark, rows).repartition(3))
+    assert collected(found) == sorted([(5, one), (5, two), (None, three)], key=lambda r: tuple((x is not None, x) for x in r))
+
+
 # --- URLs ------------------------------------------------------------------------------------
 
 
