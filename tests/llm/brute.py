@@ -1,6 +1,7 @@
 """The contracts once more, in plain Python and without regard to cost."""
 
 import hashlib
+import html
 import re
 from collections import Counter
 
@@ -88,3 +89,12 @@ def repeats(docs, length=100):
         spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
         out.append((doc, len(data), sum(gone), spans, sha(kept)))
     return out
+
+
+def article(page):
+    """The lines of text between <article> and </article>, by patterns over the given pages' tags."""
+    inner = re.search("<article>(.*)</article>", page, re.S)[1]
+    inner = re.sub("<!--.*?-->|<(script|style).*?</\\1>", "", inner, flags=re.S)
+    lines = re.split("</?(?:h[1-6]|p|div|ul|ol|li|table|tr|td|th|section|blockquote|pre|article)\\b[^>]*>", inner)
+    lines = (" ".join(html.unescape(re.sub("<[^>]*>", "", re.sub("<br[^>]*>", " ", x))).split()) for x in lines)
+    return "\n".join(x for x in lines if x)

@@ -334,6 +334,12 @@ def test_html_query_gives_the_text_behind_each_page(spark, sf):
     assert all(r.n_chars == len(r.text) and "track(" not in r.text for r in found.values())
 
 
+def test_html_query_gives_the_whole_article_of_each_page(spark, sf):
+    found = {r.page_id: r.text for r in all_queries()["op6_nearest_url_differencing"](spark, sf).collect()}
+    for r in table(spark, sf, "pages").collect():
+        assert found[r.page_id] == brute.article(r.html)
+
+
 # --- toxicity --------------------------------------------------------------------------------
 
 
