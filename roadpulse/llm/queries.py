@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import decontaminate, html, pieces, quality, sharding, simhash, suffixes, toxicity, urls, warc
+from roadpulse.llm import decontaminate, html, languages, pieces, quality, sharding, simhash, suffixes, toxicity, urls, warc
 from roadpulse.llm.shared import table, text_or_empty
 from roadpulse.session import shared_dir, ship_package
 
@@ -107,6 +107,14 @@ def op10_url_vocabulary(spark, sf):
     return judged.select("page_id", "host", "path", "rule", "n_strict", "n_soft", "verdict")
 
 
+def op11_hyperdimensional_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    profiles = languages.train(docs.select("doc_id", "text", "lang"))
+    return languages.identify(docs.select("doc_id", "text"), profiles).select(
+        "doc_id", (languages.fold() == languages.HELD_OUT).alias("held_out"), "lang_pred", "score"
+    )
+
+
 QUERIES = {name: make for name, make in list(globals().items()) if name.startswith("op")}
 
 
