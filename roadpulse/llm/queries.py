@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import decontaminate, html, languages, pieces, quality, sharding, simhash, suffixes, toxicity, urls, warc
+from roadpulse.llm import decontaminate, html, languages, negatives, phrases, pieces, quality, sharding, simhash, suffixes, toxicity, urls, warc
 from roadpulse.llm.shared import table, text_or_empty
 from roadpulse.session import shared_dir, ship_package
 
@@ -115,6 +115,14 @@ def op11_hyperdimensional_language(spark, sf):
     )
 
 
+def op12_misra_gries_phrases(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents").select("text", "lang"))
+
+
+def op13_bond_hard_negatives(spark, sf):
+    return negatives.hard_negatives(table(spark, sf, "embeddings"))
+
+
 QUERIES = {name: make for name, make in list(globals().items()) if name.startswith("op")}
 
 
