@@ -10,11 +10,13 @@ survivors exactly, by their words, and everything after it is Spark's.
 A hot language or phrase is summed up by every task before anything is shuffled.
 """
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.llm import text as tx
@@ -25,7 +27,11 @@ LONGEST = 5
 TOP = 2000
 UNKNOWN = "und"
 #: Counters that a task gathers before it sends them on, and about as many as one hash partition's summary has.
-GATHERED, SUMMARY = 1 << 20, 1 << 17
+GATHERED, SUMMARY = 1 << 20, 1 << 20
+#: A summary has so many times the counters that the guarantee asks for: the more, the fewer others survive.
+SLACK = 10
+#: Phrases that a task counts exactly before it sends them on.
+PHRASES = 1 << 17
 FEWEST_PARTS, MOST_PARTS = 64, 1 << 16
 #: Bits of the filter of survivors. It only keeps rows out: with fewer bits more phrases are counted in vain.
 FILTER_BITS = 1 << 26
@@ -188,7 +194,7 @@ def frequent(texts: DataFrame, size: int, bits: np.ndarray | None, threshold: in
             for i, p in enumerate(own):
                 if p != part:
                     yield pa.RecordBatch.from_arrays([pa.array(summary.survivors().view(np.int64))], ["key"])
-                    part, summary = p, Summary(mass[p] // threshold + 1, threshold)
+                    part, summary = p, Summary(SLACK * mass[p] // threshold + 1, threshold)
                 summary.add(keys[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]])
         yield pa.RecordBatch.from_arrays([pa.array(summary.survivors().view(np.int64))], ["key"])
 
@@ -196,21 +202,30 @@ def frequent(texts: DataFrame, size: int, bits: np.ndarray | None, threshold: in
     return rows.mapInArrow(run, "key long")
 
 
-def counted(texts: DataFrame, bits: np.ndarray, threshold: int, longest: int) -> DataFrame:
+_COUNTS = ["lang", "phrase", "size", "f"]
+
+
+def counted(texts: DataFrame, bits: np.ndarray, threshold: int, longest: int, parts: int) -> DataFrame:
     """(lang, phrase, size, f): exact counts of all phrases of up to ``longest`` words seen ``threshold`` times; size 0 counts words.
 
-    A task tells phrases apart by 64 bits of hash and sends each once; from there on the words themselves are the key.
+    A task tells phrases apart by 64 bits of hash and sends each once, in one row for each hash partition; where
+    partitions are summed up the words themselves are the key.
     """
     shared = texts.sparkSession.sparkContext.broadcast(bits)
+    edges = np.array([(1 << 64) * i // parts for i in range(1, parts)], np.uint64)
 
     def run(batches):
         held: dict[int, list] = {}
         total: dict[str, int] = {}
 
         def sent():
-            lang, phrase, size, f = zip(*held.values(), strict=True) if held else ((), (), (), ())
-            arrays = [pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(size, pa.int32()), pa.array(f, pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "size", "f"])
+            keys = np.array(sorted(held), np.uint64)
+            columns = list(zip(*(held[k] for k in keys.tolist()), strict=True)) or [(), (), (), ()]
+            cuts = pa.array(np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int32))
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x, k)) for x, k in zip(columns, kinds, strict=True)]
+            rows = pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), *lists], ["part", *_COUNTS])
+            return rows.filter(pa.array(np.diff(cuts.to_numpy()) > 0))
 
         for words, lang in _blocks_of(batches):
             for i, n in enumerate(np.bincount(words.text, minlength=len(lang)).tolist()):
@@ -230,16 +245,50 @@ def counted(texts: DataFrame, bits: np.ndarray, threshold: int, longest: int) ->
                         held[key][3] += f
                     else:
                         held[key] = [lang[words.text[i]], words.phrase(i, size), size, f]
-            if len(held) >= GATHERED // 4:
+            if len(held) >= PHRASES:
                 yield sent()
                 held = {}
         yield sent()
-        held = {i: [x, None, 0, n] for i, (x, n) in enumerate(total.items())}
+        held = {zlib.crc32(x.encode()) << 32: [x, None, 0, n] for x, n in total.items()}
         yield sent()
 
-    rows = texts.mapInArrow(run, "lang string, phrase string, size int, f long")
-    sums = rows.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
-    return sums.where((F.col("size") == 0) | (F.col("f") >= threshold))
+    def summed_up(batches):
+        part, held, n = None, [], 0
+
+        def sums():
+            return pa.concat_tables(held).group_by(_COUNTS[:3]).aggregate([("f", "sum")]).rename_columns(_COUNTS)
+
+        def frequent_ones():
+            rows = sums()
+            return rows.filter((pc.field("size") == 0) | (pc.field("f") >= threshold)).to_batches()
+
+        for batch in batches:
+            own = batch.column("part").to_numpy()
+            new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
+            for i, j in zip(new, [*new[1:], len(own)], strict=True):
+                if own[i] != part and held:
+                    yield from frequent_ones()
+                    held, n = [], 0
+                part = own[i]
+                rows = batch.slice(i, j - i)
+                held.append(pa.table([rows.column(c).flatten() for c in _COUNTS], _COUNTS))
+                n += held[-1].num_rows
+                if n > GATHERED:
+                    held = [sums()]
+                    n = held[0].num_rows // 2  # summed up again when it has doubled
+        if held:
+            yield from frequent_ones()
+
+    rows = texts.mapInArrow(run, "part int, lang array<string>, phrase array<string>, size array<int>, f array<long>")
+    rows = rows.repartition(parts, "part").sortWithinPartitions("part")
+    return rows.mapInArrow(summed_up, "lang string, phrase string, size int, f long")
+
+
+def score() -> Column:
+    """floor(1000 * a * n / (l * r)); the products have up to 38 digits, the score fits a long since a <= l and a <= r."""
+    wide = {c: f"cast({c} AS decimal(18,0))" for c in "anlr"}
+    above = f"cast({wide['a']} * {wide['n']} AS decimal(34,0)) * cast(1000 AS decimal(4,0))"
+    return F.expr(f"cast(({above}) div ({wide['l']} * {wide['r']}) AS bigint)")
 
 
 def collocations(
@@ -259,14 +308,14 @@ def collocations(
     texts = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("number"), F.coalesce("text", F.lit("")).alias("text"))
     n_bytes = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = FEWEST_PARTS
-    while parts < MOST_PARTS and parts * threshold * summary < n_bytes // 2:
+    while parts < MOST_PARTS and parts * threshold * summary < SLACK * n_bytes // 2:
         parts *= 2
     survivors, bits = None, None
     for size in range(1, longest + 1):
         found = stored(frequent(texts, size, bits, threshold, parts), "survivors")
         bits = _filter(found, filter_bits)
         survivors = found if survivors is None else survivors.unionByName(found)
-    seen = stored(counted(texts, _filter(survivors, filter_bits), threshold, longest), "phrases")
+    seen = stored(counted(texts, _filter(survivors, filter_bits), threshold, longest, parts), "phrases")
     parts_of = seen.where("size > 0").select("lang", "phrase", "f")
     candidates = seen.where("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"))
 
@@ -277,10 +326,7 @@ def collocations(
     for part, name in (("head", "l"), ("tail", "r")):
         cuts = cuts.join(parts_of.select("lang", F.col("phrase").alias(part), F.col("f").alias(name)), ["lang", part])
     cuts = cuts.join(seen.where("size = 0").select("lang", F.col("f").alias("n")), "lang")
-    wide = {c: F.col(c).cast("decimal(19,0)") for c in ("a", "l", "r", "n")}
-    exact = (wide["a"] * wide["n"]).cast("decimal(34,0)") * F.lit(1000).cast("decimal(4,0)")
-    cuts = cuts.withColumn("above", exact.cast("decimal(38,0)")).withColumn("below", wide["l"] * wide["r"])
-    cuts = cuts.withColumn("score", F.expr("above div below").cast("long"))
+    cuts = cuts.withColumn("score", score())
     lowest = F.min(F.struct("score", "k", "l", "r")).alias("cut")
     scored = cuts.groupBy("lang", "phrase", "a", "n").agg(lowest).select("lang", "phrase", "a", "n", "cut.score", "cut.l", "cut.r")
 
