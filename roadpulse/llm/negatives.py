@@ -174,7 +174,7 @@ def _cells(rows: DataFrame, anchors: DataFrame, n_rows: int, n_anchors: int, wid
     row_blocks, anchor_blocks = -(-n_rows // ROWS_IN_BLOCK) or 1, -(-n_anchors // ANCHORS_IN_BLOCK) or 1
 
     def block(n):
-        return F.pmod(F.xxhash64("vec_id"), F.lit(n))
+        return F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
 
     def blocks(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
