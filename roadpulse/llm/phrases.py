@@ -31,7 +31,7 @@ GATHERED, SUMMARY = 1 << 20, 1 << 20
 #: A summary has so many times the counters that the guarantee asks for: the more, the fewer others survive.
 SLACK = 10
 #: Phrases that a task counts exactly before it sends them on.
-PHRASES = 1 << 17
+PHRASES = 1 << 18
 FEWEST_PARTS, MOST_PARTS = 64, 1 << 16
 #: Bits of the filter of survivors. It only keeps rows out: with fewer bits more phrases are counted in vain.
 FILTER_BITS = 1 << 26
@@ -42,17 +42,27 @@ _WORD[[0x20, 0x09]] = False
 
 
 class Summary:
-    """A Misra-Gries summary over numbered items: counters, and what was taken off every item at most."""
+    """A Misra-Gries summary over numbered items: counters, and what was taken off every item at most.
 
-    def __init__(self, capacity: int, threshold: int):
-        self.capacity, self.threshold, self.off = capacity, threshold, 0
+    Its capacity is ``slack`` times the mass so far divided by the threshold. No more than threshold - 1 is ever taken
+    off, whatever the order of what comes, so an item that reaches the threshold always survives.
+    """
+
+    def __init__(self, threshold: int, slack: int | None = None):
+        self.threshold, self.off, self.mass = threshold, 0, 0
+        self._slack = SLACK if slack is None else slack
         self._held: list[tuple[np.ndarray, np.ndarray]] = []
         self._n = 0
 
+    @property
+    def capacity(self) -> int:
+        return self._slack * self.mass // self.threshold + 1
+
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Another summary, or counts, of other rows."""
+        """The counts of other rows."""
         self._held.append((keys, counts))
         self._n += len(keys)
+        self.mass += int(counts.sum())
         if self._n > 2 * max(self.capacity, 1 << 12):
             self._merge()
 
@@ -138,7 +148,7 @@ def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.nd
 
 
 def _summaries(texts: DataFrame, size: int, bits: np.ndarray | None, parts: int) -> DataFrame:
-    """(part, mass, keys, counts): what each task has of each hash partition; parts are ranges of the keys."""
+    """(part, keys, counts): what each task has of each hash partition; parts are ranges of the keys."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
     edges = np.array([(1 << 64) * i // parts for i in range(1, parts)], np.uint64)
 
@@ -148,14 +158,12 @@ def _summaries(texts: DataFrame, size: int, bits: np.ndarray | None, parts: int)
         def sent():
             keys, counts = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
             cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int32)
-            mass = np.concatenate([[0], np.cumsum(counts)])
             arrays = [
                 pa.array(np.arange(parts, dtype=np.int32)),
-                pa.array(mass[cuts[1:]] - mass[cuts[:-1]]),
                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.view(np.int64))),
                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(counts)),
             ]
-            rows = pa.RecordBatch.from_arrays(arrays, ["part", "mass", "keys", "counts"])
+            rows = pa.RecordBatch.from_arrays(arrays, ["part", "keys", "counts"])
             return rows.filter(pa.array(np.diff(cuts) > 0))
 
         for words, _ in _blocks_of(batches):
@@ -177,16 +185,14 @@ def _summaries(texts: DataFrame, size: int, bits: np.ndarray | None, parts: int)
         if n:
             yield sent()
 
-    return texts.mapInArrow(run, "part int, mass long, keys array<long>, counts array<long>")
+    return texts.mapInArrow(run, "part int, keys array<long>, counts array<long>")
 
 
 def frequent(texts: DataFrame, size: int, bits: np.ndarray | None, threshold: int, parts: int) -> DataFrame:
     """(key): every run of ``size`` words that is seen ``threshold`` times or more, and some others."""
-    rows = stored(_summaries(texts, size, bits, parts), "summaries")
-    mass = {r.part: r.mass for r in rows.groupBy("part").agg(F.sum("mass").alias("mass")).collect()}
 
     def run(batches):
-        part, summary = None, Summary(0, threshold)
+        part, summary = None, Summary(threshold)
         for batch in batches:
             own, ends = batch.column("part").to_pylist(), batch.column("keys").offsets.to_numpy()
             keys = batch.column("keys").values.to_numpy().view(np.uint64)
@@ -194,11 +200,11 @@ def frequent(texts: DataFrame, size: int, bits: np.ndarray | None, threshold: in
             for i, p in enumerate(own):
                 if p != part:
                     yield pa.RecordBatch.from_arrays([pa.array(summary.survivors().view(np.int64))], ["key"])
-                    part, summary = p, Summary(SLACK * mass[p] // threshold + 1, threshold)
+                    part, summary = p, Summary(threshold)
                 summary.add(keys[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]])
         yield pa.RecordBatch.from_arrays([pa.array(summary.survivors().view(np.int64))], ["key"])
 
-    rows = rows.select("part", "keys", "counts").repartition(parts, "part").sortWithinPartitions("part")
+    rows = _summaries(texts, size, bits, parts).repartition(parts, "part").sortWithinPartitions("part")
     return rows.mapInArrow(run, "key long")
 
 
@@ -215,18 +221,21 @@ def counted(texts: DataFrame, bits: np.ndarray, threshold: int, longest: int, pa
     edges = np.array([(1 << 64) * i // parts for i in range(1, parts)], np.uint64)
 
     def run(batches):
-        held: dict[int, list] = {}
         total: dict[str, int] = {}
+        spelt: dict[int, tuple[str, str, int]] = {}
+        known, held, n_held = np.zeros(0, np.uint64), [], 0
 
-        def sent():
-            keys = np.array(sorted(held), np.uint64)
-            columns = list(zip(*(held[k] for k in keys.tolist()), strict=True)) or [(), (), (), ()]
+        def sent(keys, rows, counts):
             cuts = pa.array(np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int32))
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(x, k)) for x, k in zip(columns, kinds, strict=True)]
+            lang, phrase, size = zip(*rows, strict=True) if rows else ((), (), ())
+            columns = (pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(size, pa.int32()), pa.array(counts, pa.int64()))
+            lists = [pa.ListArray.from_arrays(cuts, x) for x in columns]
             rows = pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), *lists], ["part", *_COUNTS])
             return rows.filter(pa.array(np.diff(cuts.to_numpy()) > 0))
 
+        def sums():
+            return summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
         for words, lang in _blocks_of(batches):
             for i, n in enumerate(np.bincount(words.text, minlength=len(lang)).tolist()):
                 total[lang[i]] = total.get(lang[i], 0) + n
@@ -240,17 +249,24 @@ def counted(texts: DataFrame, bits: np.ndarray, threshold: int, longest: int, pa
                 passed = np.zeros(len(words.word) + 1, bool)
                 passed[at] = True
                 keys, first, n = np.unique(keys, return_index=True, return_counts=True)
-                for key, i, f in zip(keys.tolist(), at[first].tolist(), n.tolist(), strict=True):
-                    if key in held:
-                        held[key][3] += f
-                    else:
-                        held[key] = [lang[words.text[i]], words.phrase(i, size), size, f]
-            if len(held) >= PHRASES:
-                yield sent()
-                held = {}
-        yield sent()
-        held = {zlib.crc32(x.encode()) << 32: [x, None, 0, n] for x, n in total.items()}
-        yield sent()
+                held.append((keys, n))
+                n_held += len(keys)
+                new = np.flatnonzero(~np.isin(keys, known, assume_unique=True))
+                for key, i in zip(keys[new].tolist(), at[first[new]].tolist(), strict=True):
+                    spelt[key] = lang[words.text[i]], words.phrase(i, size), size
+                known = np.union1d(known, keys[new])
+            if n_held >= GATHERED:
+                held = [sums()]
+                n_held = 0
+            if len(spelt) >= PHRASES:
+                keys, counts = sums()
+                yield sent(keys, [spelt[k] for k in keys.tolist()], counts)
+                spelt, known, held, n_held = {}, np.zeros(0, np.uint64), [], 0
+        if held:
+            keys, counts = sums()
+            yield sent(keys, [spelt[k] for k in keys.tolist()], counts)
+        place = sorted((zlib.crc32(x.encode()) << 32, x) for x in total)
+        yield sent(np.array([k for k, _ in place], np.uint64), [(x, None, 0) for _, x in place], [total[x] for _, x in place])
 
     def summed_up(batches):
         part, held, n = None, [], 0
