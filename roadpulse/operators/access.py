@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadpulse.operators.lookup import sized
+from roadpulse.operators.lookup import grouped, sized, spread
 
 ALL = "*"
 FLEET = "fleet:"
@@ -88,12 +88,13 @@ def check_access(requests: DataFrame, grants: DataFrame, limit_bytes: int | None
 
     A request is joined to the grants that exist on user and topic, for ``*``, its fleet and its VIN, so no list is
     searched and a busy user is as many keys as there are topics asked for. An empty fleet or VIN is no key
-    and never matches, and no VIN's fleet is looked up.
+    and never matches, nor do rows without one meet in one task; no VIN's fleet is looked up.
     """
-    held = sized(grants.select("user_id", "topic").distinct(), limit_bytes)
+    held = sized(grouped(grants, ["user_id", "topic"]), limit_bytes)
     rows = requests
     asked = {"all": F.lit(ALL)} | {
-        c: topic(prefix, F.nullif(F.col(c), F.lit(""))) for prefix, c in ((FLEET, "fleet_id"), (VIN, "vin"))
+        c: spread(topic(prefix, F.nullif(F.col(c), F.lit(""))), *requests.columns)
+        for prefix, c in ((FLEET, "fleet_id"), (VIN, "vin"))
     }
     for name, wanted in asked.items():
         own = held.select(

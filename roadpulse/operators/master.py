@@ -7,6 +7,8 @@ one key are first folded into one, so each job is a single pass over keys.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadpulse.operators.lookup import grouped, spread
+
 VIN_LENGTH = 17
 # The roles a user can have.
 ROLES = ["admin", "fleet_manager", "viewer"]
@@ -37,8 +39,9 @@ def upsert_fleets(fleets: DataFrame, changes: DataFrame, now_ms: int) -> DataFra
 
 def check_vehicle_changes(changes: DataFrame, fleets: DataFrame) -> DataFrame:
     """Adds ``error``, null for a change that can be applied."""
-    known = fleets.select("fleet_id").distinct().withColumn("known", F.lit(True))
-    joined = changes.join(known, "fleet_id", "left")
+    known = grouped(fleets, ["fleet_id"]).select(F.col("fleet_id").alias("known_id"), F.lit(True).alias("known"))
+    asked = spread(F.nullif(F.col("fleet_id"), F.lit("")), *changes.columns)
+    joined = changes.join(known, asked == F.col("known_id"), "left")
     bad_request = (
         (F.octet_length("vin") != VIN_LENGTH)
         | F.col("vin").isNull()
@@ -91,17 +94,16 @@ def check_grants(
     """Adds ``error`` to grant requests; empty text counts as not given."""
 
     def known(table, column):
-        return table.select(column).distinct().withColumn("known_" + column, F.lit(True))
+        return grouped(table, [column]).select(F.col(column).alias("known_id"), F.lit(True).alias("known_" + column))
 
     def given(column):
         return F.coalesce(F.col(column), F.lit("")) != ""
 
     rows = requests
     for table, column in [(users, "user_id"), (fleets, "fleet_id"), (vehicles, "vin")]:
-        # Text that is not given is no join key: as one it would hold most of the rows.
-        asked = F.nullif(F.col(column), F.lit(""))
-        wanted = known(table, column).withColumnRenamed(column, "known_id")
-        rows = rows.join(wanted, asked == F.col("known_id"), "left").drop("known_id")
+        # Text that is not given is no join key, nor is null: either would bring most of the rows to one task.
+        asked = spread(F.nullif(F.col(column), F.lit("")), *requests.columns)
+        rows = rows.join(known(table, column), asked == F.col("known_id"), "left").drop("known_id")
     error = (
         F.when(
             ~given("user_id") | (given("fleet_id") == given("vin")),
@@ -145,62 +147,63 @@ def master_data_violations(
     fleet_grants: DataFrame,
     vehicle_grants: DataFrame,
 ) -> DataFrame:
-    """(constraint, row_key) for every row that breaks a constraint of the data model."""
-
-    def rows(df, constraint, key):
-        name = constraint if isinstance(constraint, Column) else F.lit(constraint)
-        return df.select(name.alias("constraint"), key.alias("row_key"))
-
-    def repeated(df, constraint, *columns):
-        given = df.dropna(subset=list(columns))  # rows without a key break another rule
-        counted = given.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        return rows(counted, constraint, F.concat_ws("/", *columns))
-
-    def orphans(df, constraint, column, parent, *key):
-        held = df.where(F.col(column).isNotNull())
-        missing = held.join(parent.select(column), column, "left_anti")
-        return rows(missing, constraint, F.concat_ws("/", *key))
-
-    def absent(df, table, columns, *key):
-        """One pass per table: a row for each column without a value."""
-        rules = [F.when(F.col(c).isNull(), F.lit(f"{table}_{c}_not_null")) for c in columns]
-        broken = df.select(F.explode(F.array_compact(F.array(*rules))).alias("constraint"), *key)
-        return rows(broken, F.col("constraint"), F.concat_ws("/", *(F.coalesce(F.col(k), F.lit("")) for k in key)))
-
-    found = [
-        absent(fleets, "fleets", ["fleet_id", "name"], "fleet_id"),
-        absent(vehicles, "vehicles", ["vin"], "vin"),
-        absent(users, "users", ["user_id", "username", "display_name", "role"], "user_id"),
-        absent(fleet_grants, "user_fleet_grants", ["user_id", "fleet_id"], "user_id", "fleet_id"),
-        absent(vehicle_grants, "user_vehicle_grants", ["user_id", "vin"], "user_id", "vin"),
-        repeated(fleets, "fleets_pkey", "fleet_id"),
-        repeated(vehicles, "vehicles_pkey", "vin"),
-        repeated(users, "users_pkey", "user_id"),
-        repeated(users, "users_username_key", "username"),
-        repeated(fleet_grants, "user_fleet_grants_pkey", "user_id", "fleet_id"),
-        repeated(vehicle_grants, "user_vehicle_grants_pkey", "user_id", "vin"),
-        rows(
-            vehicles.where(F.char_length("vin") != VIN_LENGTH), "vehicles_vin_check", F.col("vin")
-        ),
-        rows(users.where(~F.col("role").isin(ROLES)), "users_role_check", F.col("user_id")),
-        orphans(vehicles, "vehicles_fleet_id_fkey", "fleet_id", fleets, "vin"),
-        orphans(
-            fleet_grants, "user_fleet_grants_user_id_fkey", "user_id", users, "user_id", "fleet_id"
-        ),
-        orphans(
-            fleet_grants, "user_fleet_grants_fleet_id_fkey", "fleet_id", fleets, "user_id", "fleet_id"
-        ),
-        orphans(
-            vehicle_grants, "user_vehicle_grants_user_id_fkey", "user_id", users, "user_id", "vin"
-        ),
-        orphans(
-            vehicle_grants, "user_vehicle_grants_vin_fkey", "vin", vehicles, "user_id", "vin"
-        ),
-    ]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    """(constraint, row_key) for every row that breaks a constraint of the data model; repeated keys once.
+
+    Each table is read twice: once for its keys, which are counted together, and once for its rules and the keys it refers to,
+    which meet the counted keys in one join.
+    """
+
+    keys, checks = None, None
+    for table, df, required, primary, others, also in (
+        ("fleets", fleets, ["fleet_id", "name"], ["fleet_id"], {}, {}),
+        ("vehicles", vehicles, ["vin"], ["vin"], {}, {"vin_check": F.char_length("vin") != VIN_LENGTH}),
+        ("users", users, ["user_id", "username", "display_name", "role"], ["user_id"], {"users_username_key": ["username"]},
+         {"role_check": ~F.col("role").isin(ROLES)}),
+        ("user_fleet_grants", fleet_grants, ["user_id", "fleet_id"], ["user_id", "fleet_id"], {}, {}),
+        ("user_vehicle_grants", vehicle_grants, ["user_id", "vin"], ["user_id", "vin"], {}, {}),
+    ):
+        row_key = F.concat_ws("/", *(F.coalesce(c, F.lit("")) for c in primary))
+        unique = {f"{table}_pkey": primary} | others
+        held = [
+            F.when(F.array_position(F.array(*(F.col(c).isNull() for c in own)), True) == 0, _key(name, *own))
+            for name, own in unique.items()
+        ]
+        here = df.select(F.inline(F.array_compact(F.array(*held))))
+        keys = here if keys is None else keys.unionByName(here)
+        parents = {c: p for (t, c), p in PARENTS.items() if t == table}
+        found = [F.when(F.col(c).isNull(), _check(f"{table}_{c}_not_null", row_key)) for c in required]
+        found += [F.when(v, _check(f"{table}_{c}", F.col(primary[0]))) for c, v in also.items()]
+        found += [
+            F.when(F.col(c).isNotNull(), _check(f"{table}_{c}_fkey", F.concat_ws("/", *primary), parent, F.col(c)))
+            for c, parent in parents.items()
+        ]
+        here = df.select(F.inline(F.array_compact(F.array(*found))))
+        checks = here if checks is None else checks.unionByName(here)
+    counted = grouped(keys, ["kind", "key"], n=F.count(F.lit(1)))
+    # A broken rule names no kind of key, so it finds no parent either.
+    alone = checks.join(counted, ["kind", "key"], "left_anti").select("constraint", "row_key")
+    repeated = counted.where("n > 1").select(F.col("kind").alias("constraint"), F.array_join("key", "/").alias("row_key"))
+    return alone.unionByName(repeated)
+
+
+#: What each foreign key refers to.
+PARENTS = {
+    ("vehicles", "fleet_id"): "fleets_pkey",
+    ("user_fleet_grants", "user_id"): "users_pkey",
+    ("user_fleet_grants", "fleet_id"): "fleets_pkey",
+    ("user_vehicle_grants", "user_id"): "users_pkey",
+    ("user_vehicle_grants", "vin"): "vehicles_pkey",
+}
+
+
+def _key(kind: str, *columns: str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.array(*columns).alias("key"))
+
+
+def _check(constraint: str, row_key: Column, kind: str = "", key: Column | None = None) -> Column:
+    """A row that breaks a rule, or with a ``kind`` of key one that does so unless the key exists."""
+    key = F.array(row_key if key is None else key)
+    return F.struct(F.lit(constraint).alias("constraint"), row_key.alias("row_key"), F.lit(kind).alias("kind"), key.alias("key"))
 
 
 def apply_fleet_map_changes(published: DataFrame, changes: DataFrame) -> DataFrame:

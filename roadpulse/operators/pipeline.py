@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.telemetry import event_id, ingest_timestamp, status_name
-from roadpulse.operators.lookup import sized
+from roadpulse.operators.lookup import grouped, sized
 from roadpulse.schemas import (
     CANONICAL,
     HEADERS,
@@ -126,7 +126,7 @@ def enrich_fleet(events: DataFrame, vehicle_fleet: DataFrame, limit_bytes: int |
 
     A map that repeats a VIN gives its first fleet by name, never a second event.
     """
-    fleets = sized(vehicle_fleet.groupBy("vin").agg(F.min("fleet_id").alias("fleet_id")), limit_bytes)
+    fleets = sized(grouped(vehicle_fleet, ["vin"], fleet_id=F.min("fleet_id")), limit_bytes)
     joined = events.join(fleets, "vin", "left")
     return joined.withColumn("fleet_id", F.coalesce("fleet_id", F.lit(UNASSIGNED)))
 

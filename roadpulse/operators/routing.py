@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from roadpulse.functions.telemetry import once
 from roadpulse.operators.access import ALL, FLEET, VIN, topic, without_covered
-from roadpulse.operators.lookup import fits_broadcast
+from roadpulse.operators.lookup import fits_broadcast, grouped
 
 MAX_AGE_MS = 30_000
 
@@ -121,7 +121,7 @@ def two_stage_feed(
 def held_ids(grants: DataFrame, prefix: str, column: str, small: bool) -> DataFrame:
     """Distinct fleets or VINs named in grants, with a broadcast hint if the grants are small."""
     bare = F.substr("topic", F.lit(len(prefix) + 1)).alias(column)
-    ids = grants.where(F.startswith("topic", F.lit(prefix))).select(bare).distinct()
+    ids = grouped(grants.where(F.startswith("topic", F.lit(prefix))).select(bare), [column])
     return F.broadcast(ids) if small else ids
 
 

@@ -1,9 +1,11 @@
 import math
+from contextlib import contextmanager
 
+import pytest
 from pyspark.sql import functions as F
 
 from roadpulse import functions as C
-from roadpulse.operators import pipeline
+from roadpulse.operators import access, master, pipeline, routing
 from roadpulse.plans.pipelines import canonical_events
 from roadpulse.schemas import HEADERS, RAW_LOG
 from tests.conftest import rows
@@ -186,32 +188,88 @@ def test_fleet_lookup_too_large_to_broadcast(spark):
     assert rows(big, "vin", "fleet_id") == [(VIN_A, "fleet-1"), (VIN_B, "UNASSIGNED")]
 
 
-def test_hot_vehicle_is_split_by_the_skew_join(spark):
-    """With a lookup too large to broadcast, one VIN with most of the rows ends in several tasks."""
+@contextmanager
+def small_partitions(spark, **more):
+    """No broadcasts, and partitions of a few kilobytes that the skew join may split."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
-    }
+    } | more
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        n = F.col("id")
-        vin = F.when(n % 3 == 0, "HOT").otherwise(F.concat(F.lit("V"), (n % 1000).cast("string")))
-        facts = spark.range(0, 60_000, 1, 8).select(vin.alias("vin"), F.sha2(n.cast("string"), 256).alias("x"))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hot(spark):
+    n = F.col("id")
+    vin = F.when(n % 3 == 0, "HOT").otherwise(F.concat(F.lit("V"), (n % 1000).cast("string")))
+    return spark.range(0, 60_000, 1, 8).select(vin.alias("vin"), F.sha2(n.cast("string"), 256).alias("x"))
+
+
+def is_split(joined):
+    joined.collect()
+    return "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_vehicle_is_split_by_the_skew_join(spark):
+    """With a lookup too large to broadcast, one VIN with most of the rows ends in several tasks."""
+    with small_partitions(spark):
         lookup = spark.range(1000).select(
             F.concat(F.lit("V"), F.col("id").cast("string")).alias("vin"), F.lit("f").alias("fleet_id")
         )
-        joined = pipeline.enrich_fleet(facts, lookup, limit_bytes=0)
+        joined = pipeline.enrich_fleet(hot(spark), lookup, limit_bytes=0)
         assert joined.where("fleet_id = 'UNASSIGNED'").count() == 20_000
-        joined.collect()
-        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        assert is_split(joined)
+
+
+@pytest.mark.parametrize("column", ["vin", "fleet_id"])
+@pytest.mark.parametrize("operator", [routing.unrouted_events, routing.visible_to])
+def test_hot_vehicle_or_fleet_is_split_when_events_meet_grants(spark, operator, column):
+    with small_partitions(spark):
+        other = "vin" if column == "fleet_id" else "fleet_id"
+        events = hot(spark).withColumnRenamed("vin", column).withColumn(other, F.substring("x", 1, 6))
+        prefix = "vin:" if column == "vin" else "fleet:"
+        held = spark.range(500).select(F.concat(F.lit(prefix + "V"), F.col("id").cast("string")).alias("topic"))
+        kept = operator(events, held.unionByName(held), limit_bytes=0)
+        n = 60_000 - events.where(f"{column} rlike '^V' AND cast(substring({column}, 2) AS int) < 500").count()
+        assert kept.count() == (n if operator is routing.unrouted_events else 60_000 - n)
+        assert is_split(kept)
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(spark):
+    n = F.col("id")
+    rows = spark.range(0, 60_000, 1, 8).select(
+        n.alias("seq"),
+        F.concat(F.lit("u"), (n % 5000).cast("string")).alias("user_id"),
+        F.when(n % 10 == 0, F.concat(F.lit("f"), (n % 700).cast("string"))).when(n % 10 < 5, "").alias("fleet_id"),
+        F.when(n % 10 == 1, F.concat(F.lit("v"), (n % 900).cast("string"))).alias("vin"),
+    )
+    users, fleets, vehicles = (rows.select(c).where(f"{c} <> ''").distinct() for c in ("user_id", "fleet_id", "vin"))
+    grants = users.select("user_id", F.concat(F.lit("fleet:f"), F.lit("70")).alias("topic"))
+    fixed = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.enabled": "false"}
+    with small_partitions(spark, **fixed, **{"spark.sql.shuffle.partitions": "16"}):
+        checked = master.check_grants(rows, users, fleets, vehicles)
+        assert checked.where("error IS NULL").count() == 12_000
+        allowed = access.check_access(rows, grants, limit_bytes=0)
+        assert allowed.where("allowed").count() == rows.where("fleet_id = 'f70'").count() > 0
+        changes = master.check_vehicle_changes(rows, fleets)
+        for made in (checked, allowed, changes):
+            sizes = sorted(r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect())
+            assert len(sizes) == 16 and sizes[-1] < 2 * sizes[8]
+
+
+def test_a_text_that_stands_for_no_key_meets_nothing(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "a")], "seq int, fleet_id string").withColumn("vin", F.lit("V" * 17))
+    found = master.check_vehicle_changes(rows, spark.createDataFrame([("a",), ("a",), ("",), (None,)], "fleet_id string"))
+    assert [(r.seq, r.error) for r in found.orderBy("seq").collect()] == [(1, "bad_request"), (2, "bad_request"), (3, None)]
 
 
 def test_copies_are_combined_before_the_shuffle(spark):
