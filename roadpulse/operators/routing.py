@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.telemetry import once
+from roadpulse.operators import audiences
 from roadpulse.operators.access import ALL, FLEET, VIN, topic, without_covered
-from roadpulse.operators.lookup import fits_broadcast, grouped
+from roadpulse.operators.lookup import fits_broadcast, grouped, sized
 
 MAX_AGE_MS = 30_000
 
@@ -105,17 +106,32 @@ def route_events(events: DataFrame, interest: DataFrame, limit_bytes: int | None
     return match(events, interest, "pod", limit_bytes=limit_bytes)
 
 
+def audience_feed(
+    events: DataFrame, grants: DataFrame, limit_bytes: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(audience, event), each pair once, and the (user_id, audience) that they are for."""
+    classes = audiences.members(grants)
+    wanted = audiences.audience_grants(grants, classes)
+    return match(events, wanted, audiences.AUDIENCE, limit_bytes=limit_bytes), classes
+
+
 def authorize_events(events: DataFrame, grants: DataFrame, limit_bytes: int | None = None) -> DataFrame:
     """(user_id, event) for every user whose own grants allow it; the authoritative filter."""
-    return match(events, grants, "user_id", limit_bytes=limit_bytes)
+    fed, classes = audience_feed(events, grants, limit_bytes)
+    return audiences.of_users(fed, sized(classes, limit_bytes)).select("user_id", *events.columns)
 
 
 def two_stage_feed(
     events: DataFrame, grants: DataFrame, connections: DataFrame, interest: DataFrame
 ) -> DataFrame:
-    """Events routed to pods first, then checked per user of the pod."""
-    at_pod = connections.select("pod", "user_id").distinct().join(grants, "user_id")
-    return match(route_events(events, interest), at_pod, "user_id", within="pod")
+    """Events routed to pods first, then checked per user of the pod, users with equal grants together."""
+    classes = audiences.members(grants)
+    at_pod = connections.select("pod", "user_id").distinct().join(classes, "user_id")
+    wanted = at_pod.select("pod", audiences.AUDIENCE).distinct().join(
+        audiences.audience_grants(grants, classes), audiences.AUDIENCE
+    )
+    fed = match(route_events(events, interest), wanted, audiences.AUDIENCE, within="pod")
+    return audiences.of_users(fed, sized(at_pod), "pod").select("pod", "user_id", *events.columns)
 
 
 def held_ids(grants: DataFrame, prefix: str, column: str, small: bool) -> DataFrame:

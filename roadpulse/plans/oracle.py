@@ -2,6 +2,7 @@
 
 NOW = 1_706_572_800_000
 DAY = 86_400_000
+TRIGGER = DAY // 4
 
 
 def vin(number: str) -> str:
@@ -394,6 +395,12 @@ PLAIN = {
       SELECT 'delivered' AS outcome, (SELECT count(*) FROM pod_pairs) - (SELECT n FROM d) AS n
       UNION ALL SELECT 'dropped', (SELECT n FROM d)
       UNION ALL SELECT 'unrouted', (SELECT count(*) FROM unrouted)""",
+    "routing_outcomes_all": f"""
+      , pp AS (SELECT DISTINCT pod, p.* EXCLUDE (user_id) FROM pairs p JOIN connections USING (user_id)),
+      c AS ({CONFLATED.replace("pod_pairs", "pp")}), d AS (SELECT cast(sum(dropped) as bigint) AS n FROM c)
+      SELECT 'delivered' AS outcome, (SELECT count(*) FROM pp) - (SELECT n FROM d) AS n
+      UNION ALL SELECT 'dropped', (SELECT n FROM d)
+      UNION ALL SELECT 'unrouted', (SELECT count(*) FROM canonical WHERE event_id NOT IN (SELECT event_id FROM pp))""",
     "conflate": CONFLATED,
     "conflate_all": CONFLATED.replace(
         "pod_pairs", "(SELECT DISTINCT pod, p.* EXCLUDE (user_id) FROM pairs p JOIN connections USING (user_id))"
@@ -526,6 +533,11 @@ PLAIN = {
       WHERE record_ts >= {NOW - DAY}""",
     "live_feed_stream": f"""SELECT user_id, "partition", "offset", vin, fleet_id FROM pairs
       WHERE record_ts >= {NOW - DAY}""",
+    "conflated_live_feed": f"""
+      SELECT user_id, vin, record_ts // {TRIGGER} * {TRIGGER} AS trigger_ms, last("partition" ORDER BY record_ts, "partition", "offset") AS "partition",
+        last("offset" ORDER BY record_ts, "partition", "offset") AS "offset",
+        last(fleet_id ORDER BY record_ts, "partition", "offset") AS fleet_id, count(*) - 1 AS dropped
+      FROM pairs WHERE record_ts >= {NOW - 30 * DAY} GROUP BY 1, 2, 3""",
     "is_stale": f"SELECT event_id, {STALE} AS is_stale FROM canonical",
     "ago_text": f"SELECT event_id, {AGO} AS ago_text FROM canonical",
     "status_label": f"SELECT event_id, {LABEL} AS status_label FROM canonical",

@@ -296,6 +296,12 @@ def q_routing_outcomes(spark, sf):
     return routing.routing_outcomes(events, wanted, dropped)
 
 
+def q_routing_outcomes_all(spark, sf):
+    events, _, wanted = routing_inputs(spark, sf, admins=True)
+    dropped = routing.conflated_feed(events, wanted, "pod", TRIGGER_MS)
+    return routing.routing_outcomes(events, wanted, dropped)
+
+
 def q_conflate(spark, sf):
     events, _, wanted = routing_inputs(spark, sf)
     made = routing.conflated_feed(events, wanted, "pod", TRIGGER_MS)
@@ -695,6 +701,23 @@ def q_live_feed_stream(spark, sf):
     return jobs.read_feed(spark, out).select("user_id", "partition", "offset", "vin", "fleet_id")
 
 
+def q_conflated_live_feed(spark, sf):
+    out = shared_dir(spark, "conflated-job")
+    log = read_live_stream(spark, canonical_log_files(spark, sf))
+    query = jobs.live_feed_stream(
+        log,
+        lambda: grants(spark, sf),
+        out,
+        connections=lambda: t.connections(spark, sf),
+        clock=lambda: NOW,
+        max_age_ms=30 * 24 * 60 * 60 * 1000,
+        conflate_ms=TRIGGER_MS,
+    )
+    run(query)
+    made = jobs.read_conflated_feed(spark, out)
+    return made.select("user_id", "vin", "trigger_ms", "partition", "offset", "fleet_id", "dropped")
+
+
 def _stale():
     return C.is_stale(F.col("device_timestamp"), NOW)
 

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from roadpulse.operators.audiences import AUDIENCE, of_users
 from roadpulse.operators.history import newest_per_vehicle, parse_canonical, storable
 from roadpulse.operators.ingest import decode_telemetry
+from roadpulse.operators.lookup import sized
 from roadpulse.operators.pipeline import (
     EVENT_KEY,
     LOG_ORDER,
@@ -30,10 +32,10 @@ from roadpulse.operators.pipeline import (
     valid_only,
     write_canonical,
 )
-from roadpulse.operators.routing import MAX_AGE_MS, authorize_events, fresh_only, routing_keys
+from roadpulse.operators.routing import MAX_AGE_MS, audience_feed, fresh_only, routing_keys
 from roadpulse.schemas import CANONICAL, RAW_LOG, UNASSIGNED
 from roadpulse.sources.history import write_history
-from roadpulse.sources.files import delete_matching, kept_number, numbered_folders, replace_folder
+from roadpulse.sources.files import delete_matching, kept_number, numbered_folders, path_exists, replace_folder
 from roadpulse.sources.logs import read_batch, read_batches, read_partitions, write_batch
 from roadpulse.streaming.dedup import DEDUP_TTL_MS
 
@@ -226,14 +228,26 @@ def read_dead_letters(spark: SparkSession, out: str) -> DataFrame:
     return read_batches(spark, f"{out}/dead_letters", DEAD_LETTER)
 
 
-FEED = T.StructType(
-    [
-        T.StructField("user_id", T.StringType()),
-        *RAW_LOG.fields,
-        T.StructField("vin", T.StringType()),
-        T.StructField("fleet_id", T.StringType()),
-    ]
+_KEYED = [T.StructField("vin", T.StringType()), T.StructField("fleet_id", T.StringType())]
+_FOR = [T.StructField(AUDIENCE, T.StringType()), T.StructField("members", T.StringType())]
+FEED = T.StructType([*_FOR, *RAW_LOG.fields, *_KEYED])
+CONFLATED_FEED = T.StructType(
+    [*FEED.fields, T.StructField("trigger_ms", T.LongType()), T.StructField("n", T.LongType())]
 )
+MEMBERS = T.StructType([T.StructField("user_id", T.StringType()), T.StructField(AUDIENCE, T.StringType())])
+
+
+def _keep_members(classes: DataFrame, out: str) -> str:
+    """Stores who is in which audience under a name made from the rows, once for as long as nothing changes."""
+    spark = classes.sparkSession
+    total = F.sum(F.xxhash64(*MEMBERS.fieldNames()).cast("decimal(38,0)"))
+    found = classes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(total, F.lit(0)).alias("total")).first()
+    name = f"{found['n']}_{found['total']}".replace("-", "m")
+    path = f"{out}/members/members={name}"
+    if not path_exists(spark, path):
+        classes.select(*MEMBERS.fieldNames()).write.mode("overwrite").parquet(f"{out}/members-partial/{name}")
+        replace_folder(spark, f"{out}/members-partial/{name}", path)
+    return name
 
 
 def live_feed_stream(
@@ -244,25 +258,76 @@ def live_feed_stream(
     clock: Clock = wall_clock_ms,
     max_age_ms: int = MAX_AGE_MS,
     trigger: dict | None = None,
+    conflate_ms: int | None = None,
 ) -> StreamingQuery:
-    """Canonical log to one row per user and event: fresh records only, matched to grants.
+    """Canonical log to one row per audience and event: fresh records only, matched to grants.
+
+    Users with equal grants are one audience, so the stored rows do not grow with their number; ``read_feed`` gives one row per
+    user and event. With ``connections``, only users who are connected are in any. Routing to their pods first would
+    change nothing but the work done (see ``two_stage_feed``), so audiences are matched directly.
 
-    With ``connections``, only users who are connected get rows. Routing to their pods first would
-    change nothing but the work done (see ``two_stage_feed``), so users are matched directly.
+    With ``conflate_ms`` a slow consumer is not sent every event: state keeps the newest event per vehicle,
+    fleet and interval of record time, and how many it stands for; each trigger matches and stores those that changed, and
+    ``read_conflated_feed`` gives the newest of each. An interval's state goes once ``max_age_ms`` have passed.
     """
 
-    def each_batch(batch: DataFrame, batch_id: int) -> None:
+    def each_batch(events: DataFrame, batch_id: int) -> None:
         held = grants()
         if connections is not None:
             held = held.join(connections().select("user_id").distinct(), "user_id", "left_semi")
-        events = routing_keys(fresh_only(batch, clock(), max_age_ms))
-        write_batch(authorize_events(events, held), f"{out}/feed", batch_id)
+        held = held.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            fresh = fresh_only(events, clock(), max_age_ms)
+            if conflate_ms is None:
+                fresh = routing_keys(fresh)
+            fed, classes = audience_feed(fresh, held)
+            rows = fed.withColumn("members", F.lit(_keep_members(classes, out)))
+            schema = FEED if conflate_ms is None else CONFLATED_FEED
+            write_batch(rows.select(*schema.fieldNames()), f"{out}/feed", batch_id)
+        finally:
+            held.unpersist()
+
+    if conflate_ms is None:
+        return start(log, each_batch, f"{out}/checkpoint/feed", trigger)
+    newest = newest_per_interval(routing_keys(log), conflate_ms, max_age_ms)
+    return start(newest, each_batch, f"{out}/checkpoint/feed", trigger, output_mode="update")
+
 
-    return start(log, each_batch, f"{out}/checkpoint/feed", trigger)
+def newest_per_interval(keyed: DataFrame, conflate_ms: int, max_age_ms: int) -> DataFrame:
+    """The newest record of each vehicle, fleet and interval, in log order, with the number of records ``n``."""
+    keys = ["vin", "fleet_id"]
+    rest = [c for c in keyed.columns if c not in keys]
+    newest = F.max_by(F.struct(*rest), F.struct("timestamp", *LOG_ORDER)).alias("newest")
+    within = F.window("timestamp", f"{conflate_ms} milliseconds").alias("within")
+    kept = keyed.withWatermark("timestamp", f"{max_age_ms} milliseconds").groupBy(within, *keys)
+    found = kept.agg(newest, F.count(F.lit(1)).alias("n"))
+    return found.select(*keys, "newest.*", F.unix_millis("within.start").alias("trigger_ms"), "n")
+
+
+def _to_users(spark: SparkSession, rows: DataFrame, out: str) -> DataFrame:
+    schema = T.StructType([*MEMBERS.fields, _FOR[1]])
+    if not path_exists(spark, f"{out}/members"):
+        return of_users(rows, spark.createDataFrame([], schema), "members").drop("members")
+    classes = spark.read.schema(schema).parquet(f"{out}/members")
+    return of_users(rows, sized(classes), "members").drop("members")
 
 
 def read_feed(spark: SparkSession, out: str) -> DataFrame:
-    return read_batches(spark, f"{out}/feed", FEED)
+    """One row per user and event."""
+    return _to_users(spark, read_batches(spark, f"{out}/feed", FEED), out)
+
+
+def read_conflated_feed(spark: SparkSession, out: str) -> DataFrame:
+    """One row per user, vehicle and interval: the newest event that the user may see, and how many others there were."""
+    rows = read_batches(spark, f"{out}/feed", CONFLATED_FEED)
+    keys = [AUDIENCE, "vin", "fleet_id", "trigger_ms"]
+    rest = [c for c in rows.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("newest")).select(*keys, "newest.*")
+    kept = [c for c in newest.columns if c not in (AUDIENCE, "vin", "trigger_ms", "n", "batch_id")]
+    by_vehicle = newest.groupBy(AUDIENCE, "vin", "trigger_ms").agg(
+        F.max_by(F.struct(*kept), F.struct("timestamp", *LOG_ORDER)).alias("newest"), (F.sum("n") - 1).alias("dropped")
+    )
+    return _to_users(spark, by_vehicle.select(AUDIENCE, "vin", "trigger_ms", "newest.*", "dropped"), out)
 
 
 def history_stream(log: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

@@ -210,6 +210,49 @@ def test_live_feed_reads_grants_for_every_batch(spark, tmp_path):
     assert run(event(VIN_B, NOW, offset=3)) == [("ann", VIN_A, 1), ("ann", VIN_B, 3), ("boss", VIN_B, 3)]
 
 
+@pytest.mark.parametrize("admins", [1, 40])
+def test_users_with_equal_grants_are_stored_once(spark, tmp_path, admins):
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    held = [(f"admin{i}", "*") for i in range(admins)] + [("admin0", "fleet:fleet-1")]
+    held += [(u, t) for u in ("ann", "bob") for t in ("fleet:fleet-1", f"vin:{VIN_C}")] + [("cy", f"vin:{VIN_C}"), ("cy", "fleet:x")]
+    grants = spark.createDataFrame(held, "user_id string, topic string")
+    canonical_log(spark, path, [event(VIN_A, NOW, offset=0), event(VIN_B, NOW, "other", offset=1)], [event(VIN_C, NOW, offset=2)])
+    finish(jobs.live_feed_stream(read_raw_stream(spark, one_by_one(path)), lambda: grants, out, clock=lambda: NOW))
+    stored = read_batches(spark, f"{out}/feed", jobs.FEED)
+    assert stored.count() == 3 + 2 + 1  # admins, ann and bob, cy
+    assert len(list((tmp_path / "out" / "members").glob("members=*"))) == 1
+    want = [(f"admin{i}", n) for i in range(admins) for n in range(3)] + [(u, n) for u in ("ann", "bob") for n in (0, 2)]
+    assert rows(jobs.read_feed(spark, out), "user_id", "offset") == sorted([*want, ("cy", 2)])
+
+
+def test_a_slow_consumer_gets_the_newest_of_each_interval(spark, tmp_path):
+    """More events than triggers, also of one vehicle in two fleets, replayed in any order of files."""
+    held = [("ann", "fleet:f1"), ("boss", "*"), ("chief", "*"), ("dan", f"vin:{VIN_A}")]
+    grants = spark.createDataFrame(held, "user_id string, topic string")
+    made = [event((VIN_A, VIN_B)[i % 2], NOW - 9_000 + 300 * i, ("f1", "f2")[i // 7 % 2], offset=i) for i in range(30)]
+    found = []
+    for k, order in enumerate(([0, 1, 2], [2, 0, 1], [0])):
+        path, out = str(tmp_path / f"log{k}"), str(tmp_path / f"out{k}")
+        cuts = [made[:11], made[11:19], made[19:]] if len(order) > 1 else [made]
+        canonical_log(spark, path, *(cuts[i] for i in order))
+        finish(
+            jobs.live_feed_stream(
+                read_raw_stream(spark, one_by_one(path)), lambda: grants, out, clock=lambda: NOW, conflate_ms=2_000
+            )
+        )
+        found.append(rows(jobs.read_conflated_feed(spark, out), "user_id", "vin", "trigger_ms", "offset", "fleet_id", "dropped"))
+    log = jobs.log_records(events(spark, *made)).select("offset", "timestamp").collect()
+    at = {r.offset: int(r.timestamp.timestamp() * 1000) // 2_000 * 2_000 for r in log}
+    seen = {"ann": lambda e: e[1] == "f1", "boss": lambda e: True, "chief": lambda e: True, "dan": lambda e: e[0] == VIN_A}
+    plain = [((VIN_A, VIN_B)[i % 2], ("f1", "f2")[i // 7 % 2], i) for i in range(30)]
+    groups = {}
+    for user, sees in seen.items():
+        for e in filter(sees, plain):
+            groups.setdefault((user, e[0], at[e[2]]), []).append(e)
+    want = sorted((*k, v[-1][2], v[-1][1], len(v) - 1) for k, v in groups.items())
+    assert found[0] == found[1] == found[2] == want and any(r[-1] for r in want)
+
+
 def test_reading_before_anything_was_written(spark, tmp_path):
     assert jobs.read_canonical(spark, str(tmp_path / "none")).count() == 0
     assert jobs.read_feed(spark, str(tmp_path / "none")).count() == 0
