@@ -30,7 +30,11 @@ from roadpulse.llm.shared import with_columns_of
 
 MARK = "▁"
 #: Units remembered in each of two generations, so that frequent ones outlive the rare.
-_REMEMBERED, _REMEMBERED_LENGTH, _PAIRS = 80_000, 64, 150_000
+_REMEMBERED, _REMEMBERED_LENGTH, _PAIRS = 250_000, 64, 250_000
+
+_SHORT, _NONE = 40, float("-inf")
+#: Units of a text whose ids are put together at once.
+_UNITS = 4096
 
 codecs.register_error("each", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -55,14 +59,19 @@ class Model:
         letters = self._letters()
         self.units = re.compile(f"{MARK}*[{letters}]+|{MARK}*[^{MARK}{letters}]+|{MARK}+")
         self.found = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
-            # Only pieces that merging can build are ever part of an encoding.
-            if len(piece) == 1 or self.merged(piece) == [piece]:
-                self.found.add_word(piece, (len(piece), i))
+        # Only pieces that merging can build are ever part of an encoding.
+        built = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merged(p) == [p]}
+        for piece, i in built.items():
+            self.found.add_word(piece, i)
         self.found.make_automaton()
+        self.size = [len(p) for p in self.pieces]
+        #: Of each piece the next shorter one that begins it.
+        self.shorter: list[int | None] = [None] * size
+        for piece, i in built.items():
+            self.shorter[i] = next((built[piece[:n]] for n in range(len(piece) - 1, 0, -1) if piece[:n] in built), None)
         self.fits: dict[int, bool] = {}
-        self.remembered: dict[str, array] = {}
-        self.older: dict[str, array] = {}
+        self.remembered: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.control = {i for i in range(size) if sp.is_control(i)}
         shown = [p.replace(MARK, " ") for p in self.pieces]
         for i in range(size):
@@ -88,6 +97,8 @@ class Model:
 
     def merged(self, text: str) -> list[str]:
         """The pieces after merging by score, the leftmost first among equals."""
+        if len(text) <= _SHORT:
+            return self._merged_short(text)
         parts: list[str | None] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         queue: list[tuple[float, int, str]] = []
@@ -115,6 +126,23 @@ class Model:
                 offer(before[i])
         return [p for p in parts if p is not None]
 
+    def _merged_short(self, text: str) -> list[str]:
+        """The same for few characters: looking through all pairs is quicker than keeping them in order."""
+        parts, score = list(text), self.scores.get
+        pairs = [score(a + b, _NONE) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        while pairs:
+            best = max(pairs)
+            if best == _NONE:
+                break
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], _NONE)
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], _NONE)
+        return parts
+
     def compatible(self, left: int, right: int) -> bool:
         if left < 0 or right < 0:
             return True
@@ -130,63 +158,58 @@ class Model:
 
     def backtracked(self, unit: str) -> list[int]:
         """Ids of a unit; unknown characters as -1 - code point."""
-        options: list[list[tuple[int, int]]] = [[] for _ in unit]
-        for end, (length, i) in self.found.iter(unit):
-            options[end - length + 1].append((length, i))  # shorter ones end first
-        for at, c in enumerate(unit):
-            if not options[at]:
-                options[at].append((1, -1 - ord(c)))
-        failed = 0
-        taken: list[tuple[int, int, int]] = []  # position, option, id
-        at, k = 0, len(options[0]) - 1
-        while at < len(unit):
-            while k >= 0:
-                length, i = options[at][k]
-                open_ = not failed >> (at + length) & 1
-                if open_ and (not taken or self.compatible(taken[-1][2], i)):
+        size, shorter, compatible = self.size, self.shorter, self.compatible
+        longest = [-1 - ord(c) for c in unit]
+        for end, i in self.found.iter(unit):  # of the matches that begin at one place the longest ends last
+            longest[end + 1 - size[i]] = i
+        failed = bytearray(len(unit) // 8 + 1)  # one bit for each position
+        places: list[int] = []
+        taken: list[int] = []
+        at, i = 0, longest[0]
+        while True:
+            while i is not None:
+                to = at + (size[i] if i >= 0 else 1)
+                if not failed[to >> 3] >> (to & 7) & 1 and (not taken or compatible(taken[-1], i)):
                     break
-                k -= 1
-            if k >= 0:
-                taken.append((at, k, i))
-                at += length
-                k = len(options[at]) - 1 if at < len(unit) else -1
-            else:
-                failed |= 1 << at
-                at, k, _ = taken.pop()
-                k -= 1
-        return [i for _, _, i in taken]
-
-    def unit(self, unit: str) -> array:
-        known = self.remembered.get(unit)
+                i = shorter[i] if i >= 0 else None
+            if i is None:
+                failed[at >> 3] |= 1 << (at & 7)
+                at, i = places.pop(), taken.pop()
+                i = shorter[i] if i >= 0 else None
+                continue
+            places.append(at)
+            taken.append(i)
+            if to == len(unit):
+                return taken
+            at, i = to, longest[to]
+
+    def unit(self, unit: str) -> bytes:
+        """The ids of a unit as 32-bit numbers."""
+        known = self.older.get(unit)
         if known is None:
-            known = self.older.get(unit)
-            if known is None:
-                known = self._fresh(unit)
-            if len(unit) <= _REMEMBERED_LENGTH:
-                if len(self.remembered) >= _REMEMBERED:
-                    self.older, self.remembered = self.remembered, {}
-                self.remembered[unit] = known
+            known = self._fresh(unit)
+        if len(unit) <= _REMEMBERED_LENGTH:
+            if len(self.remembered) >= _REMEMBERED:
+                self.older, self.remembered = self.remembered, {}
+            self.remembered[unit] = known
         return known
 
-    def _fresh(self, unit: str) -> array:
-        if unit.startswith(MARK * 2):
-            found = [self.ids.get(p, -1 - ord(p[0])) for p in self.merged(unit)]
-        else:
-            found = self.backtracked(unit)
+    def _fresh(self, unit: str) -> bytes:
         out = array("i")
-        for i in found:
+        for i in self.backtracked(unit):
             if i >= 0:
                 out.append(i)
             else:
                 out.extend(self.bytes[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass"))
-        return out
+        return out.tobytes()
 
     def encode(self, text: str, out: array) -> None:
         """Appends the ids of a whole text."""
         if text:
-            unit, known = self.unit, self.remembered.get
-            for u in self.units.findall(MARK + text.replace(" ", MARK)):
-                out.extend(known(u) or unit(u))
+            unit, units = self.unit, self.units.findall(MARK + text.replace(" ", MARK))
+            for k in range(0, len(units), _UNITS):
+                known = self.remembered.get
+                out.frombytes(b"".join([known(u) or unit(u) for u in units[k : k + _UNITS]]))
 
     def _shown(self, ids) -> str:
         shown = self.shown
