@@ -223,7 +223,12 @@ def counted(texts: DataFrame, bits: np.ndarray, threshold: int, longest: int, pa
     def run(batches):
         total: dict[str, int] = {}
         spelt: dict[int, tuple[str, str, int]] = {}
-        known, held, n_held = np.zeros(0, np.uint64), [], 0
+        held, n_held = [], 0
+
+        def unknown():
+            return [np.zeros(0, np.uint64)] * (longest + 1)
+
+        known = unknown()
 
         def sent(keys, rows, counts):
             cuts = pa.array(np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int32))
@@ -251,17 +256,20 @@ def counted(texts: DataFrame, bits: np.ndarray, threshold: int, longest: int, pa
                 keys, first, n = np.unique(keys, return_index=True, return_counts=True)
                 held.append((keys, n))
                 n_held += len(keys)
-                new = np.flatnonzero(~np.isin(keys, known, assume_unique=True))
+                place = np.searchsorted(known[size], keys)
+                new = np.ones(len(keys), bool)
+                inside = np.flatnonzero(place < len(known[size]))
+                new[inside] = known[size][place[inside]] != keys[inside]
                 for key, i in zip(keys[new].tolist(), at[first[new]].tolist(), strict=True):
                     spelt[key] = lang[words.text[i]], words.phrase(i, size), size
-                known = np.union1d(known, keys[new])
+                known[size] = np.insert(known[size], place[new], keys[new])
             if n_held >= GATHERED:
                 held = [sums()]
                 n_held = 0
             if len(spelt) >= PHRASES:
                 keys, counts = sums()
                 yield sent(keys, [spelt[k] for k in keys.tolist()], counts)
-                spelt, known, held, n_held = {}, np.zeros(0, np.uint64), [], 0
+                spelt, known, held, n_held = {}, unknown(), [], 0
         if held:
             keys, counts = sums()
             yield sent(keys, [spelt[k] for k in keys.tolist()], counts)
