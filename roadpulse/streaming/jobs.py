@@ -34,9 +34,16 @@ from roadpulse.operators.pipeline import (
 )
 from roadpulse.operators.routing import MAX_AGE_MS, audience_feed, fresh_only, routing_keys
 from roadpulse.schemas import CANONICAL, RAW_LOG, UNASSIGNED
-from roadpulse.sources.history import write_history
-from roadpulse.sources.files import delete_matching, kept_number, numbered_folders, path_exists, replace_folder
-from roadpulse.sources.logs import read_batch, read_batches, read_partitions, write_batch
+from roadpulse.sources.files import (
+    delete_matching,
+    kept_number,
+    numbered_folders,
+    path_exists,
+    replace_folder,
+    tier_start,
+)
+from roadpulse.sources.history import fold_batches, write_history
+from roadpulse.sources.logs import read_batch, read_batches, read_partitions, with_batch, write_batch
 from roadpulse.streaming.dedup import DEDUP_TTL_MS
 
 Table = Callable[[], DataFrame]
@@ -76,6 +83,8 @@ OUTCOMES = T.StructType(
 )
 HOUR_MS = 60 * 60 * 1000
 BATCHES_PER_RUN = 1_000_000_000
+#: Folders of one tier that are merged into one of the next.
+FAN_IN = 8
 FLUSH = "250 milliseconds"
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
@@ -331,9 +340,15 @@ def read_conflated_feed(spark: SparkSession, out: str) -> DataFrame:
 
 
 def history_stream(log: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Canonical log to the daily history, apart from the live feed so neither delays the other."""
+    """Canonical log to the daily history, apart from the live feed so neither delays the other.
+
+    Finished batches are merged in tiers in passing, so a reader opens few folders per day however long the job has run.
+    """
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
+        first, last = _finished(batch_id)
+        if last is not None:
+            fold_batches(batch.sparkSession, path, first, last)
         write_history(storable(batch), path, batch_id)
 
     return start(log, each_batch, checkpoint, trigger)
@@ -342,7 +357,7 @@ def history_stream(log: DataFrame, path: str, checkpoint: str, trigger: dict | N
 def latest_state_stream(log: DataFrame, out: str, trigger: dict | None = None) -> StreamingQuery:
     """Newest report per vehicle, kept as state; each flush writes the vehicles that changed.
 
-    At equal device times the later record in the log wins.
+    At equal device times the later record in the log wins. Finished flushes are merged in tiers in passing.
     """
     events = parse_canonical(log).where(~F.col("skipped"))
     latest = newest_per_vehicle(
@@ -350,6 +365,9 @@ def latest_state_stream(log: DataFrame, out: str, trigger: dict | None = None) -
     )
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
+        first, last = _finished(batch_id)
+        if last is not None:
+            fold_latest_state(batch.sparkSession, out, first, last)
         write_batch(batch, f"{out}/latest", batch_id)
 
     return start(
@@ -372,21 +390,41 @@ def read_latest_state(spark: SparkSession, out: str) -> DataFrame:
     return _newest_flushes(read_batches(spark, f"{out}/latest", EVENTS_WITH_POSITION)).drop("batch_id")
 
 
-def compact_latest_state(spark: SparkSession, out: str, up_to_batch: int) -> None:
-    """Folds all flushes up to a finished batch into the folder of that batch.
+def _finished(batch_id: int) -> tuple[int, int | None]:
+    """The batches before this one that are to be merged now; those of earlier runs with the first ones of this.
 
-    The folded rows are written beside it and moved into place before the older flushes go, so a reader or a
-    failure in between sees some rows twice and none missing. Run it when no later flush is being folded.
+    They were committed before this batch began, so none of them will be repeated.
+    """
+    run, n = divmod(batch_id, BATCHES_PER_RUN)
+    begin = tier_start(n, FAN_IN)
+    if begin is None:
+        return 0, None
+    return (run * BATCHES_PER_RUN + begin if begin else 0), batch_id - 1
+
+
+def fold_latest_state(spark: SparkSession, out: str, first: int, last: int) -> None:
+    """Merges the finished flushes of a range into the folder of the last one.
+
+    The merged rows are written beside it and moved into place before the older flushes go, so a reader or a
+    failure in between sees some rows twice and none missing.
     """
     path = f"{out}/latest"
-    rows = read_batches(spark, path, EVENTS_WITH_POSITION).where(F.col("batch_id") <= up_to_batch)
-    write_batch(_newest_flushes(rows).drop("batch_id"), f"{out}/latest-folded", up_to_batch)
-    replace_folder(spark, f"{out}/latest-folded/batch_id={up_to_batch}", f"{path}/batch_id={up_to_batch}")
-    for older in numbered_folders(spark, path, "batch_id="):
-        if older < up_to_batch:
+    own = [n for n in numbered_folders(spark, path, "batch_id=") if first <= n <= last]
+    if own in ([], [last]):
+        return
+    rows = read_partitions(spark, path, with_batch(EVENTS_WITH_POSITION), [f"batch_id={n}" for n in own])
+    write_batch(_newest_flushes(rows).drop("batch_id"), f"{out}/latest-folded", last)
+    replace_folder(spark, f"{out}/latest-folded/batch_id={last}", f"{path}/batch_id={last}")
+    for older in own:
+        if older < last:
             delete_matching(spark, f"{path}/batch_id={older}")
 
 
+def compact_latest_state(spark: SparkSession, out: str, up_to_batch: int) -> None:
+    """Folds all flushes up to a finished batch into one. Run it when the job does not."""
+    fold_latest_state(spark, out, 0, up_to_batch)
+
+
 def log_records(canonical: DataFrame) -> DataFrame:
     """Canonical events as the records of a file log, ready for the jobs that read it."""
     return write_canonical(canonical).select(*RAW_LOG.fieldNames())

@@ -4,7 +4,16 @@ from pyspark.sql import functions as F
 
 from roadpulse.operators import board, history
 from roadpulse.operators.pipeline import write_canonical
-from roadpulse.sources.history import compact_history, read_history, read_writes, write_history
+from roadpulse.sources.files import tier_start
+from roadpulse.sources.history import (
+    compact_history,
+    day_batches,
+    fold_batches,
+    merge_days,
+    read_history,
+    read_writes,
+    write_history,
+)
 from tests.conftest import rows
 from tests.samples import NOW, VIN_A, VIN_B, VIN_C, event, events
 
@@ -107,6 +116,42 @@ def test_history_is_idempotent_and_newest_write_wins(spark, tmp_path):
     assert rows(read_history(spark, compacted), "event_id", "fleet_id", "event_date") == once
 
 
+def test_tiers_leave_as_many_folders_as_the_digits_add_up_to():
+    for fan_in in (2, 8, 10):
+        folders = []
+        for n in range(600):
+            first = tier_start(n, fan_in)
+            if first is not None:
+                folders = [f for f in folders if f < first] + [n - 1]
+            digits, m = 0, n
+            while m:
+                digits, m = digits + m % fan_in, m // fan_in
+            assert len(folders) == digits
+            folders.append(n)
+
+
+def test_merged_batches_hold_the_newest_writes_in_few_folders(spark, tmp_path):
+    path = str(tmp_path / "history")
+    for n in range(5):
+        made = [event(VIN_A, NOW, f"f{n}", n), event(VIN_A, NOW, f"g{n}", n + 10), event(VIN_B, NOW - n % 2 * DAY, "b", n)]
+        write_history(events(spark, *made), path, n)
+    want = rows(read_history(spark, path), "event_id", "fleet_id")
+    fold_batches(spark, path, 0, 2)
+    assert [own for own in day_batches(spark, path).values()] == [[2, 3], [2, 3, 4]]
+    assert rows(read_history(spark, path), "event_id", "fleet_id") == want
+    fold_batches(spark, path, 0, 2)
+    write_history(events(spark, *made), path, 4)  # a repeated batch finds its own folders
+    fold_batches(spark, path, 0, 3)
+    assert [own for own in day_batches(spark, path).values()] == [[3], [3, 4]]
+    merge_days(spark, path, 4)
+    assert [own for own in day_batches(spark, path).values()] == [[4], [4]]
+    found = read_history(spark, path)
+    assert rows(found, "event_id", "fleet_id") == want and read_writes(spark, path).count() == len(want)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().replace("ReusedExchange", "")
+    write_history(events(spark, event(VIN_A, NOW, "late", 0)), path, 5)
+    assert ("late" in {r[1] for r in rows(read_history(spark, path), "event_id", "fleet_id")})
+
+
 def test_last_day_reads_only_recent_partitions(spark, tmp_path):
     path = str(tmp_path / "history")
     write_history(events(spark, event(VIN_A, NOW), event(VIN_B, NOW - 5 * DAY)), path, 0)

@@ -320,3 +320,22 @@ def test_compaction_bounds_the_folders_of_the_latest_state(spark, tmp_path):
     jobs.compact_latest_state(spark, out, 2)
     assert numbered_folders(spark, f"{out}/latest", "batch_id=") == [2]
     assert rows(jobs.read_latest_state(spark, out), "vin", "fleet_id") == want
+
+
+def test_folders_stay_few_over_200_flushes(spark, tmp_path):
+    """The job's own merging, without Spark's trigger: 200 batches as it would get them."""
+    out, seen = str(tmp_path), []
+    kinds = events(spark, event(VIN_A, NOW)).select(*jobs.EVENTS_WITH_POSITION.fieldNames())
+    for n in range(200):
+        batch_id = jobs.BATCHES_PER_RUN * 7 + n
+        first, last = jobs._finished(batch_id)
+        if last is not None:
+            jobs.fold_latest_state(spark, out, first, last)
+        vin = (VIN_A, VIN_B, VIN_C)[n % 3]
+        made = kinds.selectExpr(*(f"'{vin}' AS vin" if c == "vin" else f"'f{n}' AS fleet_id" if c == "fleet_id" else c for c in kinds.columns))
+        logs.write_batch(made.coalesce(1), f"{out}/latest", batch_id)
+        seen.append(len(numbered_folders(spark, f"{out}/latest", "batch_id=")))
+    assert max(seen) <= 3 * (jobs.FAN_IN - 1) + 1
+    assert rows(jobs.read_latest_state(spark, out), "vin", "fleet_id") == [(VIN_A, "f198"), (VIN_B, "f199"), (VIN_C, "f197")]
+    assert jobs._finished(jobs.BATCHES_PER_RUN * 7)[1] is None
+    assert jobs._finished(jobs.BATCHES_PER_RUN * 7 + 64) == (0, jobs.BATCHES_PER_RUN * 7 + 63)
