@@ -77,7 +77,7 @@ def test_toxicity_scores_are_those_of_counting_by_hand(spark, sf):
             for c in (1, 0):
                 expected = both * (size[c] / sum(size.values()))
                 beyond = seen[c][key] - expected
-                credited = np.sign(beyond) * max(abs(beyond) - toxicity.ERRORS * expected**0.5 - 0.5, 0)
+                credited = np.sign(beyond) * max(abs(beyond) - toxicity.ERRORS * expected**0.5 - 0.5 - toxicity.SHARE * expected, 0)
                 part.append(np.log(max(expected + credited, 1e-3) / expected))
             out[key] = round((part[0] - part[1]) * toxicity.STEPS)
         return out
