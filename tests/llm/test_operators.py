@@ -313,6 +313,62 @@ def test_main_text_is_the_article(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<html><head><title>t</title><body><p>Real text", "Real text"),
+    ("<head><title>t</title>Real text<p>more", "Real text\nmore"),
+    ("<p class='advert'>buy<p>kept</p><li class=share>x<li>item", "kept\nitem"),
+    ("<article><div class='header'>Title</div><p>body<div class=related><p>other</p></div></article>", "Title\nbody"),
+    ("<ul><li class=menu>a<ul><li>b</li></ul>c</li><li>d</ul>", "d"),
+    ("<table><tr><td class=ad>x<td>y<tr><td>z</table><a class='social'>tweet</a> end", "y\nz\nend"),
+    ("<p><a class=share>s</a>text</p>", "text"),
+])
+def test_lines_of_pages_that_leave_tags_open(page, text):
+    assert "\n".join(t for t, _ in html.lines_of(page)) == text
+
+
+def differenced(rows):
+    """Main texts of (url, html) rows without articles, by looking for each page's partners among all."""
+    pages = sorted({(u.split("/")[2], "/" + u.split("/", 3)[3], tuple(t for t, _ in html.lines_of(p))) for u, p in rows})
+    digest = lambda x: x
+    out = {}
+    for host, path, lines in pages:
+        near = [(p, x) for h, p, x in pages if h == host]
+        at = near.index((path, lines))
+        sides = [next((n for n in side if n[1] != digest(lines)), None) for side in (near[:at][::-1], near[at + 1 :])]
+        sides = [n for n in sides if n]
+        common = [html._common(n[0], path) for n in sides]
+        gone = set().union(*(html.shared_lines(list(lines), list(n[1])) for n, c in zip(sides, common) if c == max(common)))  # noqa: B905
+        out[(host, path, lines)] = "\n".join(t for i, t in enumerate(lines) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5, 37])
+def test_differencing_does_not_depend_on_partitions_and_leaves_copies_their_text(spark, parts):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        host = "hot.org" if i % 3 else f"h{i % 5}.org"
+        own = f"<p>own {i // 2}<p>" if i % 4 else "<p>copied"
+        rows.append((f"http://{host}/{rng.choice('ab')}/{i:02d}", f"<p>Welcome to {host}{own}<p>Contact us"))
+    rows += [("http://hot.org/a/zz", "<p>Welcome to hot.org<p>same<p>Contact us")] * 30 + [("", "<p>no host"), (None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    settings = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = {r.page_id: r.text for r in html.main_text(df.repartition(parts)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {k: v for k, v in differenced([r for r in rows if r[0]]).items()}
+    assert len(found) == len(rows) and found[len(rows) - 2] == "no host" and found[len(rows) - 1] == ""
+    for i, (url, page) in enumerate(rows[:-2]):
+        lines = tuple(t for t, _ in html.lines_of(page))
+        assert found[i] == want[(url.split("/")[2], "/" + url.split("/", 3)[3], lines)], url
+    assert {found[i] for i in range(60, 90)} == {"same"}
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(300):
