@@ -18,6 +18,7 @@ from roadpulse.llm.shared import brought_back, set_aside, with_columns_of
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 WINDOW = 5
+LEAST_DUP_LINES = 3
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SYMBOL = np.zeros(256, bool)
@@ -31,7 +32,8 @@ def _rules() -> dict[str, Column]:
         "too_few_words": c("n_words") < 10,
         "repeated_windows": 100 * c("n_repeat_words") > 20 * c("n_words"),
         "many_symbols": 10 * c("n_symbols") > 3 * c("n_words"),
-        "repeated_lines": 100 * c("n_dup_lines") > 30 * c("n_lines"),
+        # A title or two that come again are no fault of a short text.
+        "repeated_lines": (c("n_dup_lines") >= LEAST_DUP_LINES) & (100 * c("n_dup_lines") > 30 * c("n_lines")),
         "short_words": c("word_chars") < 2 * c("n_words"),
         "long_words": c("word_chars") > 20 * c("n_words"),
     }

@@ -172,6 +172,16 @@ def test_quality_filter_returns_the_given_columns(spark, docs):
     assert quality.quality_filter(docs.limit(0)).count() == 0
 
 
+def test_a_title_that_comes_again_is_no_reason_to_reject(spark):
+    body = "a clean line of text with some more words in it"
+    rows = [(1, f"Title\n{body}\nTitle"), (2, "Title\nTitle\nTitle\n" + body), (3, "x y\n" * 4 + body), (4, f"{body} one\n{body} two")]
+    judged = quality.apply_policy(quality.ledger(frame(spark, rows)), "v2").select("doc_id", "n_dup_lines", "failed_bits")
+    bit = 1 << quality.RULES.index("repeated_lines")
+    assert collected(judged.select("doc_id", "n_dup_lines", (F.col("failed_bits").bitwiseAND(bit) > 0))) == [
+        (1, 1, False), (2, 2, False), (3, 3, True), (4, 0, False)
+    ]
+
+
 # --- SimHash ---------------------------------------------------------------------------------
 
 
