@@ -10,12 +10,14 @@ from roadpulse.plans import tables as t
 from roadpulse.schemas import CANONICAL, RAW_LOG
 from roadpulse.session import shared_dir, ship_package
 from roadpulse.sources import history as stored
+from roadpulse.sources.files import path_exists
 from roadpulse.sources.logs import (
     LogSource,
     read_batches,
     read_live_stream,
     read_raw_stream,
     write_batch,
+    write_hourly,
 )
 from roadpulse.streaming import jobs
 from roadpulse.streaming.dedup import dedup_ttl
@@ -84,8 +86,37 @@ def interest(spark, sf, admins=False):
     return access.pod_grants(t.connections(spark, sf, admins), grants(spark, sf))
 
 
+_SETTLED: dict[tuple[str, str, str], str] = {}
+
+
+def settled_at(spark, sf, name, write):
+    """A folder of the shared place that ``write`` fills, once in a session: what many queries read is worked out once."""
+    key = spark.sparkContext.applicationId, sf, name
+    if key not in _SETTLED or not path_exists(spark, _SETTLED[key]):
+        path = shared_dir(spark, name)
+        write(path)
+        _SETTLED[key] = path
+    return _SETTLED[key]
+
+
+def settled(spark, sf, name, make):
+    df = make()
+    path = settled_at(spark, sf, name, df.write.parquet)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def daily_history(spark, sf):
+    """The canonical events as the history that the jobs keep, its days merged."""
+
+    def write(path):
+        stored.write_history(canonical(spark, sf), path, 0)
+        stored.merge_days(spark, path, 0)
+
+    return stored.read_history(spark, settled_at(spark, sf, "daily-history", write))
+
+
 def latest(spark, sf, user_id=ADMIN):
-    return history.latest_positions(canonical(spark, sf), grants_of(spark, sf, user_id), NOW)
+    return history.latest_positions(daily_history(spark, sf), grants_of(spark, sf, user_id), NOW)
 
 
 def lists_as_text(df: DataFrame) -> DataFrame:
@@ -211,7 +242,7 @@ def q_without_location(spark, sf):
 
 
 def q_last_24h(spark, sf):
-    return history.last_24h(canonical(spark, sf), NOW).select(*EVENT_COLUMNS)
+    return history.last_24h(daily_history(spark, sf), NOW).select(*EVENT_COLUMNS)
 
 
 # --- access and routing ----------------------------------------------------------------------
@@ -237,18 +268,12 @@ def q_connected_users(spark, sf):
     return access.connected_users(t.connections(spark, sf))
 
 
-def settled(df, name):
-    """What several steps of one query read, worked out once and written to the shared folder."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def routing_inputs(spark, sf, admins=False):
     """Canonical events, grants and pod interest, each settled."""
-    held = settled(grants(spark, sf), "grants")
-    wanted = settled(access.pod_grants(t.connections(spark, sf, admins), held), "interest")
-    return settled(canonical(spark, sf), "events"), held, wanted
+    held = settled(spark, sf, "grants", lambda: grants(spark, sf))
+    connections = t.connections(spark, sf, admins)
+    wanted = settled(spark, sf, f"interest-{admins}", lambda: access.pod_grants(connections, held))
+    return settled(spark, sf, "events", lambda: canonical(spark, sf)), held, wanted
 
 
 def q_route_events(spark, sf):
@@ -403,7 +428,7 @@ def q_fleet_name(spark, sf):
 
 
 def q_fleet_board(spark, sf):
-    return pipelines.board_for_user(canonical(spark, sf), grants_of(spark, sf, ADMIN), NOW)
+    return pipelines.board_for_user(daily_history(spark, sf), grants_of(spark, sf, ADMIN), NOW)
 
 
 def q_board_filter(spark, sf):
@@ -582,15 +607,14 @@ PARTS = 4
 
 def raw_log_files(spark, sf, batches: int = PARTS) -> LogSource:
     """The raw log as files in log order, the repeats last, so that they meet across batches."""
-    path = shared_dir(spark, "raw-log")
-    log = t.raw_log(spark, sf)
-    first, second = log.where(F.col("offset") % 2 == 0), log.where(F.col("offset") % 2 == 1)
     bounds = t.table(spark, sf, "events").agg(F.max("event_id").alias("top")).first()
     step = 2 * ((bounds["top"] or 0) // (PARTS - 1) + 1)
-    for part in range(PARTS - 1):
-        here = (F.col("offset") >= part * step) & (F.col("offset") < (part + 1) * step)
-        first.where(here).write.mode("append").parquet(path)
-    second.write.mode("append").parquet(path)
+    part = F.when(F.col("offset") % 2 == 1, PARTS - 1).otherwise(F.floor(F.col("offset") / step))
+    # Encoded once; the parts are copies, one after the other, as files are read in the order of their times.
+    encoded = settled(spark, sf, "encoded-log", lambda: t.raw_log(spark, sf).withColumn("part", part.cast("int")))
+    path = shared_dir(spark, "raw-log")
+    for n in range(PARTS):
+        encoded.where(F.col("part") == n).drop("part").write.mode("append").parquet(path)
     return LogSource(path=path, batch_size=files_per_batch(spark, path, batches))
 
 
@@ -604,10 +628,18 @@ def run(query):
 
 def canonical_log_files(spark, sf) -> LogSource:
     path = shared_dir(spark, "canonical-log")
-    jobs.log_records(canonical(spark, sf)).write.parquet(path)
+    events = settled(spark, sf, "events", lambda: canonical(spark, sf))
+    jobs.log_records(events).write.parquet(path)
     return LogSource(path=path, batch_size=files_per_batch(spark, path))
 
 
+def hourly_log(spark, sf) -> LogSource:
+    """The canonical log by hour, as a live reader finds it."""
+    events = settled(spark, sf, "events", lambda: canonical(spark, sf))
+    path = settled_at(spark, sf, "hourly-log", lambda path: write_hourly(jobs.log_records(events), path))
+    return LogSource(path=path, batch_size=files_per_batch(spark, path), by_hour=True)
+
+
 def q_read_raw_stream(spark, sf):
     out = shared_dir(spark, "raw-copy")
     stream = read_raw_stream(spark, raw_log_files(spark, sf))
@@ -679,7 +711,7 @@ def q_latest_state_stream(spark, sf):
 
 def q_read_live_stream(spark, sf):
     out = shared_dir(spark, "live-copy")
-    log = read_live_stream(spark, canonical_log_files(spark, sf))
+    log = read_live_stream(spark, hourly_log(spark, sf), NOW - 24 * 60 * 60 * 1000)
     fresh = routing.fresh_only(log, NOW, 24 * 60 * 60 * 1000)
     run(jobs.start(fresh, lambda b, i: write_batch(b, f"{out}/live", i), f"{out}/checkpoint"))
     rows = read_batches(spark, f"{out}/live", RAW_LOG)
@@ -688,7 +720,7 @@ def q_read_live_stream(spark, sf):
 
 def q_live_feed_stream(spark, sf):
     out = shared_dir(spark, "feed-job")
-    log = read_live_stream(spark, canonical_log_files(spark, sf))
+    log = read_live_stream(spark, hourly_log(spark, sf), NOW - 24 * 60 * 60 * 1000)
     query = jobs.live_feed_stream(
         log,
         lambda: grants(spark, sf),
@@ -703,7 +735,7 @@ def q_live_feed_stream(spark, sf):
 
 def q_conflated_live_feed(spark, sf):
     out = shared_dir(spark, "conflated-job")
-    log = read_live_stream(spark, canonical_log_files(spark, sf))
+    log = read_live_stream(spark, hourly_log(spark, sf))
     query = jobs.live_feed_stream(
         log,
         lambda: grants(spark, sf),

@@ -139,9 +139,8 @@ def merge_days(spark: SparkSession, path: str, up_to_batch: int) -> None:
     """Leaves one folder per day of all finished batches up to one, and notes it, so that the day need not be merged on reading."""
     days = {d: [n for n in own if n <= up_to_batch] for d, own in day_batches(spark, path).items()}
     days = {d: own for d, own in days.items() if own}
-    for day, own in days.items():
-        # A single folder may hold one event twice, so it is merged with itself.
-        _fold(spark, path, {day: own}, up_to_batch, even_alone=True)
+    # A single folder may hold one event twice, so it is merged with itself.
+    _fold(spark, path, days, up_to_batch, even_alone=True)
     noted = dict(w.split("=") for w in kept_words(spark, f"{path}/_merged")) | {d: str(up_to_batch) for d in days}
     keep_words(spark, f"{path}/_merged", [f"{d}={n}" for d, n in sorted(noted.items())])
 

@@ -14,18 +14,23 @@ from roadpulse.schemas import HEADERS, RAW_LOG
 from roadpulse.sources.files import path_exists
 
 
+HOUR_MS = 60 * 60 * 1000
+
+
 @dataclass
 class LogSource:
     """Where a log lives: ``path`` for files, or Kafka ``options`` (servers, topic, security).
 
     ``batch_size`` bounds a micro-batch: in records for Kafka, in files for a folder. Without it a batch takes
     all that has arrived, so that a reader never falls behind a log that grows faster than a fixed size.
+    ``by_hour`` says that the files lie in folders by hour of record time, as :func:`write_hourly` leaves them.
     """
 
     path: str | None = None
     options: dict = field(default_factory=dict)
     batch_size: int | None = None
     schema: T.StructType = field(default_factory=lambda: RAW_LOG)
+    by_hour: bool = False
 
 
 def _from_kafka(spark: SparkSession, source: LogSource, start: str) -> DataFrame:
@@ -40,11 +45,15 @@ def _from_kafka(spark: SparkSession, source: LogSource, start: str) -> DataFrame
     return reader.load().select(*[f.name for f in RAW_LOG.fields])
 
 
-def _from_files(spark: SparkSession, source: LogSource, newest_first: bool) -> DataFrame:
-    reader = spark.readStream.schema(source.schema).option("latestFirst", str(newest_first).lower())
+def _from_files(spark: SparkSession, source: LogSource, newest_first: bool, since_ms: int | None = None) -> DataFrame:
+    schema = T.StructType([*source.schema.fields, T.StructField("hour", T.LongType())]) if source.by_hour else source.schema
+    reader = spark.readStream.schema(schema).option("latestFirst", str(newest_first).lower())
     if source.batch_size:
         reader = reader.option("maxFilesPerTrigger", source.batch_size)
-    return reader.parquet(source.path)
+    rows = reader.parquet(source.path)
+    if source.by_hour and since_ms is not None:
+        rows = rows.where(F.col("hour") >= since_ms // HOUR_MS)
+    return rows.select(*source.schema.fieldNames())
 
 
 def read_raw_stream(spark: SparkSession, source: LogSource) -> DataFrame:
@@ -54,17 +63,24 @@ def read_raw_stream(spark: SparkSession, source: LogSource) -> DataFrame:
     return _from_kafka(spark, source, "earliest")
 
 
-def read_live_stream(spark: SparkSession, source: LogSource) -> DataFrame:
+def read_live_stream(spark: SparkSession, source: LogSource, since_ms: int | None = None) -> DataFrame:
     """The canonical log from its end.
 
-    Files have no end to start from: the newest are read first and old records are left to
-    ``fresh_only``.
+    Files have no end to start from. Of a log by hour no file is opened whose hour ended before ``since_ms``, the oldest record
+    time that can be fresh when the reader starts; the newest are read first and old records are left to ``fresh_only``.
     """
     if source.path:
-        return _from_files(spark, source, newest_first=True)
+        return _from_files(spark, source, newest_first=True, since_ms=since_ms)
     return _from_kafka(spark, source, "latest")
 
 
+def write_hourly(records: DataFrame, path: str) -> None:
+    """Appends log records to a file log laid out by hour of record time; busy hours are split and quiet ones share a task."""
+    hour = F.floor(F.unix_millis("timestamp") / F.lit(HOUR_MS)).cast("long")
+    rows = records.withColumn("hour", hour).hint("rebalance", "hour")
+    rows.write.mode("append").partitionBy("hour").parquet(path)
+
+
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """Writes one micro-batch to a folder of its own.
 

@@ -339,3 +339,19 @@ def test_folders_stay_few_over_200_flushes(spark, tmp_path):
     assert rows(jobs.read_latest_state(spark, out), "vin", "fleet_id") == [(VIN_A, "f198"), (VIN_B, "f199"), (VIN_C, "f197")]
     assert jobs._finished(jobs.BATCHES_PER_RUN * 7)[1] is None
     assert jobs._finished(jobs.BATCHES_PER_RUN * 7 + 64) == (0, jobs.BATCHES_PER_RUN * 7 + 63)
+
+
+def test_a_live_reader_opens_no_file_of_an_hour_that_is_over(spark, tmp_path):
+    path, out = tmp_path / "log", str(tmp_path / "out")
+    made = [event(VIN_A, NOW - 3_600_000 * h, offset=h) for h in range(5)]
+    logs.write_hourly(jobs.log_records(events(spark, *made)), str(path))
+    folders = sorted(path.glob("hour=*"), key=lambda p: int(p.name[5:]))
+    assert len(folders) == 5
+    for old in folders[:3]:
+        (old / "part-broken.parquet").write_bytes(b"no parquet: fails if it is opened")
+    source = LogSource(path=str(path), by_hour=True)
+    live = read_live_stream(spark, source, NOW - 3_600_000)
+    assert live.columns == source.schema.fieldNames()
+    finish(jobs.start(live, lambda b, i: logs.write_batch(b, f"{out}/live", i), f"{out}/checkpoint"))
+    found = rows(read_batches(spark, f"{out}/live", source.schema), "offset")
+    assert found == [(0,), (1,)] or found == [(0,), (1,), (2,)]
