@@ -57,6 +57,17 @@ def kept_number(spark: SparkSession, path: str, make) -> int:
     return int(_read(spark, path))
 
 
+def claimed_number(spark: SparkSession, folder: str) -> int:
+    """One past the largest number claimed in a folder, which no one else gets: a file of that name is made only if there is none."""
+    number = max(numbered_files(spark, folder), default=0) + 1
+    while True:
+        store, place = _at(spark, f"{folder}/{number}")
+        store.mkdirs(place.getParent())
+        if store.createNewFile(place):
+            return number
+        number += 1
+
+
 def numbered_folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
     """The numbers of the folders named ``prefix`` and a number."""
     store, place = _at(spark, f"{path}/{prefix}*")

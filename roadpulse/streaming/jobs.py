@@ -35,6 +35,7 @@ from roadpulse.operators.pipeline import (
 from roadpulse.operators.routing import MAX_AGE_MS, audience_feed, fresh_only, routing_keys
 from roadpulse.schemas import CANONICAL, RAW_LOG, UNASSIGNED
 from roadpulse.sources.files import (
+    claimed_number,
     delete_matching,
     kept_number,
     numbered_folders,
@@ -99,13 +100,16 @@ def start(
     checkpoint: str,
     trigger: dict | None = None,
     output_mode: str = "append",
+    target: str | None = None,
 ) -> StreamingQuery:
     """Starts a query that ends when the available data is done, unless given another trigger.
 
-    ``each_batch`` gets numbers that grow over all runs, later runs after earlier ones.
+    ``each_batch`` gets numbers that grow over all runs that write to ``target``, later runs after earlier ones: each new
+    checkpoint claims the next run there. No clock is asked.
     """
     trigger = trigger or {"availableNow": True}
-    run = kept_number(stream.sparkSession, f"{checkpoint}/run", time.time)
+    spark, runs = stream.sparkSession, f"{target or checkpoint}/_runs"
+    run = kept_number(spark, f"{checkpoint}/run", lambda: claimed_number(spark, runs))
 
     def numbered(batch: DataFrame, batch_id: int) -> None:
         each_batch(batch, run * BATCHES_PER_RUN + batch_id)
@@ -213,7 +217,7 @@ def canonical_stream(
         )
         write_batch(outcomes, f"{out}/outcomes", batch_id)
 
-    return start(raw, each_batch, f"{out}/checkpoint/canonical", trigger)
+    return start(raw, each_batch, f"{out}/checkpoint/canonical", trigger, target=out)
 
 
 def read_canonical(spark: SparkSession, out: str) -> DataFrame:
@@ -297,9 +301,9 @@ def live_feed_stream(
             held.unpersist()
 
     if conflate_ms is None:
-        return start(log, each_batch, f"{out}/checkpoint/feed", trigger)
+        return start(log, each_batch, f"{out}/checkpoint/feed", trigger, target=out)
     newest = newest_per_interval(routing_keys(log), conflate_ms, max_age_ms)
-    return start(newest, each_batch, f"{out}/checkpoint/feed", trigger, output_mode="update")
+    return start(newest, each_batch, f"{out}/checkpoint/feed", trigger, output_mode="update", target=out)
 
 
 def newest_per_interval(keyed: DataFrame, conflate_ms: int, max_age_ms: int) -> DataFrame:
@@ -351,7 +355,7 @@ def history_stream(log: DataFrame, path: str, checkpoint: str, trigger: dict | N
             fold_batches(batch.sparkSession, path, first, last)
         write_history(storable(batch), path, batch_id)
 
-    return start(log, each_batch, checkpoint, trigger)
+    return start(log, each_batch, checkpoint, trigger, target=path)
 
 
 def latest_state_stream(log: DataFrame, out: str, trigger: dict | None = None) -> StreamingQuery:
@@ -376,6 +380,7 @@ def latest_state_stream(log: DataFrame, out: str, trigger: dict | None = None) -
         f"{out}/checkpoint/latest",
         trigger or {"processingTime": FLUSH},
         output_mode="update",
+        target=out,
     )
 
 

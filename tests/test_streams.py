@@ -10,7 +10,7 @@ from roadpulse.plans.pipelines import canonical_events
 from roadpulse.session import shared_dir
 from roadpulse.sources import logs
 from roadpulse.operators.pipeline import write_canonical
-from roadpulse.sources.files import kept_number, numbered_folders
+from roadpulse.sources.files import claimed_number, kept_number, numbered_folders
 from roadpulse.sources.history import read_history, write_history
 from roadpulse.sources.logs import LogSource, read_batches, read_live_stream, read_raw_stream
 from roadpulse.streaming import jobs
@@ -307,6 +307,13 @@ def test_a_kept_number_does_not_change(spark, tmp_path):
     assert [kept_number(spark, path, lambda n=n: n) for n in (5, 9)] == [5, 5]
 
 
+def test_every_run_claims_a_number_of_its_own(spark, tmp_path):
+    runs = f"{tmp_path}/_runs"
+    assert [claimed_number(spark, runs) for _ in range(3)] == [1, 2, 3]
+    (tmp_path / "_runs" / "5").touch()
+    assert claimed_number(spark, runs) == 6
+
+
 def test_compaction_bounds_the_folders_of_the_latest_state(spark, tmp_path):
     out = str(tmp_path)
     schema = jobs.EVENTS_WITH_POSITION
