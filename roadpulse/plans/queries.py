@@ -633,11 +633,15 @@ def canonical_log_files(spark, sf) -> LogSource:
     return LogSource(path=path, batch_size=files_per_batch(spark, path))
 
 
+#: Hours in a folder of the live log.
+HOURS = 6
+
+
 def hourly_log(spark, sf) -> LogSource:
     """The canonical log by hour, as a live reader finds it."""
     events = settled(spark, sf, "events", lambda: canonical(spark, sf))
-    path = settled_at(spark, sf, "hourly-log", lambda path: write_hourly(jobs.log_records(events), path))
-    return LogSource(path=path, batch_size=files_per_batch(spark, path), by_hour=True)
+    path = settled_at(spark, sf, "hourly-log", lambda path: write_hourly(jobs.log_records(events), path, HOURS))
+    return LogSource(path=path, batch_size=files_per_batch(spark, path), by_hour=HOURS)
 
 
 def q_read_raw_stream(spark, sf):

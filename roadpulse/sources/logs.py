@@ -23,14 +23,14 @@ class LogSource:
 
     ``batch_size`` bounds a micro-batch: in records for Kafka, in files for a folder. Without it a batch takes
     all that has arrived, so that a reader never falls behind a log that grows faster than a fixed size.
-    ``by_hour`` says that the files lie in folders by hour of record time, as :func:`write_hourly` leaves them.
+    ``by_hour`` says that the files lie in folders of so many hours of record time, as :func:`write_hourly` leaves them.
     """
 
     path: str | None = None
     options: dict = field(default_factory=dict)
     batch_size: int | None = None
     schema: T.StructType = field(default_factory=lambda: RAW_LOG)
-    by_hour: bool = False
+    by_hour: int = 0
 
 
 def _from_kafka(spark: SparkSession, source: LogSource, start: str) -> DataFrame:
@@ -52,7 +52,7 @@ def _from_files(spark: SparkSession, source: LogSource, newest_first: bool, sinc
         reader = reader.option("maxFilesPerTrigger", source.batch_size)
     rows = reader.parquet(source.path)
     if source.by_hour and since_ms is not None:
-        rows = rows.where(F.col("hour") >= since_ms // HOUR_MS)
+        rows = rows.where(F.col("hour") >= since_ms // HOUR_MS // source.by_hour * source.by_hour)
     return rows.select(*source.schema.fieldNames())
 
 
@@ -74,9 +74,12 @@ def read_live_stream(spark: SparkSession, source: LogSource, since_ms: int | Non
     return _from_kafka(spark, source, "latest")
 
 
-def write_hourly(records: DataFrame, path: str) -> None:
-    """Appends log records to a file log laid out by hour of record time; busy hours are split and quiet ones share a task."""
-    hour = F.floor(F.unix_millis("timestamp") / F.lit(HOUR_MS)).cast("long")
+def write_hourly(records: DataFrame, path: str, hours: int = 1) -> None:
+    """Appends log records to a file log laid out by hour of record time, ``hours`` to a folder, named by its first hour.
+
+    Busy hours are split and quiet ones share a task. A quiet log wants more hours to a folder, so that files do not get too small.
+    """
+    hour = (F.floor(F.unix_millis("timestamp") / F.lit(hours * HOUR_MS)) * hours).cast("long")
     rows = records.withColumn("hour", hour).hint("rebalance", "hour")
     rows.write.mode("append").partitionBy("hour").parquet(path)
 
