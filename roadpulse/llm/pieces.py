@@ -30,7 +30,7 @@ from roadpulse.llm.shared import with_columns_of
 
 MARK = "▁"
 #: Units remembered in each of two generations, so that frequent ones outlive the rare.
-_REMEMBERED, _REMEMBERED_LENGTH, _PAIRS = 80_000, 64, 150_000
+_REMEMBERED, _REMEMBERED_LENGTH, _PAIRS = 130_000, 64, 150_000
 
 _SHORT, _NONE = 40, float("-inf")
 #: Units of a text whose ids are put together at once.
