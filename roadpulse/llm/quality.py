@@ -18,6 +18,7 @@ from roadpulse.llm.shared import brought_back, set_aside, with_columns_of
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 WINDOW = 5
+#: Repeated lines that a rule asks for if its caller names no number.
 LEAST_DUP_LINES = 3
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -25,15 +26,14 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def _rules() -> dict[str, Column]:
+def _rules(least_dup_lines: int = LEAST_DUP_LINES) -> dict[str, Column]:
     """Each rule's failure; a rule's bit is its place here, so new rules go to the end."""
     c = F.col
     return {
         "too_few_words": c("n_words") < 10,
         "repeated_windows": 100 * c("n_repeat_words") > 20 * c("n_words"),
         "many_symbols": 10 * c("n_symbols") > 3 * c("n_words"),
-        # A title or two that come again are no fault of a short text.
-        "repeated_lines": (c("n_dup_lines") >= LEAST_DUP_LINES) & (100 * c("n_dup_lines") > 30 * c("n_lines")),
+        "repeated_lines": (c("n_dup_lines") >= least_dup_lines) & (100 * c("n_dup_lines") > 30 * c("n_lines")),
         "short_words": c("word_chars") < 2 * c("n_words"),
         "long_words": c("word_chars") > 20 * c("n_words"),
     }
@@ -120,9 +120,12 @@ def mask(rules: list[str]) -> int:
     return sum(1 << RULES.index(r) for r in rules)
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs``, the measurements, and ``failed_bits`` with a bit for each rule that the document fails."""
-    rules = _rules()
+def ledger(docs: DataFrame, text: str = "text", least_dup_lines: int = LEAST_DUP_LINES) -> DataFrame:
+    """``docs``, the measurements, and ``failed_bits`` with a bit for each rule that the document fails.
+
+    Repeated lines are judged by their share alone with ``least_dup_lines`` of 1; with more, fewer of them pass.
+    """
+    rules = _rules(least_dup_lines)
     bits = sum((F.when(rules[r], F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(RULES)), F.lit(0))
     return measure(docs, text).withColumn("failed_bits", bits.cast("long"))
 

@@ -3,6 +3,7 @@
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -11,6 +12,7 @@ from roadpulse.llm import text as tx
 from roadpulse.llm import toxicity
 from roadpulse.llm.queries import all_queries, piece_model
 from roadpulse.llm.shared import table
+from roadpulse.llm.sql import all_sql
 from tests.llm import brute
 
 
@@ -96,3 +98,17 @@ def test_toxicity_scores_are_those_of_counting_by_hand(spark, sf):
         (x,) = toxicity._inputs(np.array([llr[r.doc_id]]), np.array([len(words[r.doc_id])]))
         assert abs(r.score - 1 / (1 + np.exp(-x @ weights))) < 1e-3
         assert r.held_out == (fold[r.doc_id] == 0) and r.predicted == int(r.score >= 0.5)
+
+
+def test_quality_query_judges_every_share_of_repeated_lines(spark, tmp_path):
+    body = "a clean line of text with some more words in it"
+    rows = [(1, f"Title\n{body}\nTitle"), (2, f"{body} one\n{body} two"), (3, "Title\n" * 3 + body + "\nend"), (4, "Title\n" * 2 + body + "\nb\nc\nd")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = all_queries()["op3_quality_ledger"](spark, str(tmp_path))
+    got = sorted((r.doc_id, r.n_dup_lines, r.n_lines, r.failed_bits & 8 > 0) for r in found.collect())
+    assert got == [(1, 1, 3, True), (2, 0, 2, False), (3, 2, 5, True), (4, 1, 6, False)]
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        columns = sorted(found.columns)
+        want = db.sql(all_sql()["op3_quality_ledger"]).select(", ".join(columns)).fetchall()
+    assert sorted(tuple(r) for r in found.select(*columns).collect()) == sorted(want)
