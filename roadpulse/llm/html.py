@@ -4,9 +4,10 @@ Sorted by host and path, a page's neighbours are the pages with the nearest URLs
 and of its nearer neighbour (of both, if they are equally near) are aligned by longest common subsequence, and
 shared lines, the site's frame, are deleted. Differencing alone is wrong twice: links, adverts and footers that differ from page to page would
 stay, and of two copies of an article nothing would be left. So elements that are never main text are
-left out before, and lines inside an article or main element are not deleted.
+left out before, and a check puts back shared lines that lie inside an article or main element.
 """
 
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -170,6 +171,24 @@ def _parsed(pages: DataFrame, own: list[str], names: list[str]) -> DataFrame:
     return pages.mapInArrow(run, T.StructType([*(pages.schema[c] for c in own), *added]))
 
 
+def _packed(pages: DataFrame, own: list[str], name: str) -> DataFrame:
+    """``own`` columns with the lines of each page, and whether they lie in its article, as compressed bytes: less to shuffle than html."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, NEAR_ROWS):
+                batch = whole.slice(k, NEAR_ROWS)
+                lines = ("\n".join("-+"[m] + t for t, m in lines_of(page.as_py())) for page in batch.column("html"))
+                packed = pa.array([zlib.compress(x.encode(), 1) for x in lines], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), packed], [*own, name])
+
+    return pages.mapInArrow(run, T.StructType([*(pages.schema[c] for c in own), T.StructField(name, T.BinaryType())]))
+
+
+def _unpacked(packed: bytes) -> list[tuple[str, bool]]:
+    return [(x[1:], x[0] == "+") for x in zlib.decompress(packed).decode().split("\n") if x]
+
+
 def _nearest_before(keys: DataFrame, by: list[str], order: list[Column]) -> Column:
     """The last row before this one, in ``order`` within ``by``, that has another digest."""
     so_far = Window.partitionBy(*by).orderBy(*order)
@@ -217,49 +236,74 @@ def _partners(pages: DataFrame) -> DataFrame:
     return grouped(found, ["host", "path", "digest"], partners=F.collect_list("page"))
 
 
-def _without_shared(lines: list[str], path: str, partners: list[dict]) -> str:
+def _shared_places(lines: list[int], path: str, partners: list[dict]) -> list[int]:
+    """Places of the lines that a page shares with the partner whose path is nearest, or with all that are."""
     common = [_common(p["path"], path) for p in partners]
     shared: set[int] = set()
     for partner in (p for p, c in zip(partners, common, strict=True) if c == max(common)):
         shared |= shared_lines(lines, partner["lines"])
-    return "\n".join(t for i, t in enumerate(lines) if i not in shared)
+    return sorted(shared)
+
+
+def _differenced(pages: DataFrame) -> DataFrame:
+    """(host, path, page, shared): of each different page with a partner, the places of the lines that they share.
+
+    ``pages`` has host, path, page (a digest of the html) and html. Lines are compared by 64 bits of hash, so no text is shuffled.
+    """
+    key = ["host", "path", "page"]
+    seen = _parsed(pages, key, ["lines", "main"])
+    hashes = F.transform("lines", lambda line: F.xxhash64(line))
+    seen = seen.select(*key, F.xxhash64("lines").alias("digest"), hashes.alias("lines"))
+    seen = stored(grouped(seen, key, digest=F.first("digest"), lines=F.first("lines")), "page-lines")
+    asked = seen.join(_partners(seen.select("host", "path", "digest", "lines")), ["host", "path", "digest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, NEAR_ROWS):
+                batch = whole.slice(k, NEAR_ROWS)
+                columns = (batch.column(c).to_pylist() for c in ("lines", "path", "partners"))
+                shared = [_shared_places(*row) for row in zip(*columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), pa.array(shared, pa.list_(pa.int32()))], [*key, "shared"])
+
+    return asked.select(*key, "lines", "partners").mapInArrow(run, "host string, path string, page long, shared array<int>")
+
+
+def _text(lines: list[tuple[str, bool]], shared: list[int] | None) -> str:
+    """The lines that are not shared and, as a check, those of the article; without a partner only those, if there are any."""
+    if shared is None:
+        return "\n".join([t for t, m in lines if m] or [t for t, _ in lines])
+    gone = set(shared)
+    return "\n".join(t for i, (t, m) in enumerate(lines) if m or i not in gone)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text``, the main text of the whole page, in place of html; empty where there is none.
 
-    Null html has no lines. Lines of an article or main element are the text of a page that has one. Other pages are
-    differenced with the page of the nearest URL in their host that has other lines (both, if two are equally near), so copies keep
-    their text; pages without a host, or alone in it, keep all lines. The result depends on neither order nor partitions.
-    A column text is replaced; rows that repeat are given each.
+    Null html has no lines. Every page with a host is differenced with the page of the nearest URL in it that has other lines (both, if
+    two are equally near), so copies keep their text; shared lines go, but for those of an article or main element. Pages without a host,
+    or alone in it, have nothing to be differenced with: they give the lines of their article, or all if they have none. The
+    result depends on neither order nor partitions. A column text is replaced; rows that repeat are given each.
     """
     own = [c for c in pages.columns if c.lower() not in ("text", "html")]
     added = []
-    for name in ("_lines", "_main", "_host", "_path", "_digest", "_partners"):
+    for name in ("_host", "_path", "_page", "_shared", "_packed"):
         added.append(free_name(pages.select(*own, *(F.lit(0).alias(x) for x in added)), name))
-    lines, main, host, path, digest, partners = added
+    host, path, page, shared, packed = added
     url_host, url_path = host_and_path()
-    keyed = pages.withColumns({host: url_host, path: url_path})
-    rows = stored(_parsed(keyed, [*own, host, path], [lines, main]), "page-lines")
-    inside = F.filter(F.arrays_zip(F.col(lines).alias("t"), F.col(main).alias("m")), lambda x: x["m"])
-    text = F.array_join(F.transform(inside, lambda x: x["t"]), "\n")
-    lacking = ~F.exists(F.col(main), lambda m: m)
-    whole = rows.where(~lacking).select(*own, text.alias("text"))
-    rest = rows.where(lacking).drop(main)
-    if rest.where(F.col(host) != "").isEmpty():
-        return whole.unionByName(rest.select(*own, F.array_join(lines, "\n").alias("text")))
-    hosts = rest.where(F.col(host) != "").select(F.col(host)).distinct()
-    around = rows.join(hosts, host, "left_semi").withColumn(digest, F.xxhash64(lines))
-    near = _partners(around.select(*(F.col(c).alias(n) for c, n in ((host, "host"), (path, "path"), (digest, "digest"), (lines, "lines")))))
-    near = near.toDF(host, path, digest, partners)
-    rest = rest.withColumn(digest, F.xxhash64(lines)).join(near, [host, path, digest], "left")
+    keyed = pages.withColumns({host: url_host, path: url_path, page: F.xxhash64(F.coalesce("html", F.lit("")))})
+    placed, unplaced = keyed.where(F.col(host) != ""), keyed.where(F.col(host) == "")
+    names = ((host, "host"), (path, "path"), (page, "page"), ("html", "html"))
+    found = _differenced(placed.select(*(F.col(c).alias(n) for c, n in names))).toDF(host, path, page, shared)
+    rows = _packed(placed, [*own, host, path, page], packed).join(found.hint("shuffle_hash"), [host, path, page], "left")
+    rest = _packed(unplaced, own, packed).withColumn(shared, F.lit(None).cast("array<int>"))
+    rows = rows.select(*own, packed, shared).unionByName(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, NEAR_ROWS):
                 batch = whole.slice(k, NEAR_ROWS)
-                columns = (batch.column(c).to_pylist() for c in (lines, path, partners))
-                texts = [_without_shared(own_lines, p, near or []) for own_lines, p, near in zip(*columns, strict=True)]
+                pairs = zip(batch.column(packed), batch.column(shared), strict=True)
+                texts = [_text(_unpacked(p.as_py()), s.as_py()) for p, s in pairs]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(texts, pa.string())], [*own, "text"])
 
-    return whole.unionByName(rest.mapInArrow(run, whole.schema))
+    return rows.mapInArrow(run, T.StructType([*(pages.schema[c] for c in own), T.StructField("text", T.StringType())]))

@@ -336,6 +336,25 @@ def test_lines_of_pages_that_leave_tags_open(page, text):
     assert "\n".join(t for t, _ in html.lines_of(page)) == text
 
 
+def test_pages_with_an_article_are_differenced_too(spark):
+    page = "<p>Welcome to H<p>{}<article><h1>{}</h1><p>a line of all</article><p>Contact us".format
+    rows = [
+        (1, "http://h.org/a/1", page("lead one", "one")),
+        (2, "http://h.org/a/2", page("lead two", "two")),
+        (3, "http://h.org/a/3", page("lead two", "two")),
+        (4, "http://alone.org/1", page("lead", "four")),
+        (5, None, page("lead", "five")),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.main_text(df).collect()} == {
+        1: "lead one\none\na line of all",
+        2: "lead two\ntwo\na line of all",
+        3: "lead two\ntwo\na line of all",
+        4: "four\na line of all",
+        5: "five\na line of all",
+    }
+
+
 def differenced(rows):
     """Main texts of (url, html) rows without articles, by looking for each page's partners among all."""
     pages = sorted({(u.split("/")[2], "/" + u.split("/", 3)[3], tuple(t for t, _ in html.lines_of(p))) for u, p in rows})
