@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadpulse.llm import text as tx
-from roadpulse.llm.shared import brought_back, free_name, set_aside, stored
+from roadpulse.llm.shared import ROWS_AT_ONCE, brought_back, free_name, set_aside, stored
 
 LENGTH = 100
 GRAM = 20
@@ -33,7 +33,8 @@ GRAM = 20
 PART = 4096
 LOWEST = -(1 << 63)
 _AT = np.uint64((1 << 28) - 1)
-_CHUNK_BYTES = 1 << 20
+#: Bytes that a task works on at once; each takes some 200 bytes of arrays.
+_CHUNK_BYTES = 1 << 18
 _SEGMENT = "doc long, row long, start int, n int, g long, c long, dup boolean"
 _SLICE = "g long, part int, hot boolean, doc long, row long, start int, n int, bytes binary"
 _FOUND = "doc long, row long, start int, n int, g long, h long"
@@ -94,7 +95,7 @@ def segments(block: tx.Block, length: int = LENGTH, gram: int = GRAM) -> dict[st
 def _tile(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [segments(b, length, gram) for b in tx.blocks(batch.column("text"))]
+            parts = [segments(b, length, gram) for b in tx.blocks(batch.column("text"), _CHUNK_BYTES)]
             if not parts:
                 continue
             s = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
@@ -251,15 +252,16 @@ def _refine(length: int):
                 yield from _refine_chunk(rows, now["bytes"].to_pylist(), length)
 
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= _CHUNK_BYTES:
-                # Whole buckets only: the last one may go on.
-                table = pa.Table.from_batches(held)
-                g, part = table["g"].to_numpy(), table["part"].to_numpy()
-                whole = np.flatnonzero((g != g[-1]) | (part != part[-1]))
-                if len(whole):
-                    yield from flush(int(whole[-1]) + 1)
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                held.append(batch.slice(k, ROWS_AT_ONCE))
+                size += held[-1].nbytes
+                if size >= _CHUNK_BYTES:
+                    # Whole buckets only: the last one may go on.
+                    table = pa.Table.from_batches(held)
+                    g, part = table["g"].to_numpy(), table["part"].to_numpy()
+                    whole = np.flatnonzero((g != g[-1]) | (part != part[-1]))
+                    if len(whole):
+                        yield from flush(int(whole[-1]) + 1)
         if held:
             yield from flush(None)
 

@@ -554,6 +554,20 @@ def test_refined_numbers_stand_for_equal_bytes():
         assert all(len(v) == 1 for v in windows.values()) and len(set().union(*windows.values())) == len(windows)
 
 
+def test_large_batches_are_refined_in_small_pieces_of_whole_buckets(monkeypatch):
+    np, pa = suffixes.np, suffixes.pa
+    n, seen = 20_000, []
+    bucket = np.arange(n) // 4
+    columns = {"g": bucket, "part": np.zeros(n, np.int32), "hot": np.zeros(n, bool), "doc": np.arange(n), "row": np.zeros(n, np.int64),
+               "start": np.zeros(n, np.int32), "n": np.ones(n, np.int32), "bytes": pa.array([b"%010d" % (i // 2) * 14 for i in range(n)])}
+    refine = suffixes._refine_chunk
+    monkeypatch.setattr(suffixes, "_refine_chunk", lambda rows, slices, length: seen.append((rows["g"], slices)) or refine(rows, slices, length))
+    found = list(suffixes._refine(100)([pa.RecordBatch.from_pydict(columns)]))
+    assert sum(b.num_rows for b in found) == n // 2  # of two equal windows the second
+    assert max(sum(map(len, x)) for _, x in seen) <= 2 * min(suffixes._CHUNK_BYTES, 1 << 18)
+    assert sum(len(np.unique(g)) for g, _ in seen) == n // 4
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark, docs):
     rows = [(1, PASSAGE), (1, PASSAGE), (None, PASSAGE), (2, "q" + PASSAGE)]
     found = collected(removal(frame(spark, rows)))
