@@ -123,7 +123,7 @@ def mask(rules: list[str]) -> int:
 def ledger(docs: DataFrame, text: str = "text", least_dup_lines: int = LEAST_DUP_LINES) -> DataFrame:
     """``docs``, the measurements, and ``failed_bits`` with a bit for each rule that the document fails.
 
-    Repeated lines are judged by their share alone with ``least_dup_lines`` of 1; with more, fewer of them pass.
+    Repeated lines are judged by their share alone with ``least_dup_lines`` of 1; with more, no text with fewer of them fails that rule.
     """
     rules = _rules(least_dup_lines)
     bits = sum((F.when(rules[r], F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(RULES)), F.lit(0))
