@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import decontaminate, html, languages, negatives, phrases, pieces, quality, sharding, simhash, suffixes, toxicity, urls, warc
+from roadpulse.llm import decontaminate, html, kneser_ney, languages, negatives, phrases, pieces, quality, sharding, simhash, suffixes, toxicity, urls, warc
 from roadpulse.llm.shared import table, text_or_empty
 from roadpulse.session import shared_dir, ship_package
 
@@ -68,10 +68,11 @@ def op6_nearest_url_differencing(spark, sf):
 
 
 def op7_kneser_ney_toxicity(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = toxicity.with_digest(table(spark, sf, "documents").select("doc_id", "text"), "a", "b")
     model = toxicity.train(docs, table(spark, sf, "labels"))
-    return toxicity.score(docs, model).select(
-        "doc_id", (toxicity.fold() == toxicity.HELD_OUT).alias("held_out"), "score", "predicted"
+    scored = kneser_ney.score(toxicity.score(docs, model), kneser_ney.train(model), docs)
+    return scored.select(
+        "doc_id", (toxicity.fold() == toxicity.HELD_OUT).alias("held_out"), "score", "predicted", "kn_score", "kn_predicted"
     )
 
 

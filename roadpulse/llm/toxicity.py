@@ -1,4 +1,4 @@
-"""Toxicity by discounted log-odds of words, in place of class-conditional Kneser-Ney models of n-grams.
+"""Toxicity by discounted log-odds of words. ``kneser_ney`` has the class-conditional Kneser-Ney model of the same counts.
 
 As in Kneser-Ney smoothing, an expression counts once for each context it is seen in, here once per document, so a
 passage that many copies repeat weighs no more than its words. A word's count in a class is discounted towards
@@ -44,12 +44,17 @@ _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 @dataclass
 class Model:
-    """(key, steps): each expression's log-likelihood ratio where the classes differ; its filter; the calibration."""
+    """(key, steps): each expression's log-likelihood ratio where the classes differ; its filter; the calibration.
+
+    ``counted`` has the counts that the ratios come from, ``calibration`` the labelled rows that the weights come from.
+    """
 
     told: DataFrame | None
     filter: np.ndarray
     filter_bits: int
     weights: np.ndarray
+    counted: DataFrame | None = None
+    calibration: DataFrame | None = None
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -80,28 +85,33 @@ def _firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(labelled: DataFrame) -> DataFrame:
-    """(key, n0, n1): how many ordinary and toxic documents have each expression. ``labelled`` has text and toxic."""
+    """(key, n0, n1, c0, c1): how many ordinary and toxic documents have each expression. ``labelled`` has text and toxic.
+
+    ``c0`` and ``c1`` are how often a word occurs in them, repeats included. A prefix has none.
+    """
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def merged():
-            key, n0, n1 = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, *ns = (np.concatenate(x) for x in zip(*held, strict=True))
             key, at = np.unique(key, return_inverse=True)
-            return key, *(np.bincount(at, n, len(key)).astype(np.int64) for n in (n0, n1))
+            return key, *(np.bincount(at, n, len(key)).astype(np.int64) for n in ns)
 
         def sent(found):
-            return pa.RecordBatch.from_pydict(dict(zip(("key", "n0", "n1"), found, strict=True)))
+            return pa.RecordBatch.from_pydict(dict(zip(("key", "n0", "n1", "c0", "c1"), found, strict=True)))
 
         for batch in batches:
             toxic = batch.column("toxic").to_numpy() == 1
             for block in _lower_blocks(batch):
                 text, word, prefix = _features(block)
+                is_word = np.arange(2 * len(word)) < len(word)
                 text, key = np.concatenate([text, text]), np.concatenate([word, prefix])
                 order, first = _firsts(text, key)
+                often = np.add.reduceat(is_word[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
                 own, key = toxic[block.first + text[order[first]]], key[order[first]]
-                held.append((key, (~own).astype(np.int64), own.astype(np.int64)))
-                if sum(len(k) for k, _, _ in held) >= GATHERED:
+                held.append((key, (~own).astype(np.int64), own.astype(np.int64), often * ~own, often * own))
+                if sum(len(x[0]) for x in held) >= GATHERED:
                     held = [merged()]
                     if len(held[0][0]) >= GATHERED // 2:
                         yield sent(held[0])
@@ -110,9 +120,8 @@ def counts(labelled: DataFrame) -> DataFrame:
             yield sent(merged())
 
     each = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
-    return each.mapInArrow(run, "key long, n0 long, n1 long").groupBy("key").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")
-    )
+    found = each.mapInArrow(run, "key long, n0 long, n1 long, c0 long, c1 long").groupBy("key")
+    return found.agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "c0", "c1")))
 
 
 def _ratio(docs0: int, docs1: int) -> Column:
@@ -156,7 +165,7 @@ def _perhaps_labelled(texts: DataFrame, known: DataFrame, bits: int = FILTER_BIT
 _FOUND = "batch long, w long, p long, i array<short>, n array<int>, a long, b long"
 
 
-def _with_digest(docs: DataFrame, a: str, b: str) -> DataFrame:
+def with_digest(docs: DataFrame, a: str, b: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.withColumns({a: F.xxhash64(text), b: F.xxhash64(F.lit(1), text)})
 
@@ -242,7 +251,7 @@ def _evidence(docs: DataFrame, model: Model) -> DataFrame:
     if model.told is None:
         return docs.withColumns({"llr": F.lit(0.0), "n_words": F.lit(0).cast("long")})
     a, b = free_name(docs, "_a"), free_name(docs, "_b")
-    rows = docs if {"a", "b"} <= set(docs.columns) else _with_digest(docs, "a", "b")
+    rows = docs if {"a", "b"} <= set(docs.columns) else with_digest(docs, "a", "b")
     found = _text_evidence(rows, model)
     found = found.select(F.col("a").alias(a), F.col("b").alias(b), (F.col("steps") / F.lit(float(STEPS))).alias("llr"), "n_words")
     return rows.withColumnsRenamed({"a": a, "b": b}).join(found.hint("shuffle_hash"), [a, b]).drop(a, b)
@@ -256,7 +265,7 @@ def _inputs(llr, n_words):
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression with a small ridge, by Newton steps."""
-    weights, ridge = np.zeros(x.shape[1]), np.diag([1e-6, 1e-2, 1e-2])
+    weights, ridge = np.zeros(x.shape[1]), np.diag([1e-6] + [1e-2] * (x.shape[1] - 1))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         slope = x.T @ (p - y) + ridge @ weights
@@ -272,17 +281,18 @@ def train(docs: DataFrame, labels: DataFrame, filter_bits: int = FILTER_BITS) ->
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic")
     known = known.where(fold() != HELD_OUT).dropDuplicates(["doc_id"])
     texts = docs.where("doc_id IS NOT NULL").where(fold() != HELD_OUT).select("doc_id", "text")
-    texts = _with_digest(_perhaps_labelled(texts, known), "a", "b")
+    texts = with_digest(_perhaps_labelled(texts, known), "a", "b")
     # Labels grow with the documents: one plan for every size. Labels are hashed and texts stream past them.
     labelled = texts.join(known.hint("shuffle_hash"), "doc_id")
     sizes = {int(r.toxic): r.n for r in known.where(fold() != CALIBRATION).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not (sizes.get(0) and sizes.get(1)):
         return Model(None, np.zeros(0, np.uint8), filter_bits, np.zeros(3))
     steps = F.round(_ratio(sizes[0], sizes[1]) * F.lit(STEPS)).cast("long")
-    told = counts(labelled.where(fold() != CALIBRATION)).select("key", steps.alias("steps")).where("steps <> 0")
-    told = stored(told, "expressions")
-    model = Model(told, _filter(told, filter_bits), filter_bits, np.zeros(3))
-    rows = _evidence(labelled.where(fold() == CALIBRATION), model).select("doc_id", "llr", "n_words", "toxic")
+    counted = stored(counts(labelled.where(fold() != CALIBRATION)), "counts")
+    told = stored(counted.select("key", steps.alias("steps")).where("steps <> 0"), "expressions")
+    calibration = labelled.where(fold() == CALIBRATION)
+    model = Model(told, _filter(told, filter_bits), filter_bits, np.zeros(3), counted, calibration)
+    rows = _evidence(calibration, model).select("doc_id", "llr", "n_words", "toxic")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
     seen = rows.select("llr", "n_words", "toxic").toPandas()
     if len(seen):
