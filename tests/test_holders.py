@@ -30,3 +30,12 @@ def test_pairs_come_out_of_lists_and_only_vin_hits_are_looked_up_again(spark, mo
     assert rows(fed, "user_id", "offset") == want
     plan = fed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode(holders") == 2 and plan.startswith("Union")
+
+
+def test_few_events_of_many_viewers_are_dealt_out_to_all_tasks(spark):
+    """A small input that the adaptive plan would leave to one task."""
+    log = events(spark, *[event(VIN_A, NOW + i, offset=i) for i in range(200)]).coalesce(1)
+    held = spark.createDataFrame([(f"u{i}", "*") for i in range(50)], "user_id string, topic string")
+    fed = routing.authorize_events(log, held)
+    tasks = {r[0] for r in fed.selectExpr("spark_partition_id() AS task").distinct().collect()}
+    assert len(tasks) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
