@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from roadpulse.operators import audiences, routing
+from roadpulse.operators import access, audiences, routing
 from tests.conftest import rows
 from tests.samples import NOW, VIN_A, VIN_B, VIN_C, event, events
 
@@ -39,3 +39,16 @@ def test_few_events_of_many_viewers_are_dealt_out_to_all_tasks(spark):
     fed = routing.authorize_events(log, held)
     tasks = {r[0] for r in fed.selectExpr("spark_partition_id() AS task").distinct().collect()}
     assert len(tasks) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_two_stages_spread_lists_within_the_pod(spark, monkeypatch):
+    monkeypatch.setattr(audiences, "LISTED", 2)
+    log = [event(v, NOW + i, f, i) for i, (v, f) in enumerate([(VIN_A, "f0"), (VIN_B, "f1"), (VIN_C, "f0")])]
+    held = [(f"u{i}", t) for i in range(9) for t in ("fleet:f0", f"vin:{VIN_A}", f"fleet:own-{i}")] + [("cy", f"vin:{VIN_B}"), ("boss", "*")]
+    at = [(f"p{i % 2}", f"u{i}") for i in range(9)] + [("p0", "u1"), ("p0", "cy"), ("p1", "boss"), ("p1", "boss")]
+    grants = spark.createDataFrame(held, "user_id string, topic string")
+    connections = spark.createDataFrame(at, "pod string, user_id string")
+    fed = routing.two_stage_feed(events(spark, *log), grants, connections, access.pod_grants(connections, grants))
+    sees = {"cy": (1,), "boss": (0, 1, 2)} | {f"u{i}": (0, 2) for i in range(9)}
+    assert rows(fed, "pod", "user_id", "offset") == sorted((p, u, n) for p, u in set(at) for n in sees[u])
+    assert "Generate explode(holders" in fed._jdf.queryExecution().optimizedPlan().toString()
